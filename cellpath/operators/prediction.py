@@ -72,6 +72,17 @@ def model_scores(
     return _scores(sequences, model, interval, by, size).where("cluster_id IS NOT NULL")
 
 
+def _best_match(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str], size: int | None) -> DataFrame:
+    """Best matching cluster and its score per sequence; no cluster and 0 when nothing matches."""
+    scores = _scores(sequences, model, interval, by, size)
+    keys = [c for c in scores.columns if c not in ("cluster_id", "score")]
+    order = F.struct("score", -F.col("cluster_id"))
+    return scores.groupBy(*keys).agg(
+        F.max_by("cluster_id", order).alias("cluster_id"),
+        F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
+    )
+
+
 def best_model(
     sequences: DataFrame,
     model: DataFrame,
@@ -79,13 +90,14 @@ def best_model(
     by: Sequence[str] = PER_USER,
     size: int | None = None,
 ) -> DataFrame:
-    """Best cluster and its score per sequence; ``cluster_id`` is null when nothing matches."""
-    scores = _scores(sequences, model, interval, by, size)
-    keys = [c for c in scores.columns if c not in ("cluster_id", "score")]
-    order = F.struct("score", -F.col("cluster_id"))
-    return scores.groupBy(*keys).agg(
-        F.max_by("cluster_id", order).alias("cluster_id"),
-        F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
+    """Best cluster and its score per sequence, for every sequence of a group with a model."""
+    best = _best_match(sequences, model, interval, by, size)
+    lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
+    keys = [c for c in best.columns if c not in ("cluster_id", "score")]
+    return (
+        _join_model(best, lowest, [], by, size, keys)
+        .where("lowest_id IS NOT NULL")
+        .select(*keys, F.coalesce("cluster_id", "lowest_id").alias("cluster_id"), "score")
     )
 
 
@@ -102,7 +114,7 @@ def predict(
     Sequences of a group without a model give no row, or with ``keep_unpredicted``
     one row without a prediction.
     """
-    best = best_model(sequences, model, interval, by, size)
+    best = _best_match(sequences, model, interval, by, size)
     keys = [c for c in best.columns if c not in ("cluster_id", "score")]
     wanted = best.select(
         *keys, "score",

@@ -39,8 +39,9 @@ def test_sequences(
 
 def past_and_future(sequences: DataFrame) -> DataFrame:
     """Split each sequence into ``past`` (all points but the last) and the last one as target."""
+    keys = [c for c in sequences.columns if c != "points"]
     return sequences.select(
-        *USER_DAY,
+        *keys,
         F.slice("points", 1, F.size("points") - 1).alias("past"),
         F.element_at("points", -1)["minute"].alias("next_minute"),
         F.element_at("points", -1)["cell_id"].alias("actual_cell"),

@@ -32,10 +32,14 @@ def _strict_int(text: Column) -> Column:
     return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
 
 
-def _split_fields(lines: DataFrame) -> DataFrame:
-    fields = F.split("value", ",")
-    typed = [_strict_int(F.get(fields, F.lit(pos))).alias(name) for name, pos in CSV_FIELDS.items()]
-    return lines.select("value", "ord", F.get(fields, F.lit(0)).alias("user_id"), *typed)
+def _typed_lines(lines: DataFrame) -> DataFrame:
+    # The generator keeps the later filter from being pushed below the parsing,
+    # which would then be done twice.
+    typed = [_strict_int(F.get("fields", F.lit(pos))).alias(name) for name, pos in CSV_FIELDS.items()]
+    parsed = F.struct(F.get("fields", F.lit(0)).alias("user_id"), *typed)
+    return lines.select("value", "ord", F.split("value", ",").alias("fields")).select(
+        "value", "ord", F.inline(F.array(parsed))
+    )
 
 
 def _reason() -> Column:
@@ -54,7 +58,7 @@ def _reason() -> Column:
 def parse_pings(lines: DataFrame) -> DataFrame:
     """Typed pings of the well-formed lines."""
     return (
-        _split_fields(lines)
+        _typed_lines(lines)
         .where(_reason().isNull())
         .withColumn("minute_of_day", minute_of_day(F.col("hour"), F.col("minute")))
         .select(*PING_COLUMNS)
@@ -63,7 +67,7 @@ def parse_pings(lines: DataFrame) -> DataFrame:
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """The complement of :func:`parse_pings`, with the reason."""
-    return _split_fields(lines).withColumn("reason", _reason()).where("reason IS NOT NULL").select("value", "ord", "reason")
+    return _typed_lines(lines).withColumn("reason", _reason()).where("reason IS NOT NULL").select("value", "ord", "reason")
 
 
 def minute_of_day(hour: Column, minute: Column) -> Column:
@@ -75,42 +79,27 @@ def for_user(df: DataFrame, user_id) -> DataFrame:
     return df.where(F.col("user_id") == F.lit(user_id))
 
 
-def pings_from_events(events: DataFrame) -> DataFrame:
-    """Read the ``events`` table as pings.
+def event_ping_columns() -> list[Column]:
+    """The columns that make a ping of a row of ``events``.
 
     The cell is derived from ``props.k``: ten cells, of which cell 1 is a lost signal.
     """
     cell = F.get_json_object("props", "$.k").cast("int") % 10
-    return events.select(
-        "user_id",
+    return [
+        F.col("user_id"),
         F.year("ts").alias("year"),
         F.month("ts").alias("month"),
         F.dayofmonth("ts").alias("day"),
         minute_of_day(F.hour("ts"), F.minute("ts")).alias("minute_of_day"),
         cell.cast("int").alias("cell_id"),
         F.col("event_id").alias("ord"),
-    )
+    ]
 
 
-def read_event_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pings_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def pings_from_events(events: DataFrame) -> DataFrame:
+    """Read the ``events`` table as pings."""
+    return events.select(*event_ping_columns())
 
 
-def ping_lines(pings: DataFrame, area: str = "area") -> DataFrame:
-    """Pings as CSV lines, the inverse of :func:`parse_pings`."""
-    date = F.make_date("year", "month", "day")
-    return pings.select(
-        F.concat_ws(
-            ",",
-            "user_id",
-            "year",
-            "month",
-            "day",
-            F.dayofweek(date),
-            F.expr("minute_of_day div 60"),
-            F.col("minute_of_day") % 60,
-            F.lit(area),
-            "cell_id",
-        ).alias("value"),
-        "ord",
-    )
+def read_event_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pings_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -64,4 +64,5 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    return parse_sequences(spark.read.text(path))
+    """Sequences with a ``sequence_id``, since a day may have several of them."""
+    return parse_sequences(spark.read.text(path)).withColumn("sequence_id", F.monotonically_increasing_id())
