@@ -1,30 +1,27 @@
-"""Distances between two day vectors, given by column name.
+"""Distances between two day vectors, as SQL text over their column names.
 
-Any ``(name, name, slots) -> Column`` will do. Up to ``UNROLLED_SLOTS`` the sum over
+Any ``(name, name, slots) -> text`` will do. Up to ``UNROLLED_SLOTS`` the sum over
 slots is written out, which keeps it inside generated code; array lambdas are
-interpreted and several times slower. Built as one SQL string, since each Column
-operation costs a round trip from Python.
+interpreted and several times slower. Text, since each Column operation costs a
+round trip from Python and a round of clustering builds hundreds of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 UNROLLED_SLOTS = 48
 
-Distance = Callable[[str, str, int], Column]
+Distance = Callable[[str, str, int], str]
 
 
-def _sum_over_slots(a: str, b: str, slots: int, term: Callable[[str, str], str]) -> Column:
+def _sum_over_slots(a: str, b: str, slots: int, term: Callable[[str, str], str]) -> str:
     if slots <= UNROLLED_SLOTS:
-        return F.expr(" + ".join(term(f"get({a}, {s})", f"get({b}, {s})") for s in range(slots)))
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> {term('x', 'y')}), 0L, (total, t) -> total + t)")
+        return " + ".join(term(f"get({a}, {s})", f"get({b}, {s})") for s in range(slots))
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> {term('x', 'y')}), 0L, (total, t) -> total + t)"
 
 
-def squared(a: str, b: str, slots: int) -> Column:
+def squared(a: str, b: str, slots: int) -> str:
     """Sum over slots of the squared difference of cell ids, in bigint."""
 
     def term(x: str, y: str) -> str:
@@ -34,6 +31,6 @@ def squared(a: str, b: str, slots: int) -> Column:
     return _sum_over_slots(a, b, slots, term)
 
 
-def hamming(a: str, b: str, slots: int) -> Column:
+def hamming(a: str, b: str, slots: int) -> str:
     """Number of slots in which the two days differ."""
     return _sum_over_slots(a, b, slots, lambda x, y: f"if({x} = {y}, 0L, 1L)")

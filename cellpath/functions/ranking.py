@@ -1,60 +1,52 @@
-"""Order-preserving integer keys, so that an argmax stays a plain hash aggregate.
+"""Order-preserving integer keys, as SQL text, so that an argmax stays a plain hash aggregate.
 
-``max`` over a struct makes Spark sort its input; ``max`` over a bigint does not.
+``max`` over a struct makes Spark sort its input; ``max`` over a number does not.
 A dwell time is below 2^12 and a cell id fits 32 bits, so both go into one bigint.
 Counts and distances have no such bound and share a decimal with the id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from cellpath.schema import UNKNOWN_CELL
 
 _INT_MAX = 2147483647
-_CELL_BITS = 32
-_REAL_BIT = 1 << _CELL_BITS
+_CELL_RANGE = 1 << 32
 
 
-def dwell_key(dwell: Column, cell: Column) -> Column:
+def dwell_key(dwell: str, cell: str) -> str:
     """Larger is better: longer dwell, then a known cell, then the smaller cell id."""
-    known = F.when(cell == UNKNOWN_CELL, F.lit(0)).otherwise(F.lit(_REAL_BIT))
-    return (
-        F.shiftleft(dwell.cast("bigint"), _CELL_BITS + 1)
-        + known
-        + (F.lit(_INT_MAX).cast("bigint") - cell)
-    )
+    known = f"if({cell} = {UNKNOWN_CELL}, 0L, {_CELL_RANGE}L)"
+    return f"shiftleft(cast({dwell} as bigint), 33) + {known} + ({_INT_MAX}L - {cell})"
 
 
-def cell_of(key: Column) -> Column:
+def cell_of_dwell(key: str) -> str:
     """The cell id packed into :func:`dwell_key`."""
-    return (F.lit(_INT_MAX).cast("bigint") - key.bitwiseAND(F.lit(_REAL_BIT - 1))).cast("int")
+    return f"cast({_INT_MAX}L - ({key} & {_CELL_RANGE - 1}L) as int)"
 
 
-def dwell_of(key: Column) -> Column:
+def dwell_of(key: str) -> str:
     """The dwell time packed into :func:`dwell_key`."""
-    return F.shiftright(key, _CELL_BITS + 1).cast("int")
+    return f"cast(shiftright({key}, 33) as int)"
 
 
-def count_key(freq: Column, cell: Column) -> Column:
+def count_key(freq: str, cell: str) -> str:
     """Larger is better: more frequent, then the smaller cell id."""
-    return (freq.cast("decimal(20,0)") * (1 << _CELL_BITS) + (F.lit(_INT_MAX).cast("bigint") - cell)).cast("decimal(31,0)")
+    return f"cast(cast({freq} as decimal(20,0)) * {_CELL_RANGE}L + ({_INT_MAX}L - {cell}) as decimal(31,0))"
 
 
-def cell_of_count(key: Column) -> Column:
+def cell_of_count(key: str) -> str:
     """The cell id packed into :func:`count_key`."""
-    return (F.lit(_INT_MAX).cast("bigint") - (key % (1 << _CELL_BITS)).cast("bigint")).cast("int")
+    return f"cast({_INT_MAX}L - cast({key} % {_CELL_RANGE}L as bigint) as int)"
 
 
-def distance_key(distance: Column, cluster_id: Column, k: int) -> Column:
+def distance_key(distance: str, cluster_id: str, k: int) -> str:
     """Smaller is better: nearer, then the lower of ``k`` cluster ids."""
-    return (distance.cast("decimal(20,0)") * k + cluster_id).cast("decimal(31,0)")
+    return f"cast(cast({distance} as decimal(20,0)) * {k} + {cluster_id} as decimal(31,0))"
 
 
-def cluster_of(key: Column, k: int) -> Column:
-    return (key % k).cast("int")
+def cluster_of(key: str, k: int) -> str:
+    return f"cast({key} % {k} as int)"
 
 
-def distance_of(key: Column, k: int) -> Column:
-    return F.floor(key / k).cast("bigint")
+def distance_of(key: str, k: int) -> str:
+    return f"cast({key} div {k} as bigint)"

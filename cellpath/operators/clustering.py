@@ -8,7 +8,7 @@ task that holds the point.
 Points are laid out once (:func:`lay_out`) and never shuffled again. Per user all
 days of a user share a bucket, which the calendar bounds: one vector per day,
 however many pings it came from. Pooled points are spread by day, and only partial
-sums are exchanged. Each iteration ends in a reliable checkpoint of the centres alone.
+sums are exchanged. Between rounds only the centres are checkpointed.
 """
 
 from __future__ import annotations
@@ -64,8 +64,7 @@ def initial_centres(points: DataFrame, k: int, by: Sequence[str] = PER_USER, see
 
 def _collect_centres(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per group from ``cluster_id, cells`` rows."""
-    centres = F.sort_array(F.collect_list(F.struct("cluster_id", "cells")))
-    return rows.groupBy(*by).agg(centres.alias("centres"))
+    return rows.groupBy(*by).agg(F.expr("sort_array(collect_list(struct(cluster_id, cells))) AS centres"))
 
 
 def explode_centres(centres: DataFrame, by: Sequence[str] = PER_USER) -> DataFrame:
@@ -91,13 +90,11 @@ def assign(
 ) -> DataFrame:
     """Nearest centre of every point (``cluster_id``, ``distance``); ties go to the lowest id."""
     keys = [*_point_keys(by), "cells"]
-    pairs = _attach(points, centres, by, k, slots).select(*keys, F.inline("centres").alias("cluster_id", "centre"))
-    key = distance_key(distance("cells", "centre", slots), F.col("cluster_id"), k)
-    nearest = pairs.groupBy(*keys).agg(F.min(key).alias("nearest"))
-    return nearest.select(
-        *keys,
-        cluster_of(F.col("nearest"), k).alias("cluster_id"),
-        distance_of(F.col("nearest"), k).alias("distance"),
+    pairs = _attach(points, centres, by, k, slots).selectExpr(*keys, "inline(centres) AS (cluster_id, centre)")
+    key = distance_key(distance("cells", "centre", slots), "cluster_id", k)
+    nearest = pairs.groupBy(*keys).agg(F.expr(f"min({key}) AS nearest"))
+    return nearest.selectExpr(
+        *keys, f"{cluster_of('nearest', k)} AS cluster_id", f"{distance_of('nearest', k)} AS distance"
     )
 
 
@@ -105,53 +102,49 @@ def _array_of(term: Callable[[int], str], slots: int) -> str:
     return "array(" + ", ".join(term(s) for s in range(slots)) + ")"
 
 
+_CELLS_BY_SLOT = "transform(sort_array(collect_list(struct(slot, cell_id))), s -> s.cell_id)"
+
+
 def _vectors(rows: DataFrame, keys: Sequence[str], slots: int) -> DataFrame:
     """``cells`` per key from ``slot, cell_id`` rows."""
-    if slots <= WIDE_SLOTS:
-        cells = F.expr(_array_of(lambda s: f"max(if(slot = {s}, cell_id, null))", slots))
-    else:
-        cells = F.transform(F.sort_array(F.collect_list(F.struct("slot", "cell_id"))), lambda s: s["cell_id"])
-    return rows.groupBy(*keys).agg(cells.alias("cells"))
+    wide = _array_of(lambda s: f"max(if(slot = {s}, cell_id, null))", slots)
+    return rows.groupBy(*keys).agg(F.expr(f"{wide if slots <= WIDE_SLOTS else _CELLS_BY_SLOT} AS cells"))
 
 
 def mean_centres(assigned: DataFrame, slots: int, by: Sequence[str] = PER_USER) -> DataFrame:
     """Integer mean per cluster and slot, truncated towards zero."""
     keys = [*by, "cluster_id"]
     if slots <= WIDE_SLOTS:
-        means = F.expr(_array_of(lambda s: f"cast(sum(cells[{s}]) div count(*) as int)", slots))
-        return _collect_centres(assigned.groupBy(*keys).agg(means.alias("cells")), by)
-    long = assigned.select(*keys, F.posexplode("cells").alias("slot", "cell_id"))
-    means = long.groupBy(*keys, "slot").agg(F.expr("cast(sum(cell_id) div count(*) as int)").alias("cell_id"))
+        means = _array_of(lambda s: f"cast(sum(cells[{s}]) div count(*) as int)", slots)
+        return _collect_centres(assigned.groupBy(*keys).agg(F.expr(f"{means} AS cells")), by)
+    long = assigned.selectExpr(*keys, "posexplode(cells) AS (slot, cell_id)")
+    means = long.groupBy(*keys, "slot").agg(F.expr("cast(sum(cell_id) div count(*) as int) AS cell_id"))
     return _collect_centres(_vectors(means, keys, slots), by)
 
 
 def slot_counts(assigned: DataFrame, by: Sequence[str] = PER_USER) -> DataFrame:
     """Number of days per cluster, slot and cell, combined map-side."""
     keys = [*by, "cluster_id"]
-    long = assigned.select(*keys, F.posexplode("cells").alias("slot", "cell_id"))
-    return long.groupBy(*keys, "slot", "cell_id").agg(F.count("*").alias("freq"))
+    long = assigned.selectExpr(*keys, "posexplode(cells) AS (slot, cell_id)")
+    return long.groupBy(*keys, "slot", "cell_id").agg(F.expr("count(*) AS freq"))
 
 
 def mode_centres(assigned: DataFrame, slots: int, by: Sequence[str] = PER_USER) -> DataFrame:
     """Most frequent cell per cluster and slot; ties go to the smallest cell id."""
     keys = [*by, "cluster_id"]
-    best = F.max(count_key(F.col("freq"), F.col("cell_id")))
-    modes = slot_counts(assigned, by).groupBy(*keys, "slot").agg(cell_of_count(best).alias("cell_id"))
+    most = cell_of_count(f"max({count_key('freq', 'cell_id')})")
+    modes = slot_counts(assigned, by).groupBy(*keys, "slot").agg(F.expr(f"{most} AS cell_id"))
     return _collect_centres(_vectors(modes, keys, slots), by)
 
 
 def _keep_empty(old: DataFrame, new: DataFrame, by: Sequence[str]) -> DataFrame:
     """New centres, with the old one for a cluster that lost all its points."""
-    moved = F.map_from_entries("moved")
-    kept = F.transform(
-        "centres",
-        lambda c: F.struct(
-            c["cluster_id"].alias("cluster_id"),
-            F.coalesce(F.element_at(moved, c["cluster_id"]), c["cells"]).alias("cells"),
-        ),
-    )
     both = new.withColumnRenamed("centres", "moved").join(old.hint("merge"), list(by))
-    return both.select(*by, kept.alias("centres"))
+    return both.selectExpr(
+        *by,
+        """transform(centres, c -> named_struct('cluster_id', c.cluster_id, 'cells',
+             coalesce(element_at(map_from_entries(moved), c.cluster_id), c.cells))) AS centres""",
+    )
 
 
 def step(
@@ -175,6 +168,11 @@ def step(
     raise ValueError(f"unknown method {method!r}")
 
 
+# Per user a k-modes round reads the centres once and keeps the points' buckets, so that
+# this many rounds run as a single stage. Other rounds shuffle or read centres twice.
+CHAINED_ROUNDS = 5
+
+
 def iterate(
     points: DataFrame,
     centres: DataFrame,
@@ -186,6 +184,9 @@ def iterate(
     distance: Distance = squared,
 ) -> DataFrame:
     """Centres after a fixed number of rounds."""
-    for _ in range(iterations):
-        centres = checkpoint(step(points, centres, k, slots, by, method, distance))
+    chained = CHAINED_ROUNDS if method == "kmodes" and by != POOLED else 1
+    for done in range(1, iterations + 1):
+        centres = step(points, centres, k, slots, by, method, distance)
+        if done % chained == 0:
+            centres = checkpoint(centres)
     return centres

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
-from cellpath.functions.ranking import cell_of, dwell_key, dwell_of
+from cellpath.functions.ranking import cell_of_dwell, dwell_key, dwell_of
 from cellpath.schema import (
     INTERVAL_MINUTES,
     LOST_SIGNAL_CELL,
@@ -86,16 +86,19 @@ def slot_dwell(pings: DataFrame, interval: int = INTERVAL_MINUTES) -> DataFrame:
     return held.unionByName(seen).groupBy(*USER_DAY, "slot", "cell_id").agg(F.sum("dwell").alias("dwell"))
 
 
+def _longest(lost_cell: int) -> Column:
+    return F.expr(f"max(if(cell_id <> {lost_cell}, {dwell_key('dwell', 'cell_id')}, null))").alias("best")
+
+
 def dominant_cells(dwell: DataFrame, lost_cell: int = LOST_SIGNAL_CELL) -> DataFrame:
     """The cell held longest per slot, lost signal left out; unknown where nothing else was held."""
-    best = F.max(F.when(F.col("cell_id") != lost_cell, dwell_key(F.col("dwell"), F.col("cell_id"))))
     return (
         dwell.groupBy(*USER_DAY, "slot")
-        .agg(best.alias("best"))
-        .select(
+        .agg(_longest(lost_cell))
+        .selectExpr(
             *USER_DAY, "slot",
-            F.coalesce(cell_of(F.col("best")), F.lit(UNKNOWN_CELL)).alias("cell_id"),
-            F.coalesce(dwell_of(F.col("best")), F.lit(0)).alias("dwell"),
+            f"coalesce({cell_of_dwell('best')}, {UNKNOWN_CELL}) AS cell_id",
+            f"coalesce({dwell_of('best')}, 0) AS dwell",
         )
     )
 
@@ -135,11 +138,10 @@ def _visited_slots(pings: DataFrame, interval: int, lost_cell: int) -> DataFrame
         .groupBy(*USER_DAY, "slot", "cell_id")
         .agg(F.sum("dwell").alias("dwell"), F.max("carry").alias("carry"))
     )
-    best = F.max(F.when(F.col("cell_id") != lost_cell, dwell_key(F.col("dwell"), F.col("cell_id"))))
     return (
         per_cell.groupBy(*USER_DAY, "slot")
-        .agg(best.alias("best"), F.max("carry").alias("carry"))
-        .withColumn("winner", F.coalesce(cell_of(F.col("best")), F.lit(UNKNOWN_CELL)))
+        .agg(_longest(lost_cell), F.max("carry").alias("carry"))
+        .withColumn("winner", F.expr(f"coalesce({cell_of_dwell('best')}, {UNKNOWN_CELL})"))
     )
 
 

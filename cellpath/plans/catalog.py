@@ -15,10 +15,10 @@ from cellpath.operators import clustering as C
 from cellpath.operators import daily, sampling, slots
 from cellpath.operators.backfill import backfill, unknown_share
 from cellpath.operators.evaluation import mark_hits, rank_hits, top_k_hit_rate
-from cellpath.operators.model import model_count, model_from_counts, top_cells
+from cellpath.operators.model import model_count, top_cells
 from cellpath.operators.prediction import best_model, model_scores, pooled_model_bytes, predict
 from cellpath.plans.jobs import prepared_vectors
-from cellpath.plans.train import build_model, cluster_days
+from cellpath.plans.train import cluster_days, model_of_points
 from cellpath.schema import INTERVAL_MINUTES, TOP_K, USER_DAY, slots_per_day
 from cellpath.session import scratch_path
 from cellpath.sources import pings as P
@@ -97,8 +97,12 @@ def _centre_rows(centres: DataFrame, by=C.PER_USER) -> DataFrame:
     return rows.drop("pool")
 
 
+def _points(spark: SparkSession, sf_dir: str, by=C.PER_USER) -> DataFrame:
+    return C.lay_out(_vectors(spark, sf_dir), by)
+
+
 def _start(spark: SparkSession, sf_dir: str, by=C.PER_USER, k: int = K) -> tuple[DataFrame, DataFrame]:
-    points = C.lay_out(_vectors(spark, sf_dir), by)
+    points = _points(spark, sf_dir, by)
     return points, C.checkpoint(C.initial_centres(points, k, by))
 
 
@@ -118,39 +122,43 @@ def _nearest(spark: SparkSession, sf_dir: str, distance=C.squared) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.slot_counts(cluster_days(_vectors(spark, sf_dir), "kmeans", K, ROUNDS))
+    return C.slot_counts(cluster_days(_points(spark, sf_dir), "kmeans", K, ROUNDS))
 
 
 def _model(spark: SparkSession, sf_dir: str, method: str = "kmeans") -> DataFrame:
-    return build_model(_vectors(spark, sf_dir), method, K, ROUNDS)
+    return model_of_points(_points(spark, sf_dir), method, K, ROUNDS)
 
 
 def _pooled_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_model(_vectors(spark, sf_dir), "kmodes", POOLED_K, ROUNDS, C.POOLED)
+    return model_of_points(_points(spark, sf_dir, C.POOLED), "kmodes", POOLED_K, ROUNDS, C.POOLED)
+
 
+def _sequences(days: DataFrame) -> DataFrame:
+    return sampling.past_and_future(sampling.test_sequences(days))
 
-def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.past_and_future(sampling.test_sequences(_vectors(spark, sf_dir)))
+
+def _sequences_and_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both from the same stored days; the model is stored too, prediction reads it more than once."""
+    points = _points(spark, sf_dir)
+    return _sequences(points), C.checkpoint(model_of_points(points, "kmeans", K, ROUNDS))
 
 
 def _predictions(spark: SparkSession, sf_dir: str, keep_unpredicted: bool = False) -> DataFrame:
-    return predict(_sequences(spark, sf_dir), _model(spark, sf_dir), keep_unpredicted=keep_unpredicted)
+    return predict(*_sequences_and_model(spark, sf_dir), keep_unpredicted=keep_unpredicted)
 
 
 def _held_out_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the training days only, evaluate on the others."""
-    split = sampling.train_test_split(_vectors(spark, sf_dir))
-    model = build_model(split.where("is_train").drop("is_train"), "kmeans", K, ROUNDS)
-    sequences = sampling.test_sequences(split.where("NOT is_train").drop("is_train"))
-    return rank_hits(predict(sampling.past_and_future(sequences), model, keep_unpredicted=True))
+    days = C.lay_out(sampling.train_test_split(_vectors(spark, sf_dir)))
+    model = C.checkpoint(model_of_points(days.where("is_train"), "kmeans", K, ROUNDS))
+    return rank_hits(predict(_sequences(days.where("NOT is_train")), model, keep_unpredicted=True))
 
 
 def _pooled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir, C.POOLED)
+    model = C.checkpoint(model_of_points(points, "kmodes", POOLED_K, ROUNDS, C.POOLED))
     size = pooled_model_bytes(POOLED_K, INTERVAL_MINUTES, TOP_K)
-    predicted = predict(
-        _sequences(spark, sf_dir), _pooled_model(spark, sf_dir), by=C.POOLED, size=size, keep_unpredicted=True
-    )
-    return rank_hits(predicted)
+    return rank_hits(predict(_sequences(points), model, by=C.POOLED, size=size, keep_unpredicted=True))
 
 
 def _vectors_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +208,7 @@ def queries() -> dict[str, Query]:
         # test set
         "test_points": lambda s, d: sampling.test_sequences(_vectors(s, d)).select(*USER_DAY, F.inline("points")),
         "test_sequences_text": lambda s, d: text.sequence_lines(sampling.test_sequences(_vectors(s, d))),
-        "past_future_split": lambda s, d: _sequences(s, d).select(
+        "past_future_split": lambda s, d: _sequences(_vectors(s, d)).select(
             *SEQUENCE, text.points_text("past").alias("past")
         ),
         "train_test_split": lambda s, d: sampling.train_test_split(_vectors(s, d)).select(*USER_DAY, "is_train"),
@@ -222,8 +230,8 @@ def queries() -> dict[str, Query]:
         "model_kmodes_pooled": lambda s, d: _pooled_model(s, d).drop("pool"),
         "model_count": lambda s, d: model_count(_model(s, d)),
         # prediction
-        "model_scores": lambda s, d: model_scores(_sequences(s, d), _model(s, d)),
-        "best_model": lambda s, d: best_model(_sequences(s, d), _model(s, d)),
+        "model_scores": lambda s, d: model_scores(*_sequences_and_model(s, d)),
+        "best_model": lambda s, d: best_model(*_sequences_and_model(s, d)),
         "predict_next": _predictions,
         "predicted_vs_actual": lambda s, d: mark_hits(_predictions(s, d)).select(*SEQUENCE, "rank", "cell_id", "hit"),
         "rank_hits": lambda s, d: rank_hits(_predictions(s, d, True)),

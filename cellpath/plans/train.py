@@ -14,7 +14,7 @@ from cellpath.session import checkpoint
 
 
 def cluster_days(
-    vectors: DataFrame,
+    points: DataFrame,
     method: str = "kmeans",
     k: int | None = None,
     iterations: int = ITERATIONS,
@@ -23,7 +23,7 @@ def cluster_days(
     interval: int = INTERVAL_MINUTES,
     distance: Distance = squared,
 ) -> DataFrame:
-    """Every day with the cluster its model is built from.
+    """Every day with the cluster its model is built from; ``points`` as ``lay_out`` stores them.
 
     K-means assigns once more with the final centres. K-modes keeps the assignment of
     its last round, made before the centres moved for the last time.
@@ -32,15 +32,14 @@ def cluster_days(
         raise ValueError(f"unknown method {method!r}")
     k = k or (KMEANS_K if method == "kmeans" else KMODES_K)
     slots = slots_per_day(interval)
-    points = lay_out(vectors, by)
     rounds = iterations if method == "kmeans" else iterations - 1
     centres = checkpoint(initial_centres(points, k, by, seed))
     centres = iterate(points, centres, k, slots, rounds, by, method, distance)
     return assign(points, centres, k, slots, by, distance)
 
 
-def build_model(
-    vectors: DataFrame,
+def model_of_points(
+    points: DataFrame,
     method: str = "kmeans",
     k: int | None = None,
     iterations: int = ITERATIONS,
@@ -50,6 +49,11 @@ def build_model(
     interval: int = INTERVAL_MINUTES,
     distance: Distance = squared,
 ) -> DataFrame:
-    """Model table of all groups at once."""
-    assigned = cluster_days(vectors, method, k, iterations, by, seed, interval, distance)
+    """Model table of all groups at once, from laid-out points."""
+    assigned = cluster_days(points, method, k, iterations, by, seed, interval, distance)
     return model_from_counts(slot_counts(assigned, by), top_k, by, interval)
+
+
+def build_model(vectors: DataFrame, by: Sequence[str] = PER_USER, **options) -> DataFrame:
+    """Model table from day vectors; ``options`` as for :func:`model_of_points`."""
+    return model_of_points(lay_out(vectors, by), by=by, **options)
