@@ -13,7 +13,7 @@ def _day_digest(*parts) -> Column:
     return digest(*[F.col(c) for c in USER_DAY], *parts)
 
 
-def test_sequences(
+def sample_sequences(
     vectors: DataFrame,
     previous_points: int = PREVIOUS_POINTS,
     interval: int = INTERVAL_MINUTES,

@@ -134,7 +134,7 @@ def _pooled_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequences(days: DataFrame) -> DataFrame:
-    return sampling.past_and_future(sampling.test_sequences(days))
+    return sampling.past_and_future(sampling.sample_sequences(days))
 
 
 def _sequences_and_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +169,7 @@ def _vectors_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sequences_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "sequences")
-    text.write_lines(text.sequence_lines(sampling.test_sequences(_vectors(spark, sf_dir))), path)
+    text.write_lines(text.sequence_lines(sampling.sample_sequences(_vectors(spark, sf_dir))), path)
     return text.read_sequences(spark, path).select(*USER_DAY, F.inline("points"))
 
 
@@ -206,8 +206,8 @@ def queries() -> dict[str, Query]:
         ),
         "unknown_slot_share": lambda s, d: unknown_share(slots.explode_slots(_vectors(s, d))),
         # test set
-        "test_points": lambda s, d: sampling.test_sequences(_vectors(s, d)).select(*USER_DAY, F.inline("points")),
-        "test_sequences_text": lambda s, d: text.sequence_lines(sampling.test_sequences(_vectors(s, d))),
+        "test_points": lambda s, d: sampling.sample_sequences(_vectors(s, d)).select(*USER_DAY, F.inline("points")),
+        "test_sequences_text": lambda s, d: text.sequence_lines(sampling.sample_sequences(_vectors(s, d))),
         "past_future_split": lambda s, d: _sequences(_vectors(s, d)).select(
             *SEQUENCE, text.points_text("past").alias("past")
         ),

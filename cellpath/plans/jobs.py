@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellpath.operators.backfill import backfill
 from cellpath.operators.evaluation import rank_hits
 from cellpath.operators.prediction import predict
-from cellpath.operators.sampling import past_and_future, test_sequences
+from cellpath.operators.sampling import past_and_future, sample_sequences
 from cellpath.operators.slots import day_vectors
 from cellpath.plans.train import build_model
 from cellpath.schema import INTERVAL_MINUTES, LOST_SIGNAL_CELL, PREVIOUS_POINTS, SEED
@@ -45,7 +45,7 @@ def prepare(
     vectors = prepared_vectors(parse_pings(read_ping_lines(spark, pings_path)), interval)
     write_lines(vector_lines(vectors), vectors_path)
     # The sequences start from the stored vectors: the pings are read once.
-    sequences = test_sequences(read_vectors(spark, vectors_path), previous_points, interval, seed)
+    sequences = sample_sequences(read_vectors(spark, vectors_path), previous_points, interval, seed)
     write_lines(sequence_lines(sequences), sequences_path)
 
 
