@@ -1,21 +1,19 @@
 """Seeded pseudo-random draws that any SQL engine can repeat.
 
-A draw depends on the row's key and the seed only, so a retried task, another
+A draw is an md5 over the row's key and the seed, so a retried task, another
 partitioning or another cluster size gives the same sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
 
-def digest(*parts: Column | str | int) -> Column:
-    """md5 over the ``|``-joined parts."""
-    cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
+def digest(columns: Sequence[str], seed: int) -> str:
+    """SQL text: md5 over the ``|``-joined columns and seed."""
+    return f"md5(concat_ws('|', {', '.join(columns)}, '{seed}'))"
 
 
-def digest_int(hexdigest: Column) -> Column:
-    """First 32 bits of a hex digest as a non-negative bigint."""
-    return F.conv(F.substring(hexdigest, 1, 8), 16, 10).cast("bigint")
+def digest_int(hexdigest: str, start: int = 1) -> str:
+    """SQL text: eight hex digits of a digest, from position ``start``, as a non-negative bigint."""
+    return f"cast(conv(substring({hexdigest}, {start}, 8), 16, 10) as bigint)"

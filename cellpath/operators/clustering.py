@@ -51,10 +51,9 @@ def initial_centres(points: DataFrame, k: int, by: Sequence[str] = PER_USER, see
     Spark turns the rank filter into a group limit before the shuffle, so a task
     sends at most ``k`` days per group.
     """
-    draw = digest(*[F.col(c) for c in USER_DAY], seed)
     order = ["draw", *USER_DAY]
     drawn = (
-        points.withColumn("draw", draw)
+        points.withColumn("draw", F.expr(digest(USER_DAY, seed)))
         .withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
         .where(F.col("rank") <= k)
         .select(*by, (F.col("rank") - 1).alias("cluster_id"), "cells")
@@ -168,11 +167,6 @@ def step(
     raise ValueError(f"unknown method {method!r}")
 
 
-# Per user a k-modes round reads the centres once and keeps the points' buckets, so that
-# this many rounds run as a single stage. Other rounds shuffle or read centres twice.
-CHAINED_ROUNDS = 5
-
-
 def iterate(
     points: DataFrame,
     centres: DataFrame,
@@ -184,9 +178,6 @@ def iterate(
     distance: Distance = squared,
 ) -> DataFrame:
     """Centres after a fixed number of rounds."""
-    chained = CHAINED_ROUNDS if method == "kmodes" and by != POOLED else 1
-    for done in range(1, iterations + 1):
-        centres = step(points, centres, k, slots, by, method, distance)
-        if done % chained == 0:
-            centres = checkpoint(centres)
+    for _ in range(iterations):
+        centres = checkpoint(step(points, centres, k, slots, by, method, distance))
     return centres

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellpath.session import shuffle_partitions
+
 # A shared table up to this size is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -20,7 +22,7 @@ def join_shared(rows: DataFrame, shared: DataFrame, on: Sequence[str], size: int
     """
     if size <= BROADCAST_BYTES:
         return rows.join(F.broadcast(shared), list(on), how)
-    copies = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = shuffle_partitions(rows.sparkSession)
     numbered = shared.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     spread_rows = rows.withColumn("copy", F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int"))
     return spread_rows.join(numbered.hint("merge"), [*on, "copy"], how).drop("copy")

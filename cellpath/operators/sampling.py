@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellpath.functions.hashing import digest, digest_int
 from cellpath.schema import INTERVAL_MINUTES, PREVIOUS_POINTS, SEED, USER_DAY
 
 
-def _day_digest(*parts) -> Column:
-    return digest(*[F.col(c) for c in USER_DAY], *parts)
+_DAY_KEY = f"concat_ws('|', {', '.join(USER_DAY)})"
 
 
 def sample_sequences(
@@ -22,19 +21,16 @@ def sample_sequences(
     """Random points of each day in distinct slots, by time: ``points array<struct<minute, cell_id>>``.
 
     Draws ``previous_points + 1`` slots, or all when the day has fewer, and a
-    random minute in each.
+    random minute in each. The draw of a slot is the md5 of the day's key, the slot
+    and the seed: its start orders the slots, eight digits further on give the minute.
     """
-
-    def candidate(cell: Column, slot: Column) -> Column:
-        draw = _day_digest(slot, seed)
-        minute = slot * interval + digest_int(F.substring(draw, 9, 8)) % interval
-        return F.struct(draw.alias("draw"), minute.cast("int").alias("minute"), cell.alias("cell_id"))
-
-    drawn = F.slice(F.array_sort(F.transform("cells", candidate)), 1, previous_points + 1)
-    points = F.array_sort(
-        F.transform(drawn, lambda c: F.struct(c["minute"].alias("minute"), c["cell_id"].alias("cell_id")))
-    )
-    return vectors.select(*USER_DAY, points.alias("points"))
+    draws = f"""transform(cells, (c, s) -> named_struct(
+        'draw', md5(concat(day_key, '|', s, '|{seed}')), 'slot', s, 'cell_id', c))"""
+    chosen = f"slice(sort_array({draws}), 1, {previous_points + 1})"
+    minute = f"cast(d.slot * {interval} + {digest_int('d.draw', 9)} % {interval} as int)"
+    points = f"sort_array(transform({chosen}, d -> named_struct('minute', {minute}, 'cell_id', d.cell_id)))"
+    # The outer lambda makes the key once per day instead of once per slot.
+    return vectors.select(*USER_DAY, F.expr(f"transform(array({_DAY_KEY}), day_key -> {points})[0] AS points"))
 
 
 def past_and_future(sequences: DataFrame) -> DataFrame:
@@ -50,4 +46,5 @@ def past_and_future(sequences: DataFrame) -> DataFrame:
 
 def train_test_split(vectors: DataFrame, train_percent: int = 80, seed: int = SEED) -> DataFrame:
     """Mark every day as train or test; a day stays on its side whatever else is in the table."""
-    return vectors.withColumn("is_train", digest_int(_day_digest(seed)) % 100 < train_percent)
+    draw = digest_int(digest(USER_DAY, seed))
+    return vectors.withColumn("is_train", F.expr(f"{draw} % 100 < {train_percent}"))

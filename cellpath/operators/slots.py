@@ -30,6 +30,7 @@ from cellpath.schema import (
     USER_MONTH,
     slots_per_day,
 )
+from cellpath.session import shuffle_partitions
 
 
 def _by_minute() -> WindowSpec:
@@ -44,7 +45,8 @@ def minute_states(pings: DataFrame, lost_cell: int = LOST_SIGNAL_CELL) -> DataFr
     """One row per user, day and minute: the cell that holds on, and the smallest known cell seen.
 
     Pings that share a minute with a later one have no dwell, so of them only the
-    one that wins a tie at zero can ever matter.
+    one that wins a tie at zero can ever matter. The number of partitions is fixed:
+    what follows is heavy for its bytes, and coalescing by size would serialise it.
     """
     competes = ~F.col("cell_id").isin(lost_cell, UNKNOWN_CELL)
     return (
@@ -53,7 +55,7 @@ def minute_states(pings: DataFrame, lost_cell: int = LOST_SIGNAL_CELL) -> DataFr
             F.max_by("cell_id", "ord").alias("cell_id"),
             F.min(F.when(competes, F.col("cell_id"))).alias("low_cell"),
         )
-        .repartition(*USER_MONTH)
+        .repartition(shuffle_partitions(pings.sparkSession), *USER_MONTH)
     )
 
 

@@ -20,7 +20,7 @@ from cellpath.operators.prediction import best_model, model_scores, pooled_model
 from cellpath.plans.jobs import prepared_vectors
 from cellpath.plans.train import cluster_days, model_of_points
 from cellpath.schema import INTERVAL_MINUTES, TOP_K, USER_DAY, slots_per_day
-from cellpath.session import scratch_path
+from cellpath.session import scratch_path, shuffle_partitions
 from cellpath.sources import pings as P
 from cellpath.sources import text
 from cellpath.sources.model_store import publish_model, read_model, write_model
@@ -175,7 +175,7 @@ def _sequences_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, published = scratch_path(spark, "model"), scratch_path(spark, "published")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = shuffle_partitions(spark)
     write_model(_model(spark, sf_dir), stored, buckets)
     publish_model(spark, stored, published)
     return read_model(spark, published, buckets=buckets)

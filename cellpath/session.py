@@ -36,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -48,7 +52,7 @@ def bucketed_table(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     need no shuffle, however often the table is read. It also cuts lineage.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = shuffle_partitions(spark)
     table = f"cellpath_{name}_{uuid.uuid4().hex}"
     (
         df.repartition(buckets, *keys)
