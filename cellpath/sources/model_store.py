@@ -13,10 +13,13 @@ def _bucket(user: Column, buckets: int) -> Column:
 
 
 def write_model(model: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
-    """Store a per-user model."""
+    """Store a per-user model.
+
+    Rebalancing gives files of even size: small folders get one, big ones several.
+    """
     (
         model.withColumn("user_bucket", _bucket(F.col("user_id"), buckets))
-        .repartition("user_bucket")
+        .hint("rebalance", "user_bucket")
         .sortWithinPartitions("user_bucket", "user_id", "cluster_id", "slot", "rank")
         .write.mode("overwrite")
         .partitionBy("user_bucket")
@@ -37,4 +40,4 @@ def read_model(spark: SparkSession, path: str, user_id=None, buckets: int = STOR
 def publish_model(spark: SparkSession, source: str, target: str) -> None:
     """Copy a stored model to another place, replacing what is there."""
     stored = spark.read.parquet(source)
-    stored.repartition("user_bucket").write.mode("overwrite").partitionBy("user_bucket").parquet(target)
+    stored.hint("rebalance", "user_bucket").write.mode("overwrite").partitionBy("user_bucket").parquet(target)
