@@ -48,17 +48,20 @@ def _point_keys(by: Sequence[str]) -> list[str]:
 def initial_centres(points: DataFrame, k: int, by: Sequence[str] = PER_USER, seed: int = SEED) -> DataFrame:
     """``k`` random days per group as centres 0..k-1; a smaller group gives all its days.
 
-    Spark turns the rank filter into a group limit before the shuffle, so a task
-    sends at most ``k`` days per group.
+    A pool keeps the best ``k`` days of each task, then of all. Per user the rank filter
+    becomes a group limit before the shuffle; past Spark's limit for that, a user's days
+    are still bounded.
     """
     order = ["draw", *USER_DAY]
-    drawn = (
-        points.withColumn("draw", F.expr(digest(USER_DAY, seed)))
-        .withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    drawn = points.withColumn("draw", F.expr(digest(USER_DAY, seed)))
+    if by == POOLED:
+        drawn = drawn.orderBy(*order).limit(k)
+    ranked = (
+        drawn.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
         .where(F.col("rank") <= k)
         .select(*by, (F.col("rank") - 1).alias("cluster_id"), "cells")
     )
-    return _collect_centres(drawn, by)
+    return _collect_centres(ranked, by)
 
 
 def _collect_centres(rows: DataFrame, by: Sequence[str]) -> DataFrame:

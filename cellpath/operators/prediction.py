@@ -101,6 +101,15 @@ def best_model(
     )
 
 
+def _with_lowest(model: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Model rows with the lowest cluster id of their group."""
+    if by == POOLED:
+        # One group of any size: a single row says it all.
+        lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
+        return model.join(F.broadcast(lowest), list(by))
+    return model.withColumn("lowest_id", F.min("cluster_id").over(W.partitionBy(*by)))
+
+
 def predict(
     sequences: DataFrame,
     model: DataFrame,
@@ -121,14 +130,14 @@ def predict(
         F.coalesce("cluster_id", F.lit(_NO_MATCH)).alias("lookup_id"),
         F.expr(f"cast(next_minute div {interval} as int)").alias("slot"),
     )
-    lowest = F.min("cluster_id").over(W.partitionBy(*by))
-    lookup_ids = F.when(F.col("cluster_id") == lowest, F.array("cluster_id", F.lit(_NO_MATCH))).otherwise(
-        F.array("cluster_id")
-    )
     lookup = (
-        model.select(*by, "slot", "cluster_id", "rank", "cell_id", "prob", lookup_ids.alias("lookup_ids"))
-        .withColumn("lookup_id", F.explode("lookup_ids"))
-        .drop("lookup_ids")
+        _with_lowest(model, by)
+        .select(
+            *by, "slot", "cluster_id", "rank", "cell_id", "prob",
+            F.explode(F.expr(
+                f"if(cluster_id = lowest_id, array(cluster_id, {_NO_MATCH}), array(cluster_id))"
+            )).alias("lookup_id"),
+        )
     )
     predicted = _join_model(wanted, lookup, ["slot", "lookup_id"], by, size, keys)
     if not keep_unpredicted:
