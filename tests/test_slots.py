@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellpath.operators import daily, slots
 from cellpath.operators.backfill import backfill
 from cellpath.schema import slots_per_day
+from cellpath.session import checkpoint
 from helpers import by_key, pings, slow_backfill, slow_day_vector, vectors
 
 
@@ -78,11 +79,11 @@ def test_interval_must_divide_the_day():
 
 def test_hot_user_day_collapses_before_it_moves(spark):
     """A day with very many pings leaves the first stage as at most 1,440 rows per task."""
-    hot = spark.range(0, 200000, 1, 4).select(
+    hot = checkpoint(spark.range(0, 200000, 1, 4).select(
         F.lit("hot").alias("user_id"), F.lit(2024).alias("year"), F.lit(1).alias("month"), F.lit(1).alias("day"),
         (F.col("id") * 7 % 1440).cast("int").alias("minute_of_day"),
         (F.col("id") % 5).cast("int").alias("cell_id"), F.col("id").alias("ord"),
-    )
+    ))
     assert slots.minute_states(hot).count() == 1440
     plan = slots.day_vectors(hot)._jdf.queryExecution().executedPlan().toString()
     first_exchange = plan.rindex("Exchange")
