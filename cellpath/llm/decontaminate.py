@@ -24,14 +24,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellpath.llm.bitmaps import bitmap, holds
 from cellpath.llm.files import partition_index
 from cellpath.llm.staged import stage
 from cellpath.llm.words import ALNUM, Words, grams, slices
 
 WINDOW = 10
 SHINGLE = 5
-#: The bitmap has 64 bits for each shingle of the benchmark, and no more than this many.
-MOST_BITS = 1 << 26
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -76,28 +75,11 @@ def windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", tex
     return rows.mapInArrow(cut, "item_id string, size int, n int, words string, shingles array<long>")
 
 
-def _bitmap(shingles: DataFrame) -> np.ndarray:
-    """Bits of the hashes in column ``h``; at most ``MOST_BITS``, however many there are."""
-    count = shingles.select(F.approx_count_distinct("h")).first()[0]
-    bits = min(MOST_BITS, 1 << max(16, (64 * count).bit_length()))
-    place = F.col("h").bitwiseAND(bits - 1)
-    cells = (
-        shingles.select(F.shiftright(place, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-        .groupBy("cell")
-        .agg(F.bit_or("bit").alias("bit"))
-        .toArrow()
-    )
-    out = np.zeros(bits // 64, np.uint64)
-    out[cells["cell"].to_numpy()] = cells["bit"].to_numpy().view(np.uint64)
-    return out
-
-
-def _runs(docs: DataFrame, bitmap: Broadcast, least: dict[int, int]) -> DataFrame:
+def _runs(docs: DataFrame, known: Broadcast, least: dict[int, int]) -> DataFrame:
     """Per document: row, doc_id, n_words, runs (n, at, words, shingles)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, row = bitmap.value, partition_index() << 40
-        mask = np.uint64(len(bits) * 64 - 1)
+        row = partition_index() << 40
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part["text"], ALNUM, lower=True)
@@ -105,9 +87,7 @@ def _runs(docs: DataFrame, bitmap: Broadcast, least: dict[int, int]) -> DataFram
                 found = []
                 for n, shortest in least.items():
                     g = grams(words.hashes, n)
-                    place = g & mask
-                    hit = (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(np.bool_)
-                    at = np.flatnonzero(hit)
+                    at = np.flatnonzero(holds(known.value, g))
                     at = at[at + n <= ends[at]]
                     if not len(at):
                         continue
@@ -153,9 +133,9 @@ def find_contamination(
     spark = docs.sparkSession
     cut = stage(windows(items, window, item_col), "windows")
     sizes = {r["n"]: r["least"] - r["n"] + 1 for r in cut.groupBy("n").agg(F.min("size").alias("least")).collect()}  # <= 5 rows
-    bitmap = spark.sparkContext.broadcast(_bitmap(cut.select(F.explode("shingles").alias("h"))))
+    shingles = spark.sparkContext.broadcast(bitmap(cut.select(F.explode("shingles").alias("h"))))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stage(_runs(plain, bitmap, sizes), "runs")
+    found = stage(_runs(plain, shingles, sizes), "runs")
     runs = found.select("row", F.inline("runs"))
 
     distinct = stage(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellpath.llm import decontaminate, packing, token_store
+from cellpath.llm import decontaminate, packing, setsketch, token_store
 from cellpath.llm.ship import ship
 from cellpath.session import scratch_path
 
@@ -34,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-store")
     files = token_store.write_store(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -44,6 +48,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
+        "op7_setsketch": op7_setsketch,
         "op9_token_store": op9_token_store,
     }
 
