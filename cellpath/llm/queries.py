@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellpath.llm import decontaminate, packing, setsketch, token_store
+from cellpath.llm import backoff, decontaminate, packing, setsketch, token_store
 from cellpath.llm.ship import ship
 from cellpath.session import scratch_path
 
@@ -44,12 +45,18 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(files)
 
 
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return backoff.score_texts(table(spark, sf_dir, "documents"), held)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op7_setsketch": op7_setsketch,
         "op9_token_store": op9_token_store,
+        "op10_backoff_automaton": op10_backoff_automaton,
     }
 
 
