@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, packing, setsketch, token_store
+from cellpath.llm import backoff, decontaminate, embeddings, packing, setsketch, token_store
 from cellpath.llm.ship import ship
 from cellpath.session import scratch_path
 
@@ -39,6 +39,10 @@ def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-store")
     files = token_store.write_store(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op7_setsketch": op7_setsketch,
+        "op8_int8_tiles": op8_int8_tiles,
         "op9_token_store": op9_token_store,
         "op10_backoff_automaton": op10_backoff_automaton,
     }
