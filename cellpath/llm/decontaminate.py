@@ -145,7 +145,7 @@ def find_contamination(
     unique = cut.select("size", "n", "words", "shingles").dropDuplicates(["size", "words"])
     rarest = (
         unique.select("size", "n", "words", F.posexplode("shingles").alias("place", "h"))
-        .join(counts, ["n", "h"], "left")  # a window with a shingle that no document has cannot occur
+        .join(counts.hint("merge"), ["n", "h"], "left")  # a window with a shingle that no document has cannot occur
         .groupBy("size", "n", F.col("words").alias("window"))
         .agg(
             F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "place", "h")).alias("rare"),
@@ -156,7 +156,7 @@ def find_contamination(
     start = F.col("i") - F.col("place")
     hits = (
         distinct.select("n", "words", F.size("shingles").alias("positions"), F.posexplode("shingles").alias("i", "h"))
-        .join(rarest, ["n", "h"])
+        .join(rarest.hint("merge"), ["n", "h"])
         .where((start >= 0) & (start + F.col("size") <= F.col("positions") + F.col("n") - 1))
         .where(F.array_join(F.slice(F.split("words", " "), start + 1, F.col("size")), " ") == F.col("window"))
         .select("n", "words", "window", start.cast("long").alias("start"), F.col("size").cast("long").alias("size"))
@@ -164,18 +164,18 @@ def find_contamination(
     hits = stage(hits, "hits")
     spans = hits.groupBy("n", "words").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     owners = cut.select(F.col("words").alias("window"), "item_id").distinct()
-    named = hits.select("n", "words", "window").distinct().join(owners, "window")
+    named = hits.select("n", "words", "window").distinct().join(owners.hint("merge"), "window")
     ids = named.groupBy("n", "words").agg(F.collect_set("item_id").alias("ids"))
-    known = stage(spans.join(ids, ["n", "words"]), "known-runs")
+    known = stage(spans.join(ids.hint("merge"), ["n", "words"]), "known-runs")
     per_row = (
         runs.select("row", "n", "at", "words")
-        .join(known, ["n", "words"])
+        .join(known.hint("merge"), ["n", "words"])  # its size as shuffled says little: equal passages compress well
         .select("row", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["size"].alias("size"))).alias("spans"), "ids")
         .groupBy("row")
         .agg(F.flatten(F.collect_list("spans")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("items"))
     )
     none = F.array().cast("array<struct<start: bigint, size: bigint>>")
-    return found.select("row", "doc_id", "n_words").join(per_row, "row", "left").select(
+    return found.select("row", "doc_id", "n_words").join(per_row.hint("merge"), "row", "left").select(
         "row",
         "doc_id",
         "n_words",

@@ -152,7 +152,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     earlier = Window.partitionBy("length").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "slab", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("slab", "length").orderBy("nth")
-    ranked = pieces.withColumn("within", F.row_number().over(within) - 1).join(bases, ["slab", "length"])
+    ranked = pieces.withColumn("within", F.row_number().over(within) - 1).join(bases.hint("merge"), ["slab", "length"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -47,7 +47,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, ``n`` at least."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(19, int(n).bit_length())
         _powers[:] = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
@@ -80,8 +80,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``most`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most about ``most`` bytes of text, one row at least."""
     if not batch.num_rows:
         return
     _, at = text_bytes(batch[column])
