@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, embeddings, packing, setsketch, token_store
+from cellpath.llm import backoff, decontaminate, embeddings, packing, pii, setsketch, token_store
 from cellpath.llm.ship import ship
 from cellpath.session import scratch_path
 
@@ -26,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.with_spans(table(spark, sf_dir, "documents")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -56,6 +60,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_pii": op2_pii,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op7_setsketch": op7_setsketch,
