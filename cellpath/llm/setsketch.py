@@ -9,9 +9,9 @@ Jaccard similarity.
 1. Documents with equal sets become one node.
 2. Nodes with equal registers in one of ``BANDS`` bands of ``ROWS`` share a bucket. At a similarity of 0.75 a pair shares none
    with a probability of 2 in 100,000.
-3. Every node of a bucket is compared with the bucket's smallest, then those still apart with the smallest
-   node of every other component in the bucket, and at last all pairs still apart within a bucket. Pairs
-   that are connected already are not compared: a group of copies costs as many comparisons as it has members.
+3. Every node of a bucket is compared with the one that shares most buckets with others, which in a group of copies is what
+   they were copied from, so that one comparison a node connects most of the group. Nodes that share a bucket and
+   are still apart are then compared in blocks; pairs that are connected already are not.
 4. A comparison estimates the similarity from both sketches by maximum likelihood, given the set sizes; pairs that
    are at least ``exp(-CAUTION)`` times as likely at the threshold are confirmed on the full sets.
 
@@ -42,6 +42,8 @@ PERCENT = 75
 CAUTION = 10.0
 #: Register of a smallest value of 1; with it, sets of one to 10**9 shingles fit in a byte.
 ZERO = 32
+#: Nodes a block has on each side.
+CHUNK = 512
 
 _M = BANDS * ROWS
 _SEEDS = np.random.default_rng(7).integers(1, (1 << 64) - 1, _M, np.uint64) | np.uint64(1)
@@ -120,12 +122,9 @@ def _bands(nodes: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                regs = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                key = regs[:, :, 0] + (np.arange(BANDS, dtype=np.uint64) << np.uint64(48))
-                for i in range(1, ROWS):
-                    key += regs[:, :, i] << np.uint64(8 * i)
+                keys = _band_keys(np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix(key.ravel()).view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), BANDS))], names=["bucket", "node"]
+                    [pa.array(keys.ravel()), pa.array(np.repeat(batch["node"].to_numpy(), BANDS))], names=["bucket", "node"]
                 )
 
     return nodes.select("node", "sketch").mapInArrow(split, "bucket long, node long")
@@ -170,13 +169,14 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 _, behind = estimate(s_a, s_b, batch["n_a"].to_numpy().astype(float), batch["n_b"].to_numpy().astype(float))
                 yield batch.select(["a", "b"]).filter(pa.array(behind <= CAUTION))
 
-    return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(keep, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(keep, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, items: full sets of the wanted ``(node, doc_id)``, made again from the texts of those documents.
+def _sets_of(docs: DataFrame, wanted: DataFrame, short: bool = False) -> DataFrame:
+    """node, items: sets of the wanted ``(node, doc_id)``, made again from the texts of those documents.
 
-    A bitmap of their ids picks them where they are read; an exact join drops what else it lets through.
+    A bitmap of their ids picks them where they are read; an exact join drops what else it lets through. Full sets are arrays of
+    64-bit hashes; ``short`` ones are 32 bits of each as bytes, sorted.
     """
     ids = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(_id_hash("doc_id").alias("h")), per_hash=16))
 
@@ -188,12 +188,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 full = np.flatnonzero(np.diff(at))
                 if len(full):
                     bounds = np.concatenate([at[:-1][full], at[-1:]])
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
                     prints = pa.array(_fingerprint(values, bounds).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([prints, lists], names=["node", "items"])
+                    if short:
+                        upper = (values >> np.uint64(32)).astype(np.uint32)
+                        sets = pa.array([upper[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())
+                    else:
+                        sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([prints, sets], names=["node", "items"])
 
-    made = docs.select(_id_hash("doc_id").alias("h"), "text").mapInArrow(make, "node long, items array<long>")
-    return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+    kind = "binary" if short else "array<long>"
+    made = docs.select(_id_hash("doc_id").alias("h"), "text").mapInArrow(make, f"node long, items {kind}")
+    return made.join(wanted.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
 
 
 def _id_hash(column: str):
@@ -212,7 +217,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("i_b"))
     shared = F.size(F.array_intersect("i_a", "i_b"))
     union = F.size("i_a") + F.size("i_b") - shared
-    return likely.join(b, "b").join(a, "a").where(100 * shared >= PERCENT * union).select("a", "b")
+    return likely.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(100 * shared >= PERCENT * union).select("a", "b")
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -223,9 +228,78 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     return stage(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "apart")
 
 
-def _pairs(apart: DataFrame, others: DataFrame) -> DataFrame:
-    both = apart.join(others, "bucket").where("component != theirs")
-    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _leads(members: DataFrame) -> DataFrame:
+    """bucket, lead: the member that shares buckets with the most nodes, so the one most others are copies of."""
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    return members.join(weights.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+
+
+def _band_keys(sketches: np.ndarray) -> np.ndarray:
+    regs = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = regs[:, :, 0] + (np.arange(BANDS, dtype=np.uint64) << np.uint64(48))
+    for i in range(1, ROWS):
+        key += regs[:, :, i] << np.uint64(8 * i)
+    return mix(key).view(np.int64)
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Pairs of a block of a bucket that may be links: one of the nodes outside the bucket's main component."""
+    out = []
+    inner = table["inner"].to_numpy()
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, _M)
+    node, group, n = (table[c].to_numpy() for c in ("node", "component", "n"))
+    minor = table["minor"].to_numpy()
+    items = [np.frombuffer(x, np.uint32) for x in table["items"].to_pylist()]
+    left, right = np.flatnonzero(inner), np.flatnonzero(~inner)
+    if len(left) and len(right):
+        band = int(np.flatnonzero(_band_keys(sketch[left[:1]])[0] == table["bucket"][0].as_py())[0])
+        for x in left:
+            y = right[(group[right] != group[x]) & (~minor[right] | (node[x] < node[right]))]
+            y = y[PERCENT * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])]
+            shared = (sketch[y] == sketch[x]).reshape(-1, BANDS, ROWS).all(2)
+            y = y[shared.argmax(1) == band]  # a pair is looked at in its first common bucket only
+            if not len(y):
+                continue
+            _, behind = estimate(np.broadcast_to(sketch[x], (len(y), _M)), sketch[y], np.full(len(y), float(n[x])), n[y].astype(float))
+            y = y[behind <= CAUTION]
+            if not len(y):
+                continue
+            every = np.concatenate([items[i] for i in y])
+            begins = np.cumsum([0, *(len(items[i]) for i in y[:-1])])
+            place = np.minimum(np.searchsorted(items[x], every), len(items[x]) - 1)
+            both = np.add.reduceat((items[x][place] == every).astype(np.int64), begins)
+            # 32 bits may make sets share a little more; full sets decide
+            y = y[100 * both >= (PERCENT - 1) * (n[x] + n[y] - both)]
+            out += [(min(node[x], node[i]), max(node[x], node[i])) for i in y]
+    return pa.table({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
+
+
+def _rest(apart: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a bucket, are not connected yet, and may be links.
+
+    Members outside a bucket's largest component meet all members, in blocks of ``CHUNK`` by ``CHUNK``, and only what
+    may be a link leaves a block.
+    """
+    sizes = apart.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("total"))
+    main = main.select(
+        "bucket",
+        F.col("main.component").alias("main"),
+        F.ceil((F.col("total") - F.col("main.size")) / CHUNK).cast("int").alias("rows"),
+        F.ceil(F.col("total") / CHUNK).cast("int").alias("columns"),
+    )
+    tagged = apart.join(main.hint("merge"), "bucket").withColumn("minor", F.col("component") != F.col("main"))
+    spot = F.abs(F.xxhash64("node", "bucket"))
+    across = tagged.where("minor").select(
+        "bucket", "node", "component", "minor", F.lit(True).alias("inner"), (spot % F.col("rows")).cast("int").alias("r"), F.explode(F.expr("sequence(0, columns - 1)")).alias("c")
+    )
+    down = tagged.select(
+        "bucket", "node", "component", "minor", F.lit(False).alias("inner"), F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), (spot % F.col("columns")).cast("int").alias("c")
+    )
+    wanted = stage(apart.select("node").distinct().join(nodes.hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "n", "sketch"), "wanted")
+    held = stage(wanted.drop("doc_id").join(_sets_of(docs, wanted.select("node", "doc_id"), short=True).hint("merge"), "node"), "short-sets")
+    blocks = across.union(down).join(held.hint("merge"), "node")
+    return blocks.groupBy("bucket", "r", "c").applyInArrow(_compare_blocks, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,21 +312,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes"
     )
     buckets = _bands(nodes)
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    members = stage(buckets.join(shared.select("bucket", "lead"), "bucket"), "members")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = stage(buckets.join(shared.hint("merge"), "bucket"), "members")
 
+    led = members.join(_leads(members).hint("merge"), "bucket").where("node != lead")
+    pairs = led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     none = spark.createDataFrame([], "a long, b long")
-    pairs = stage(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stage(_verified(pairs, plain, nodes) or none, "links")
-    for every in (False, True):
-        apart = _apart(members, links)
-        if every:
-            others = apart.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"))
-        else:
-            others = apart.groupBy("bucket", F.col("component").alias("theirs")).agg(F.min("node").alias("other"))
-        fresh = stage(_pairs(apart, others).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = _verified(fresh, plain, nodes)
-        pairs = pairs.union(fresh)
+    apart = _apart(members, links)
+    if not apart.isEmpty():
+        more = _verified(stage(_rest(apart, plain, nodes), "rest"), plain, nodes)
         if more is not None:
             links = stage(links.union(more), "links")
 
