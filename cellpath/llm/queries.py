@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, embeddings, packing, pii, setsketch, token_store
+from cellpath.llm import backoff, decontaminate, embeddings, packing, pii, setsketch, token_store, warc
 from cellpath.llm.ship import ship
 from cellpath.session import scratch_path
 
@@ -39,6 +39,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(spark, folder, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op2_pii": op2_pii,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
+        "op6_warc": op6_warc,
         "op7_setsketch": op7_setsketch,
         "op8_int8_tiles": op8_int8_tiles,
         "op9_token_store": op9_token_store,
@@ -70,5 +78,20 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP6_SQL = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), q AS (
+    SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p
+), r AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM q
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6_SQL}
