@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, embeddings, packing, pii, setsketch, token_store, warc
+from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, setsketch, token_store, warc
 from cellpath.llm.ship import ship
 from cellpath.session import scratch_path
 
@@ -39,6 +39,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_texts(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -70,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op2_pii": op2_pii,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
+        "op5_html": op5_html,
         "op6_warc": op6_warc,
         "op7_setsketch": op7_setsketch,
         "op8_int8_tiles": op8_int8_tiles,
