@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellpath.llm.files import partition_index
-from cellpath.llm.staged import stage
+from cellpath.llm.staged import keep, stage
 from cellpath.llm.words import NOT_SPACE, Words, mix, slices
 from cellpath.session import shuffle_partitions
 
@@ -240,8 +240,8 @@ def score_texts(docs: DataFrame, held, *, prior: float = PRIOR, id_col: str = "d
     blocks = stage(_blocks(rows), "blocks")
     shards = shuffle_partitions(spark)
     asked = _requests(blocks, shards).groupBy("shard")
-    answers = stage(
-        asked.applyInArrow(_add_up, "block long, shard long, tokens long, types long, words binary, pairs binary"), "totals"
+    answers = keep(
+        asked.applyInArrow(_add_up, "block long, shard long, tokens long, types long, words binary, pairs binary")
     )
     total = answers.where("block = -1").agg(F.sum("tokens"), F.sum("types")).first()
     scorer = _score(prior, total[0] or 0, total[1] or 0)

@@ -26,13 +26,14 @@ def _pull(edges: DataFrame, larger_only: bool) -> DataFrame:
     return moved.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``edges (a, b)``; the component is its smallest node.
 
     Stars end up with one centre each, after a number of rounds that grows with the logarithm of
     the number of nodes. Loops and repeated edges do no harm.
     """
-    now = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
+    now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    now = stage(now, "components", small=True)
     mark = None
     while True:
         # done when every node hangs on one centre and no centre hangs on another
@@ -42,4 +43,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                 now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
             )
         mark = state
-        now = stage(_pull(_pull(now, True), False), name)
+        now = stage(_pull(_pull(now, True), False), "components", small=True)

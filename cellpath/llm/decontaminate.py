@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cellpath.llm.bitmaps import bitmap, holds
 from cellpath.llm.files import partition_index
-from cellpath.llm.staged import stage
+from cellpath.llm.staged import keep, stage
 from cellpath.llm.words import ALNUM, Words, grams, slices
 
 WINDOW = 10
@@ -138,9 +138,8 @@ def find_contamination(
     found = stage(_runs(plain, shingles, sizes), "runs")
     runs = found.select("row", F.inline("runs"))
 
-    distinct = stage(
-        runs.groupBy("n", "words").agg(F.count("*").alias("copies"), F.first("shingles").alias("shingles")), "distinct-runs"
-    )
+    distinct = keep(
+        runs.groupBy("n", "words").agg(F.count("*").alias("copies"), F.first("shingles").alias("shingles")))
     counts = distinct.select("n", "copies", F.explode("shingles").alias("h")).groupBy("n", "h").agg(F.sum("copies").alias("count"))
     unique = cut.select("size", "n", "words", "shingles").dropDuplicates(["size", "words"])
     rarest = (
@@ -161,12 +160,12 @@ def find_contamination(
         .where(F.array_join(F.slice(F.split("words", " "), start + 1, F.col("size")), " ") == F.col("window"))
         .select("n", "words", "window", start.cast("long").alias("start"), F.col("size").cast("long").alias("size"))
     )
-    hits = stage(hits, "hits")
+    hits = keep(hits)
     spans = hits.groupBy("n", "words").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     owners = cut.select(F.col("words").alias("window"), "item_id").distinct()
     named = hits.select("n", "words", "window").distinct().join(owners.hint("merge"), "window")
     ids = named.groupBy("n", "words").agg(F.collect_set("item_id").alias("ids"))
-    known = stage(spans.join(ids.hint("merge"), ["n", "words"]), "known-runs")
+    known = keep(spans.join(ids.hint("merge"), ["n", "words"]))
     per_row = (
         runs.select("row", "n", "at", "words")
         .join(known.hint("merge"), ["n", "words"])  # its size as shuffled says little: equal passages compress well

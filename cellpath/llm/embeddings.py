@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellpath.llm.components import components
-from cellpath.llm.staged import stage
+from cellpath.llm.staged import keep
 
 THRESHOLD = 0.95
 TILE = 4096
@@ -175,15 +175,14 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, tile: int) ->
     k = max(1, min(MOST_PIVOTS, n // (4 * tile)))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(k).select("embedding").collect()  # MOST_PIVOTS rows at most
     pivots = _unit(np.array([r[0] for r in sample], np.float64))
-    placed = stage(_tiles(nodes, pivots, n, tile), "cells")
+    placed = keep(_tiles(nodes, pivots, n, tile))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("size"))
     dealt = placed.join(sizes, "cell").withColumn("parts", F.ceil(F.col("size") / tile))
     dealt = dealt.withColumn("tile", F.shiftleft("cell", 32) + F.pmod(F.xxhash64("node"), F.col("parts")))
-    tiles = stage(
+    tiles = keep(
         dealt.select("tile", "cell", "angle", "node", "weight", "embedding")
         .groupBy("tile")
-        .applyInArrow(_gather, "tile long, cell long, radius double, nodes binary, weights binary, values binary"),
-        "tiles",
+        .applyInArrow(_gather, "tile long, cell long, radius double, nodes binary, weights binary, values binary")
     )
     outline = tiles.select("tile", "cell", "radius").toArrow()  # MOST_TILES rows at most
     number, cell, radius = (outline[c].to_numpy() for c in ("tile", "cell", "radius"))
@@ -198,7 +197,7 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, tile: int) ->
                 b = number[(number >= a) & (between[c, cell] - w - radius <= reach)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b)], names=["a", "b"])
 
-    pairs = stage(tiles.select("tile", "cell", "radius").mapInArrow(near, "a long, b long"), "tile-pairs")
+    pairs = keep(tiles.select("tile", "cell", "radius").mapInArrow(near, "a long, b long"))
     side = lambda s: tiles.select(
         F.col("tile").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "weights", "values"))
     )
@@ -216,11 +215,10 @@ def near_vectors(
         F.lit(False),
     )
     rows = rows.withColumn("node", F.when(sound, F.xxhash64("embedding")))
-    nodes = stage(
+    nodes = keep(
         rows.where("node is not null")
         .groupBy("node")
-        .agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")),
-        "vectors",
+        .agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
     )
     lengths = sorted(r[0] for r in nodes.select(F.size("embedding")).distinct().collect())
     found = None
@@ -229,16 +227,15 @@ def near_vectors(
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = stage(found, "vector-links")
+    found = keep(found)
     counts = found.where("not edge").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("edge").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    facts = stage(
+    facts = keep(
         named.join(least, "component")
         .join(counts, "node", "left")
-        .select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
-        "vector-facts",
+        .select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     )
     own = F.col("node").isNull()
     return rows.join(facts, "node", "left").select(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpath.llm.files import partition_index
-from cellpath.llm.staged import stage
+from cellpath.llm.staged import keep, stage
 from cellpath.llm.tokens import encoder, with_end
 from cellpath.llm.words import slices
 
@@ -146,7 +146,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     is ranked in as many tasks as there are slabs.
     """
     spark = pieces.sparkSession
-    counts = stage(pieces.groupBy("length", "slab").agg(F.count("*").alias("n")), "piece-counts")
+    counts = keep(pieces.groupBy("length", "slab").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
     earlier = Window.partitionBy("length").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, setsketch, token_store, warc
+from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, quality, setsketch, token_store, warc
 from cellpath.llm.ship import ship
 from cellpath.session import scratch_path
 
@@ -26,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.with_spans(table(spark, sf_dir, "documents")))
 
@@ -72,6 +76,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": op1_quality,
         "op2_pii": op2_pii,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,

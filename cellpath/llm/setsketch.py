@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cellpath.llm.bitmaps import bitmap, holds
 from cellpath.llm.components import components
-from cellpath.llm.staged import stage
+from cellpath.llm.staged import keep, stage
 from cellpath.llm.words import NOT_SPACE, Words, grams, mix, slices
 
 SHINGLE = 5
@@ -162,14 +162,14 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 s_a, s_b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, _M) for c in ("s_a", "s_b"))
                 _, behind = estimate(s_a, s_b, batch["n_a"].to_numpy().astype(float), batch["n_b"].to_numpy().astype(float))
                 yield batch.select(["a", "b"]).filter(pa.array(behind <= CAUTION))
 
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(keep, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(possible, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, short: bool = False) -> DataFrame:
@@ -207,12 +207,12 @@ def _id_hash(column: str):
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """Pairs that reach the threshold on their full sets; None if no pair may."""
-    likely = stage(_likely(pairs, nodes), "likely-pairs")
+    likely = keep(_likely(pairs, nodes))
     if likely.isEmpty():
         return None
     wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    wanted = stage(wanted.join(nodes, "node").select("node", F.col("first").alias("doc_id")), "wanted")
-    sets = stage(_sets_of(docs, wanted), "full-sets")
+    wanted = keep(wanted.join(nodes, "node").select("node", F.col("first").alias("doc_id")))
+    sets = keep(_sets_of(docs, wanted))
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("i_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("i_b"))
     shared = F.size(F.array_intersect("i_a", "i_b"))
@@ -225,7 +225,7 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     placed = members.select("bucket", "node").join(components(links), "node", "left")
     placed = placed.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return stage(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "apart")
+    return stage(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "apart", small=True)
 
 
 def _leads(members: DataFrame) -> DataFrame:
@@ -296,8 +296,8 @@ def _rest(apart: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     down = tagged.select(
         "bucket", "node", "component", "minor", F.lit(False).alias("inner"), F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), (spot % F.col("columns")).cast("int").alias("c")
     )
-    wanted = stage(apart.select("node").distinct().join(nodes.hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "n", "sketch"), "wanted")
-    held = stage(wanted.drop("doc_id").join(_sets_of(docs, wanted.select("node", "doc_id"), short=True).hint("merge"), "node"), "short-sets")
+    wanted = keep(apart.select("node").distinct().join(nodes.hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "n", "sketch"))
+    held = keep(wanted.drop("doc_id").join(_sets_of(docs, wanted.select("node", "doc_id"), short=True).hint("merge"), "node"))
     blocks = across.union(down).join(held.hint("merge"), "node")
     return blocks.groupBy("bucket", "r", "c").applyInArrow(_compare_blocks, "a long, b long").distinct()
 
@@ -308,26 +308,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = stage(_sketches(plain), "sketches")
     filled = made.where("node is not null")
-    nodes = stage(
-        filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes"
+    nodes = keep(
+        filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
     buckets = _bands(nodes)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stage(buckets.join(shared.hint("merge"), "bucket"), "members")
+    members = keep(buckets.join(shared.hint("merge"), "bucket"))
 
     led = members.join(_leads(members).hint("merge"), "bucket").where("node != lead")
     pairs = led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     none = spark.createDataFrame([], "a long, b long")
-    links = stage(_verified(pairs, plain, nodes) or none, "links")
+    links = stage(_verified(pairs, plain, nodes) or none, "links", small=True)
     apart = _apart(members, links)
     if not apart.isEmpty():
-        more = _verified(stage(_rest(apart, plain, nodes), "rest"), plain, nodes)
+        more = _verified(stage(_rest(apart, plain, nodes), "rest", small=True), plain, nodes)
         if more is not None:
-            links = stage(links.union(more), "links")
+            links = stage(links.union(more), "links", small=True)
 
     groups = components(links)
     named = nodes.select("node", "first").join(groups, "node").groupBy("component").agg(F.min("first").alias("least"))
-    labels = stage(groups.join(named, "component").select("node", "least"), "labels")
+    labels = stage(groups.join(named, "component").select("node", "least"), "labels", small=True)
     firsts = nodes.select("node", "first").join(labels, "node", "left").select("node", F.coalesce("least", "first").alias("least"))
     return made.join(firsts, "node", "left").select(
         "doc_id",
