@@ -31,6 +31,8 @@ from cellpath.llm.words import ALNUM, Words, grams, slices
 
 WINDOW = 10
 SHINGLE = 5
+#: Windows that begin in one piece of a long run.
+PIECE = 128
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -75,8 +77,8 @@ def windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", tex
     return rows.mapInArrow(cut, "item_id string, size int, n int, words string, shingles array<long>")
 
 
-def _runs(docs: DataFrame, known: Broadcast, least: dict[int, int]) -> DataFrame:
-    """Per document: row, doc_id, n_words, runs (n, at, words, shingles)."""
+def _runs(docs: DataFrame, known: Broadcast, least: dict[int, int], window: int) -> DataFrame:
+    """Per document: row, doc_id, n_words, runs (n, at, words, shingles), long ones in pieces that overlap by a window."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = partition_index() << 40
@@ -95,8 +97,9 @@ def _runs(docs: DataFrame, known: Broadcast, least: dict[int, int]) -> DataFrame
                     first = at[np.concatenate([[0], breaks])]
                     last = at[np.concatenate([breaks - 1, [len(at) - 1]])]
                     for a, b in zip(first, last):
-                        if b - a + 1 >= shortest:
-                            found.append((int(owner[a]), n, int(a), int(b) + n, g[a : b + 1].view(np.int64)))
+                        for low in range(a, b + 1, PIECE) if b - a + 1 >= shortest else ():
+                            high = min(b + 1, low + PIECE + window - n)
+                            found.append((int(owner[a]), n, int(low), int(high) - 1 + n, g[low:high].view(np.int64)))
                 found.sort(key=lambda x: (x[0], x[1], x[2]))
                 raw = words.data.tobytes() if found else b""
                 runs = pa.StructArray.from_arrays(
@@ -135,7 +138,7 @@ def find_contamination(
     sizes = {r["n"]: r["least"] - r["n"] + 1 for r in cut.groupBy("n").agg(F.min("size").alias("least")).collect()}  # <= 5 rows
     shingles = spark.sparkContext.broadcast(bitmap(cut.select(F.explode("shingles").alias("h"))))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stage(_runs(plain, shingles, sizes), "runs")
+    found = stage(_runs(plain, shingles, sizes, window), "runs")
     runs = found.select("row", F.inline("runs"))
 
     distinct = keep(
