@@ -35,7 +35,7 @@ WIDE_SLOTS = 96
 
 def lay_out(points: DataFrame, by: Sequence[str] = PER_USER) -> DataFrame:
     """Store points the way the iterations read them: by group, or by day when pooled."""
-    if by == POOLED:
+    if tuple(by) == POOLED:
         points = points.withColumn("pool", F.lit(0))
         return bucketed_table(points, USER_DAY, "points")
     return bucketed_table(points, by, "points")
@@ -54,7 +54,7 @@ def initial_centres(points: DataFrame, k: int, by: Sequence[str] = PER_USER, see
     """
     order = ["draw", *USER_DAY]
     drawn = points.withColumn("draw", F.expr(digest(USER_DAY, seed)))
-    if by == POOLED:
+    if tuple(by) == POOLED:
         drawn = drawn.orderBy(*order).limit(k)
     ranked = (
         drawn.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
@@ -76,12 +76,18 @@ def explode_centres(centres: DataFrame, by: Sequence[str] = PER_USER) -> DataFra
 
 def _attach(points: DataFrame, centres: DataFrame, by: Sequence[str], k: int, slots: int) -> DataFrame:
     """Put the centres of its group next to every point."""
-    if by != POOLED:
+    if tuple(by) != POOLED:
         # Centres grow with the groups, so no broadcast; only they move to the points' buckets.
         return points.join(centres.hint("merge"), list(by))
     return join_shared(points, centres, by, size=k * (4 * slots + 64), spread=USER_DAY)
 
 
+def _checked_cells(slots: int) -> str:
+    """The vector, or an error if it has another number of slots than the clustering."""
+    message = f"'day vector without the {slots} slots of the interval: ', coalesce(cast(size(cells) as string), 'null')"
+    return f"if(size(cells) = {slots}, cells, raise_error(concat({message})))"
+
+
 def assign(
     points: DataFrame,
     centres: DataFrame,
@@ -92,6 +98,7 @@ def assign(
 ) -> DataFrame:
     """Nearest centre of every point (``cluster_id``, ``distance``); ties go to the lowest id."""
     keys = [*_point_keys(by), "cells"]
+    points = points.withColumn("cells", F.expr(_checked_cells(slots)))
     pairs = _attach(points, centres, by, k, slots).selectExpr(*keys, "inline(centres) AS (cluster_id, centre)")
     key = distance_key(distance("cells", "centre", slots), "cluster_id", k)
     nearest = pairs.groupBy(*keys).agg(F.expr(f"min({key}) AS nearest"))

@@ -3,7 +3,9 @@
 Input rows hold the sequence key, ``past array<struct<minute, cell_id>>``,
 ``next_minute`` and, for evaluation, ``actual_cell``. The best model of a sequence is
 the one with the highest summed probability of its past points; ties, also at zero,
-go to the lowest cluster id.
+go to the lowest cluster id. Every input row is a sequence of its own, even where all its columns
+equal another's. Slots have the length that the model was built with (``interval_minutes``); another
+``interval`` is an error.
 
 Only (sequence, cluster) pairs that share a cell in some slot are ever formed. A
 sequence that matches nothing looks up its group's lowest cluster directly.
@@ -32,23 +34,42 @@ def _model_bytes(k: int, interval: int, top_k: int) -> int:
     return k * (1440 // interval) * top_k * 64
 
 
+# Tells apart sequences that are equal in all their columns.
+_ROW = "_sequence_row"
+
+
+def model_interval(model: DataFrame, interval: int | None = None) -> int:
+    """Minutes per slot of a model; an error if its rows differ or another ``interval`` is asked for."""
+    low, high = model.agg(F.min("interval_minutes"), F.max("interval_minutes")).first()
+    if low != high:
+        raise ValueError(f"the model mixes intervals from {low} to {high} minutes")
+    if low is not None and interval not in (None, low):
+        raise ValueError(f"the model has slots of {low} minutes, not {interval}")
+    return low or interval or INTERVAL_MINUTES
+
+
+def _measured(model: DataFrame, by: Sequence[str], size: int | None) -> int | None:
+    """Bytes of a pooled model, counted; what a caller expects can only add to it."""
+    if tuple(by) != POOLED:
+        return None
+    return max(size or 0, 2 * 64 * model.count())
+
+
 def _join_model(rows: DataFrame, lookup: DataFrame, on: Sequence[str], by: Sequence[str], size: int | None, spread: Sequence[str]) -> DataFrame:
-    if by != POOLED:
+    if tuple(by) != POOLED:
         return rows.join(lookup, [*by, *on], "left")
-    if size is None:
-        raise ValueError("a pooled model needs the size bound that k and top_k give")
     return join_shared(rows, lookup, [*by, *on], size, spread, "left")
 
 
 def _grouped(sequences: DataFrame, by: Sequence[str]) -> DataFrame:
-    if by == POOLED and "pool" not in sequences.columns:
+    if tuple(by) == POOLED and "pool" not in sequences.columns:
         return sequences.withColumn("pool", F.lit(0))
     return sequences
 
 
 def _scores(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str], size: int | None) -> DataFrame:
     """Per sequence and matching cluster its score; one row without cluster when nothing matches."""
-    sequences = _grouped(sequences, by)
+    sequences = _grouped(sequences, by).withColumn(_ROW, F.monotonically_increasing_id())
     keys = [c for c in sequences.columns if c != "past"]
     past = sequences.select(*keys, F.inline_outer("past").alias("minute", "cell_id"))
     past = past.withColumn("slot", F.expr(f"cast(minute div {interval} as int)"))
@@ -64,12 +85,13 @@ def _scores(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[
 def model_scores(
     sequences: DataFrame,
     model: DataFrame,
-    interval: int = INTERVAL_MINUTES,
+    interval: int | None = None,
     by: Sequence[str] = PER_USER,
     size: int | None = None,
 ) -> DataFrame:
     """Score of every cluster that explains at least one past point of a sequence."""
-    return _scores(sequences, model, interval, by, size).where("cluster_id IS NOT NULL")
+    interval, size = model_interval(model, interval), _measured(model, by, size)
+    return _scores(sequences, model, interval, by, size).where("cluster_id IS NOT NULL").drop(_ROW)
 
 
 def _best_match(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str], size: int | None) -> DataFrame:
@@ -86,11 +108,12 @@ def _best_match(sequences: DataFrame, model: DataFrame, interval: int, by: Seque
 def best_model(
     sequences: DataFrame,
     model: DataFrame,
-    interval: int = INTERVAL_MINUTES,
+    interval: int | None = None,
     by: Sequence[str] = PER_USER,
     size: int | None = None,
 ) -> DataFrame:
     """Best cluster and its score per sequence, for every sequence of a group with a model."""
+    interval, size = model_interval(model, interval), _measured(model, by, size)
     best = _best_match(sequences, model, interval, by, size)
     lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
     keys = [c for c in best.columns if c not in ("cluster_id", "score")]
@@ -98,12 +121,13 @@ def best_model(
         _join_model(best, lowest, [], by, size, keys)
         .where("lowest_id IS NOT NULL")
         .select(*keys, F.coalesce("cluster_id", "lowest_id").alias("cluster_id"), "score")
+        .drop(_ROW)
     )
 
 
 def _with_lowest(model: DataFrame, by: Sequence[str]) -> DataFrame:
     """Model rows with the lowest cluster id of their group."""
-    if by == POOLED:
+    if tuple(by) == POOLED:
         # One group of any size: a single row says it all.
         lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
         return model.join(F.broadcast(lowest), list(by))
@@ -113,7 +137,7 @@ def _with_lowest(model: DataFrame, by: Sequence[str]) -> DataFrame:
 def predict(
     sequences: DataFrame,
     model: DataFrame,
-    interval: int = INTERVAL_MINUTES,
+    interval: int | None = None,
     by: Sequence[str] = PER_USER,
     size: int | None = None,
     keep_unpredicted: bool = False,
@@ -123,6 +147,7 @@ def predict(
     Sequences of a group without a model give no row, or with ``keep_unpredicted``
     one row without a prediction.
     """
+    interval, size = model_interval(model, interval), _measured(model, by, size)
     best = _best_match(sequences, model, interval, by, size)
     keys = [c for c in best.columns if c not in ("cluster_id", "score")]
     wanted = best.select(
@@ -142,7 +167,7 @@ def predict(
     predicted = _join_model(wanted, lookup, ["slot", "lookup_id"], by, size, keys)
     if not keep_unpredicted:
         predicted = predicted.where("rank IS NOT NULL")
-    return predicted.select(*keys, "cluster_id", "score", "rank", "cell_id", "prob")
+    return predicted.select(*keys, "cluster_id", "score", "rank", "cell_id", "prob").drop(_ROW)
 
 
 def pooled_model_bytes(k: int, interval: int, top_k: int) -> int:

@@ -16,19 +16,20 @@ from cellpath.operators import daily, sampling, slots
 from cellpath.operators.backfill import backfill, unknown_share
 from cellpath.operators.evaluation import mark_hits, rank_hits, top_k_hit_rate
 from cellpath.operators.model import model_count, top_cells
-from cellpath.operators.prediction import best_model, model_scores, pooled_model_bytes, predict
+from cellpath.operators.prediction import best_model, model_scores, predict
+from cellpath.plans import jobs
 from cellpath.plans.jobs import prepared_vectors
 from cellpath.plans.train import cluster_days, model_of_points
-from cellpath.schema import INTERVAL_MINUTES, TOP_K, USER_DAY, slots_per_day
+from cellpath.schema import ITERATIONS, KMEANS_K, KMODES_K, USER_DAY, slots_per_day
 from cellpath.session import scratch_path, shuffle_partitions
 from cellpath.sources import pings as P
 from cellpath.sources import text
 from cellpath.sources.model_store import publish_model, read_model, write_model
 
-# Parameters of the registered queries. Fewer iterations than the default of the API.
-K = 5
-POOLED_K = 40
-ROUNDS = 5
+# Parameters of the registered queries: those of the API.
+K = KMEANS_K
+MODES_K = KMODES_K
+ROUNDS = ITERATIONS
 SLOTS = slots_per_day()
 USER = 21
 SEQUENCE = [*USER_DAY, "next_minute", "actual_cell"]
@@ -111,6 +112,11 @@ def _centres(spark: SparkSession, sf_dir: str, method: str, rounds: int = ROUNDS
     return _centre_rows(C.iterate(points, centres, k, SLOTS, rounds, by, method), by)
 
 
+def _mode_centres(spark: SparkSession, sf_dir: str, distance=C.squared) -> DataFrame:
+    points, centres = _start(spark, sf_dir, k=MODES_K)
+    return _centre_rows(C.iterate(points, centres, MODES_K, SLOTS, ROUNDS, method="kmodes", distance=distance))
+
+
 def _one_step(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     points, centres = _start(spark, sf_dir)
     return _centre_rows(C.step(points, centres, K, SLOTS, method=method))
@@ -125,12 +131,30 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.slot_counts(cluster_days(_points(spark, sf_dir), "kmeans", K, ROUNDS))
 
 
-def _model(spark: SparkSession, sf_dir: str, method: str = "kmeans") -> DataFrame:
-    return model_of_points(_points(spark, sf_dir), method, K, ROUNDS)
+def _model(spark: SparkSession, sf_dir: str, method: str = "kmeans", distance=C.squared) -> DataFrame:
+    return model_of_points(_points(spark, sf_dir), method, distance=distance)
+
+
+def _half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.lay_out(prepared_vectors(_pings(spark, sf_dir), 30))
+
+
+def _half_hour_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval comes from the model."""
+    days = _half_hours(spark, sf_dir)
+    model = C.checkpoint(model_of_points(days, interval=30))
+    sequences = sampling.past_and_future(sampling.sample_sequences(days, interval=30))
+    return rank_hits(predict(sequences, model, keep_unpredicted=True))
+
+
+def _repeated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence three times: each counts."""
+    sequences, model = _sequences_and_model(spark, sf_dir)
+    return rank_hits(predict(sequences.union(sequences).union(sequences), model, keep_unpredicted=True))
 
 
 def _pooled_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_of_points(_points(spark, sf_dir, C.POOLED), "kmodes", POOLED_K, ROUNDS, C.POOLED)
+    return model_of_points(_points(spark, sf_dir, C.POOLED), "kmodes", by=C.POOLED)
 
 
 def _sequences(days: DataFrame) -> DataFrame:
@@ -156,9 +180,54 @@ def _held_out_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pooled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir, C.POOLED)
-    model = C.checkpoint(model_of_points(points, "kmodes", POOLED_K, ROUNDS, C.POOLED))
-    size = pooled_model_bytes(POOLED_K, INTERVAL_MINUTES, TOP_K)
-    return rank_hits(predict(_sequences(points), model, by=C.POOLED, size=size, keep_unpredicted=True))
+    model = C.checkpoint(model_of_points(points, "kmodes", by=C.POOLED))
+    return rank_hits(predict(_sequences(points), model, by=C.POOLED, keep_unpredicted=True))
+
+
+def _stored_jobs(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """The prepare job on ping text: days, sequences, rejects."""
+    pings, *stored = (scratch_path(spark, name) for name in ("pings", "days", "sequences", "rejects"))
+    text.write_lines(raw_lines(spark, sf_dir).select("value"), pings)
+    jobs.prepare(spark, pings, stored[0], stored[1], rejects_path=stored[2])
+    return tuple(stored)
+
+
+def _pings_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "pings")
+    text.write_lines(raw_lines(spark, sf_dir).select("value"), path)
+    return P.parse_pings(P.read_ping_lines(spark, path)).drop("ord")
+
+
+def _prepare_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that the prepare job writes, by kind. Sequences are left to ``test_sequences_text``: they follow from the days."""
+    days, _, rejects = _stored_jobs(spark, sf_dir)
+    kinds = [spark.read.text(path).select(F.lit(kind).alias("kind"), "value") for kind, path in (("day", days), ("reject", rejects))]
+    return kinds[0].union(kinds[1])
+
+
+def _one_user_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train one user from day text."""
+    days, model = scratch_path(spark, "days"), scratch_path(spark, "model")
+    text.write_lines(text.vector_lines(_vectors(spark, sf_dir)), days)
+    jobs.train(spark, days, model, user_id=str(USER))
+    return read_model(spark, model, str(USER))
+
+
+def _hits_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three jobs with a pooled model that is stored in between."""
+    days, sequences, model = (scratch_path(spark, n) for n in ("days", "sequences", "model"))
+    vectors = _points(spark, sf_dir)
+    text.write_lines(text.vector_lines(vectors), days)
+    text.write_lines(text.sequence_lines(sampling.sample_sequences(vectors)), sequences)
+    jobs.train(spark, days, model, by=C.POOLED, method="kmodes")
+    return jobs.evaluate(spark, sequences, model, by=C.POOLED)
+
+
+def _pooled_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, published = scratch_path(spark, "model"), scratch_path(spark, "published")
+    write_model(_pooled_model(spark, sf_dir), stored)
+    publish_model(spark, stored, published)
+    return read_model(spark, published).drop("pool")
 
 
 def _vectors_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +247,7 @@ def _model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = shuffle_partitions(spark)
     write_model(_model(spark, sf_dir), stored, buckets)
     publish_model(spark, stored, published)
-    return read_model(spark, published, buckets=buckets)
+    return read_model(spark, published)
 
 
 def queries() -> dict[str, Query]:
@@ -219,14 +288,17 @@ def queries() -> dict[str, Query]:
         "kmeans_step": lambda s, d: _one_step(s, d, "kmeans"),
         "kmeans_centres": lambda s, d: _centres(s, d, "kmeans"),
         "kmodes_step": lambda s, d: _one_step(s, d, "kmodes"),
-        "kmodes_centres": lambda s, d: _centres(s, d, "kmodes"),
-        "kmodes_centres_pooled": lambda s, d: _centres(s, d, "kmodes", by=C.POOLED, k=POOLED_K),
-        "kmeans_centres_pooled": lambda s, d: _centres(s, d, "kmeans", by=C.POOLED, k=POOLED_K),
+        "kmodes_centres": _mode_centres,
+        "kmodes_centres_hamming": lambda s, d: _mode_centres(s, d, hamming),
+        "kmodes_centres_pooled": lambda s, d: _centres(s, d, "kmodes", by=C.POOLED, k=MODES_K),
+        "kmeans_centres_pooled": lambda s, d: _centres(s, d, "kmeans", by=C.POOLED),
         # model
         "cluster_slot_counts": _counts,
         "cluster_topk": lambda s, d: top_cells(_counts(s, d)),
         "model_kmeans": _model,
         "model_kmodes": lambda s, d: _model(s, d, "kmodes"),
+        "model_kmodes_hamming": lambda s, d: _model(s, d, "kmodes", hamming),
+        "model_kmeans_30min": lambda s, d: model_of_points(_half_hours(s, d), interval=30),
         "model_kmodes_pooled": lambda s, d: _pooled_model(s, d).drop("pool"),
         "model_count": lambda s, d: model_count(_model(s, d)),
         # prediction
@@ -235,6 +307,9 @@ def queries() -> dict[str, Query]:
         "predict_next": _predictions,
         "predicted_vs_actual": lambda s, d: mark_hits(_predictions(s, d)).select(*SEQUENCE, "rank", "cell_id", "hit"),
         "rank_hits": lambda s, d: rank_hits(_predictions(s, d, True)),
+        "rank_hits_30min": _half_hour_hits,
+        "rank_hits_repeated": _repeated_hits,
+        "rank_hits_from_store": _hits_from_store,
         "rank_hits_held_out": _held_out_hits,
         "rank_hits_pooled": _pooled_hits,
         "hit_rate_topk": lambda s, d: top_k_hit_rate(rank_hits(_predictions(s, d, True))),
@@ -243,4 +318,9 @@ def queries() -> dict[str, Query]:
         "day_vectors_roundtrip": _vectors_round_trip,
         "test_sequences_roundtrip": _sequences_round_trip,
         "model_store_roundtrip": _model_round_trip,
+        "model_store_roundtrip_pooled": _pooled_round_trip,
+        # jobs on text
+        "pings_from_text": _pings_from_text,
+        "prepare_job": _prepare_job,
+        "train_job_one_user": _one_user_job,
     }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellpath.operators.backfill import backfill
+from cellpath.operators.clustering import PER_USER
 from cellpath.operators.evaluation import rank_hits
 from cellpath.operators.prediction import predict
 from cellpath.operators.sampling import past_and_future, sample_sequences
@@ -12,9 +16,10 @@ from cellpath.operators.slots import day_vectors
 from cellpath.plans.train import build_model
 from cellpath.schema import INTERVAL_MINUTES, LOST_SIGNAL_CELL, PREVIOUS_POINTS, SEED
 from cellpath.sources.model_store import read_model, write_model
-from cellpath.sources.pings import for_user, parse_pings, read_ping_lines
+from cellpath.sources.pings import parse_pings, read_ping_lines, rejected_lines
 from cellpath.sources.text import (
-    read_sequences,
+    parse_sequences,
+    parse_vectors,
     read_vectors,
     sequence_lines,
     vector_lines,
@@ -40,21 +45,28 @@ def prepare(
     interval: int = INTERVAL_MINUTES,
     previous_points: int = PREVIOUS_POINTS,
     seed: int = SEED,
+    rejects_path: str | None = None,
 ) -> None:
-    """Ping lines to day vectors and test sequences, both as text."""
-    vectors = prepared_vectors(parse_pings(read_ping_lines(spark, pings_path)), interval)
+    """Ping lines to day vectors and test sequences, both as text; lines that are no pings go to ``rejects_path``."""
+    lines = read_ping_lines(spark, pings_path)
+    if rejects_path is not None:
+        write_lines(rejected_lines(lines).select("value"), rejects_path)
+    vectors = prepared_vectors(parse_pings(lines), interval)
     write_lines(vector_lines(vectors), vectors_path)
     # The sequences start from the stored vectors: the pings are read once.
     sequences = sample_sequences(read_vectors(spark, vectors_path), previous_points, interval, seed)
     write_lines(sequence_lines(sequences), sequences_path)
 
 
+def _lines_of(lines: DataFrame, user_id: str | None) -> DataFrame:
+    """Lines of one user, chosen before any is split."""
+    return lines if user_id is None else lines.where(F.col("value").startswith(f"{user_id}|"))
+
+
 def train(spark: SparkSession, vectors_path: str, model_path: str, user_id: str | None = None, **options) -> None:
-    """Stored day vectors to a stored per-user model; ``options`` as for ``build_model``."""
-    vectors = read_vectors(spark, vectors_path)
-    if user_id is not None:
-        vectors = for_user(vectors, user_id)
-    write_model(build_model(vectors, **options), model_path)
+    """Stored day vectors to a stored model, per user or pooled; ``options`` as for ``build_model``."""
+    lines = _lines_of(spark.read.text(vectors_path), user_id)
+    write_model(build_model(parse_vectors(lines), **options), model_path)
 
 
 def evaluate(
@@ -62,11 +74,9 @@ def evaluate(
     sequences_path: str,
     model_path: str,
     user_id: str | None = None,
-    interval: int = INTERVAL_MINUTES,
+    by: Sequence[str] = PER_USER,
 ) -> DataFrame:
-    """Hits per rank of a stored model on stored test sequences."""
-    sequences = read_sequences(spark, sequences_path)
-    if user_id is not None:
-        sequences = for_user(sequences, user_id)
-    model = read_model(spark, model_path, user_id)
-    return rank_hits(predict(past_and_future(sequences), model, interval, keep_unpredicted=True))
+    """Hits per rank of a stored model on stored test sequences; ``by`` as the model was trained."""
+    sequences = parse_sequences(_lines_of(spark.read.text(sequences_path), user_id))
+    model = read_model(spark, model_path, user_id if tuple(by) == PER_USER else None)
+    return rank_hits(predict(past_and_future(sequences), model, by=by, keep_unpredicted=True))

@@ -6,7 +6,7 @@ uncollapsed pings, loops are unrolled into one CTE per round.
 
 from __future__ import annotations
 
-from cellpath.plans.catalog import K, POOLED_K, ROUNDS, USER
+from cellpath.plans.catalog import K, MODES_K, ROUNDS, USER
 from cellpath.schema import SEED
 
 DAY = "user_id, year, month, day"
@@ -56,39 +56,44 @@ day_slots AS MATERIALIZED (
     AND d.year = g.year AND d.month = g.month AND d.day = g.day AND d.slot = g.slot)"""
 
 
-def _filled(strict: bool = True) -> str:
+def _filled(strict: bool = True, slots: int = 24) -> str:
     """``filled(user, day, slot, cell_id)`` and its text form ``vec(user, day, cells)``."""
     first = "lag(day, 2) OVER w = day - 2" if strict else "TRUE"
     return f"""
 ends AS (
-  SELECT {DAY}, max(cell_id) FILTER (slot = 23) AS last_cell, min(slot) FILTER (cell_id <> -1) AS known_from
+  SELECT {DAY}, max(cell_id) FILTER (slot = {slots - 1}) AS last_cell, min(slot) FILTER (cell_id <> -1) AS known_from
   FROM day_slots GROUP BY ALL),
 fills AS (
   SELECT {DAY}, known_from,
          CASE WHEN lag(day, 1) OVER w = day - 1 AND {first} THEN lag(last_cell) OVER w ELSE -1 END AS fill
   FROM ends WINDOW w AS (PARTITION BY user_id, year, month ORDER BY day)),
 filled AS MATERIALIZED (
-  SELECT {DAY}, slot, (CASE WHEN slot < coalesce(known_from, 24) THEN fill ELSE cell_id END)::INT AS cell_id
+  SELECT {DAY}, slot, (CASE WHEN slot < coalesce(known_from, {slots}) THEN fill ELSE cell_id END)::INT AS cell_id
   FROM day_slots JOIN fills USING ({DAY}))"""
 
 
 BASE = PINGS + "," + _slots()
 FILLED = BASE + "," + _filled()
 
-TEST_POINTS = FILLED + f""",
+
+def _test_points(filled: str, interval: int = 60) -> str:
+    return filled + f""",
 drawn AS (
   SELECT *, md5(concat_ws('|', user_id, year, month, day, slot, {SEED})) AS h FROM filled),
 test_points AS MATERIALIZED (
-  SELECT {DAY}, (slot * 60 + ('0x' || substr(h, 9, 8))::BIGINT % 60)::INT AS minute, cell_id
+  SELECT {DAY}, (slot * {interval} + ('0x' || substr(h, 9, 8))::BIGINT % {interval})::INT AS minute, cell_id
   FROM drawn QUALIFY row_number() OVER (PARTITION BY {DAY} ORDER BY h, slot) <= 4),
 seqs AS MATERIALIZED (
   SELECT {DAY}, max(minute)::INT AS next_minute, arg_max(cell_id, minute)::INT AS actual_cell
   FROM test_points GROUP BY ALL),
 past AS (
-  SELECT t.*, (t.minute // 60)::INT AS slot, s.next_minute, s.actual_cell
+  SELECT t.*, (t.minute // {interval})::INT AS slot, s.next_minute, s.actual_cell
   FROM test_points t JOIN seqs s USING ({DAY}) WHERE t.minute < s.next_minute)"""
 
 
+TEST_POINTS = _test_points(FILLED)
+
+
 def _split_ctes() -> str:
     draw = f"('0x' || substr(md5(concat_ws('|', user_id, year, month, day, {SEED})), 1, 8))::BIGINT % 100 < 80"
     return f"""
@@ -108,7 +113,11 @@ c0 AS MATERIALIZED (
   SELECT g, cluster_id::INT AS cluster_id, slot, x AS c FROM draw JOIN pt USING (g, {DAY}) WHERE cluster_id < {k})"""
 
 
-def _assign(i: int, metric: str = "(x - c)::BIGINT * (x - c)::BIGINT") -> str:
+SQUARED = "(x - c)::BIGINT * (x - c)::BIGINT"
+DIFFERENT = "(x <> c)::BIGINT"
+
+
+def _assign(i: int, metric: str = SQUARED) -> str:
     return f"""
 a{i} AS MATERIALIZED (
   SELECT g, {DAY}, cluster_id, dist FROM (
@@ -133,18 +142,20 @@ c{i + 1} AS MATERIALIZED (
   QUALIFY row_number() OVER (PARTITION BY g, cluster_id, slot ORDER BY freq DESC, x) = 1)"""
 
 
-def _rounds(n: int, method: str, k: int, pooled: bool = False, source: str = "filled") -> str:
+def _rounds(n: int, method: str, k: int, pooled: bool = False, source: str = "filled", metric: str = SQUARED) -> str:
     """``n`` full rounds: centres up to ``c{n}``."""
     ctes = [_centres0(k, pooled, source)]
     for i in range(n):
-        ctes += [_assign(i), _update(i, method)]
+        ctes += [_assign(i, metric), _update(i, method)]
     return ",".join(ctes)
 
 
-def _model(method: str, k: int, pooled: bool = False, source: str = "filled") -> str:
+def _model(
+    method: str, k: int, pooled: bool = False, source: str = "filled", metric: str = SQUARED, interval: int = 60
+) -> str:
     """``counts`` and ``model`` after the rounds."""
     rounds = ROUNDS if method == "kmeans" else ROUNDS - 1
-    return _rounds(rounds, method, k, pooled, source) + "," + _assign(rounds) + f""",
+    return _rounds(rounds, method, k, pooled, source, metric) + "," + _assign(rounds, metric) + f""",
 counts AS (
   SELECT g AS user_id, cluster_id, slot, x AS cell_id, count(*) AS freq
   FROM a{rounds} JOIN pt USING (g, {DAY}) GROUP BY a{rounds}.g, cluster_id, slot, x),
@@ -154,14 +165,14 @@ top AS (
 model AS MATERIALIZED (
   SELECT user_id, cluster_id, slot, rank, cell_id, freq,
          freq::DOUBLE / (sum(freq) OVER (PARTITION BY user_id, cluster_id, slot))::DOUBLE AS prob,
-         60 AS interval_minutes
+         {interval} AS interval_minutes
   FROM top)"""
 
 
 SEQ = f"{DAY}, next_minute, actual_cell"
 
 
-def _predicted(pooled: bool = False) -> str:
+def _predicted(pooled: bool = False, interval: int = 60) -> str:
     group = "0" if pooled else "s.user_id"
     point_group = "0" if pooled else "p.user_id"
     return f"""
@@ -178,7 +189,7 @@ best AS MATERIALIZED (
   SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY {DAY} ORDER BY score DESC, cluster_id) = 1),
 pred AS MATERIALIZED (
   SELECT {', '.join('s.' + c.strip() for c in SEQ.split(','))}, s.cluster_id, s.score, m.rank, m.cell_id, m.prob
-  FROM best s JOIN model m ON m.user_id = {group} AND m.cluster_id = s.cluster_id AND m.slot = s.next_minute // 60),
+  FROM best s JOIN model m ON m.user_id = {group} AND m.cluster_id = s.cluster_id AND m.slot = s.next_minute // {interval}),
 hits AS (
   SELECT rank, sum((cell_id = actual_cell)::INT)::BIGINT AS hits,
          (SELECT count(*) FROM seqs) AS n_predictions
@@ -218,6 +229,11 @@ HITS = "SELECT rank, hits, n_predictions, hits::DOUBLE / n_predictions AS hit_ra
 def oracle_sql() -> dict[str, str]:
     kmeans = FILLED + "," + _model("kmeans", K)
     predicted = TEST_POINTS + "," + _model("kmeans", K) + "," + _predicted()
+    half_hours = PINGS + "," + _slots(30) + "," + _filled(slots=48)
+    pooled_model = _with(FILLED + "," + _model("kmodes", MODES_K, True), MODEL.replace("user_id, ", ""))
+    pooled_hits = _with(TEST_POINTS + "," + _model("kmodes", MODES_K, True) + "," + _predicted(pooled=True), HITS)
+    good = _raw_line().replace("pings AS MATERIALIZED", "all_pings AS MATERIALIZED").replace("FROM pings p", "FROM all_pings p") + """,
+pings AS MATERIALIZED (SELECT * EXCLUDE (bad, reason) FROM raw WHERE reason IS NULL)"""
     wide = ", ".join(f"max(cell_id) FILTER (slot = {s}) AS h{s:02d}" for s in range(24))
     held_out = TEST_POINTS.replace("FROM filled)", "FROM test_days)")
     return {
@@ -278,34 +294,46 @@ FROM (SELECT DISTINCT {DAY}, slot FROM slot_dwell) LEFT JOIN winner USING ({DAY}
             FILLED + "," + _centres0(K, False) + "," + _assign(0), f"SELECT {DAY}, cluster_id, dist AS distance FROM a0"
         ),
         "nearest_centre_hamming": _with(
-            FILLED + "," + _centres0(K, False) + "," + _assign(0, "(x <> c)::BIGINT"),
+            FILLED + "," + _centres0(K, False) + "," + _assign(0, DIFFERENT),
             f"SELECT {DAY}, cluster_id, dist AS distance FROM a0",
         ),
         "kmeans_step": _with(FILLED + "," + _rounds(1, "kmeans", K), CENTRES.format("c1")),
         "kmeans_centres": _with(FILLED + "," + _rounds(ROUNDS, "kmeans", K), CENTRES.format(f"c{ROUNDS}")),
         "kmodes_step": _with(FILLED + "," + _rounds(1, "kmodes", K), CENTRES.format("c1")),
-        "kmodes_centres": _with(FILLED + "," + _rounds(ROUNDS, "kmodes", K), CENTRES.format(f"c{ROUNDS}")),
+        "kmodes_centres": _with(FILLED + "," + _rounds(ROUNDS, "kmodes", MODES_K), CENTRES.format(f"c{ROUNDS}")),
+        "kmodes_centres_hamming": _with(
+            FILLED + "," + _rounds(ROUNDS, "kmodes", MODES_K, metric=DIFFERENT), CENTRES.format(f"c{ROUNDS}")
+        ),
         "kmodes_centres_pooled": _with(
-            FILLED + "," + _rounds(ROUNDS, "kmodes", POOLED_K, True),
+            FILLED + "," + _rounds(ROUNDS, "kmodes", MODES_K, True),
             f"SELECT cluster_id, slot, c AS cell_id FROM c{ROUNDS}",
         ),
         "kmeans_centres_pooled": _with(
-            FILLED + "," + _rounds(ROUNDS, "kmeans", POOLED_K, True),
+            FILLED + "," + _rounds(ROUNDS, "kmeans", K, True),
             f"SELECT cluster_id, slot, c AS cell_id FROM c{ROUNDS}",
         ),
         "cluster_slot_counts": _with(kmeans, "SELECT * FROM counts"),
         "cluster_topk": _with(kmeans, "SELECT * FROM top"),
         "model_kmeans": _with(kmeans, MODEL),
-        "model_kmodes": _with(FILLED + "," + _model("kmodes", K), MODEL),
-        "model_kmodes_pooled": _with(
-            FILLED + "," + _model("kmodes", POOLED_K, True), MODEL.replace("user_id, ", "")
-        ),
+        "model_kmodes": _with(FILLED + "," + _model("kmodes", MODES_K), MODEL),
+        "model_kmodes_hamming": _with(FILLED + "," + _model("kmodes", MODES_K, metric=DIFFERENT), MODEL),
+        "model_kmeans_30min": _with(half_hours + "," + _model("kmeans", K, interval=30), MODEL),
+        "model_kmodes_pooled": pooled_model,
         "model_count": _with(kmeans, "SELECT count(*) AS n_models FROM (SELECT DISTINCT user_id, cluster_id FROM model)"),
         "model_scores": _with(predicted, f"SELECT {SEQ}, cluster_id, score FROM scored"),
         "best_model": _with(predicted, f"SELECT {SEQ}, cluster_id, score FROM best"),
         "predict_next": _with(predicted, "SELECT * FROM pred"),
         "predicted_vs_actual": _with(predicted, f"SELECT {SEQ}, rank, cell_id, (cell_id = actual_cell)::INT AS hit FROM pred"),
         "rank_hits": _with(predicted, HITS),
+        "rank_hits_30min": _with(
+            _test_points(half_hours, 30) + "," + _model("kmeans", K, interval=30) + "," + _predicted(interval=30), HITS
+        ),
+        "rank_hits_repeated": _with(
+            predicted,
+            "SELECT rank, (3 * hits)::BIGINT AS hits, (3 * n_predictions)::BIGINT AS n_predictions, "
+            "hits::DOUBLE / n_predictions AS hit_rate FROM hits",
+        ),
+        "rank_hits_from_store": pooled_hits,
         "rank_hits_held_out": _with(
             held_out.replace("drawn AS (", _split_ctes() + f""",
 train_days AS MATERIALIZED (SELECT {DAY}, slot, cell_id FROM split WHERE is_train),
@@ -313,9 +341,7 @@ test_days AS MATERIALIZED (SELECT {DAY}, slot, cell_id FROM split WHERE NOT is_t
 drawn AS (""") + "," + _model("kmeans", K, source="train_days") + "," + _predicted(),
             HITS,
         ),
-        "rank_hits_pooled": _with(
-            TEST_POINTS + "," + _model("kmodes", POOLED_K, True) + "," + _predicted(pooled=True), HITS
-        ),
+        "rank_hits_pooled": pooled_hits,
         "hit_rate_topk": _with(
             predicted,
             """SELECT rank, (sum(hits) OVER (ORDER BY rank))::BIGINT AS hits_up_to_rank, n_predictions,
@@ -331,4 +357,17 @@ drawn AS (""") + "," + _model("kmeans", K, source="train_days") + "," + _predict
             TEST_POINTS, "SELECT user_id::VARCHAR AS user_id, year, month, day, minute, cell_id FROM test_points"
         ),
         "model_store_roundtrip": _with(kmeans, MODEL),
+        "model_store_roundtrip_pooled": pooled_model,
+        "pings_from_text": _with(
+            _raw_line(),
+            "SELECT user_id::VARCHAR AS user_id, year, month, day, minute_of_day, cell_id FROM raw WHERE reason IS NULL",
+        ),
+        "prepare_job": _with(
+            good + "," + _slots() + "," + _filled(),
+            f"""SELECT 'day' AS kind, concat_ws('|', user_id, year, month, day, {VEC}) AS value FROM filled GROUP BY {DAY}
+UNION ALL SELECT 'reject', bad FROM raw WHERE reason IS NOT NULL""",
+        ),
+        "train_job_one_user": _with(
+            kmeans, f"SELECT user_id::VARCHAR AS user_id, cluster_id, slot, rank, cell_id, freq, prob, interval_minutes FROM model WHERE user_id = {USER}"
+        ),
     }

@@ -27,11 +27,13 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from the session.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    Only a local session that names none (a test) gets a temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if configured is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cellpath-"))
     return configured or sc.getCheckpointDir()
 

@@ -1,7 +1,13 @@
-"""Models as Parquet, split by a hash of the user so that one user reads one folder."""
+"""Models as Parquet, split by a hash of the user so that one user reads one folder.
+
+The number of folders is stored with the model. A pooled model has a single folder.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,32 +18,62 @@ def _bucket(user: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(user.cast("string")), F.lit(buckets)).cast("int")
 
 
+def _order(model: DataFrame) -> list[str]:
+    return [c for c in ("user_bucket", "user_id", "pool", "cluster_id", "slot", "rank") if c in model.columns]
+
+
 def write_model(model: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
-    """Store a per-user model.
+    """Store a model, per user or pooled.
 
     Rebalancing gives files of even size: small folders get one, big ones several.
     """
+    per_user = "user_id" in model.columns
+    bucket = _bucket(F.col("user_id"), buckets) if per_user else F.lit(0)
+    stored = model.withColumn("user_bucket", bucket).withColumn("store_buckets", F.lit(buckets if per_user else 1))
     (
-        model.withColumn("user_bucket", _bucket(F.col("user_id"), buckets))
-        .hint("rebalance", "user_bucket")
-        .sortWithinPartitions("user_bucket", "user_id", "cluster_id", "slot", "rank")
+        stored.hint("rebalance", "user_bucket")
+        .sortWithinPartitions(*_order(stored))
         .write.mode("overwrite")
         .partitionBy("user_bucket")
         .parquet(path)
     )
 
 
-def read_model(spark: SparkSession, path: str, user_id=None, buckets: int = STORE_BUCKETS) -> DataFrame:
+# Columns of a stored model without rows, which leaves no file to take them from.
+_EMPTY = """user_id string, cluster_id int, slot int, rank int, cell_id int, freq bigint, prob double,
+    interval_minutes int, store_buckets int, user_bucket int"""
+
+
+def read_model(spark: SparkSession, path: str, user_id=None) -> DataFrame:
     """Load a stored model; with ``user_id`` only that user's folder is read."""
-    model = spark.read.parquet(path)
+    try:
+        model = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        model = spark.read.schema(_EMPTY).parquet(path)
     if user_id is not None:
-        model = model.where(
-            (F.col("user_bucket") == _bucket(F.lit(user_id), buckets)) & (F.col("user_id") == F.lit(user_id))
-        )
-    return model.drop("user_bucket")
+        if "user_id" not in model.columns:
+            raise ValueError(f"the model in {path} is pooled; it has no users")
+        one = model.select("store_buckets").first()
+        if one is not None:
+            model = model.where(F.col("user_bucket") == _bucket(F.lit(user_id), one[0]))
+        model = model.where(F.col("user_id") == F.lit(user_id))
+    return model.drop("user_bucket", "store_buckets")
 
 
 def publish_model(spark: SparkSession, source: str, target: str) -> None:
-    """Copy a stored model to another place, replacing what is there."""
+    """Copy a stored model to another place, replacing what is there.
+
+    Nothing is shuffled, and the order within files stays. The copy is written beside the target and takes its
+    name when it is whole, so a reader never meets half a model.
+    """
     stored = spark.read.parquet(source)
-    stored.hint("rebalance", "user_bucket").write.mode("overwrite").partitionBy("user_bucket").parquet(target)
+    draft = f"{target.rstrip('/')}-{uuid.uuid4().hex}"
+    stored.sortWithinPartitions(*_order(stored)).write.partitionBy("user_bucket").parquet(draft)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path(target)):
+        store.delete(path(target), True)
+    if not store.rename(path(draft), path(target)):
+        raise OSError(f"could not rename {draft} to {target}")

@@ -120,8 +120,35 @@ def test_pooled_prediction(spark, monkeypatch, limit):
     want = predict(sequences, copies)
     assert sorted(map(tuple, got.drop("pool").collect())) == sorted(map(tuple, want.collect()))
     assert len(best) == 30
-    with pytest.raises(ValueError):
-        predict(sequences, model, by=C.POOLED)
+    # The size is counted where none is given.
+    assert sorted(map(tuple, predict(sequences, model, by=["pool"]).collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_equal_sequences_count_each(spark):
+    days = vectors(spark, [("A", d, [5] * 24) for d in range(3)])
+    model = C.checkpoint(model_of_points(C.lay_out(days), "kmeans", 1, 1))
+    one = past_and_future(sample_sequences(days)).limit(1)
+    got = predict(one.union(one).union(one), model, keep_unpredicted=True)
+    assert [r.score for r in got.collect()] == [3.0] * 3
+    assert rank_hits(got).first().n_predictions == 3
+    assert model_scores(one.union(one), model).count() == 2
+
+
+def test_interval_comes_from_the_model(spark):
+    days = vectors(spark, [("A", d, [5] * 24 + [6] * 24) for d in range(3)])
+    model = C.checkpoint(model_of_points(C.lay_out(days), "kmeans", 1, 1, interval=30))
+    sequences = past_and_future(sample_sequences(days, interval=30))
+    assert {(r.next_minute // 720, r.cell_id) for r in predict(sequences, model).collect()} <= {(0, 5), (1, 6)}
+    with pytest.raises(ValueError, match="30 minutes"):
+        predict(sequences, model, interval=60)
+    with pytest.raises(ValueError, match="mixes"):
+        predict(sequences, model.union(model.withColumn("interval_minutes", F.lit(60))))
+
+
+def test_vector_of_another_length_is_an_error(spark):
+    days = vectors(spark, [("A", d, [5] * 48) for d in range(3)])
+    with pytest.raises(Exception, match="without the 24 slots"):
+        model_of_points(C.lay_out(days), "kmeans", 1, 1).collect()
 
 
 def test_probabilities_and_ranks(spark):

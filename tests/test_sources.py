@@ -78,8 +78,8 @@ def test_model_store(spark):
     write_model(model, stored, buckets=8)
     publish_model(spark, stored, published)
     publish_model(spark, stored, published)
-    assert sorted(read_model(spark, published, buckets=8).collect()) == sorted(model.collect())
-    one = read_model(spark, published, "u7", buckets=8)
+    assert sorted(read_model(spark, published).collect()) == sorted(model.collect())
+    one = read_model(spark, published, "u7")
     assert one.count() == 6
     assert len({os.path.dirname(f) for f in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}) == 1
 
