@@ -207,11 +207,11 @@ def _id_hash(column: str):
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """Pairs that reach the threshold on their full sets; None if no pair may."""
-    likely = keep(_likely(pairs, nodes))
+    likely = stage(_likely(pairs, nodes), "likely", small=True)
     if likely.isEmpty():
         return None
     wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    wanted = keep(wanted.join(nodes, "node").select("node", F.col("first").alias("doc_id")))
+    wanted = stage(wanted.join(nodes, "node").select("node", F.col("first").alias("doc_id")), "wanted", small=True)
     sets = keep(_sets_of(docs, wanted))
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("i_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("i_b"))
