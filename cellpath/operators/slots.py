@@ -179,9 +179,3 @@ def explode_slots(vectors: DataFrame) -> DataFrame:
 
 def day_slots(pings: DataFrame, interval: int = INTERVAL_MINUTES, lost_cell: int = LOST_SIGNAL_CELL) -> DataFrame:
     return explode_slots(day_vectors(pings, interval, lost_cell))
-
-
-def collect_slots(slots: DataFrame) -> DataFrame:
-    """Day vectors from their long form."""
-    ordered = F.sort_array(F.collect_list(F.struct("slot", "cell_id")))
-    return slots.groupBy(*USER_DAY).agg(F.transform(ordered, lambda s: s["cell_id"]).alias("cells"))
