@@ -9,17 +9,18 @@ email   local part, ``@``, dotted domain                       its form
 ip      four dotted numbers                                    each at most 255
 card    digits with single spaces or hyphens between           16 to 19 digits, Luhn
 phone   ``+``, digits, spaces, dots, brackets, hyphens         8 to 15 digits
-iban    two letters, two digits, 11 to 30 letters and digits   mod 97, and score
+iban    start, and as many characters as its country has       mod 97, and score
 card15  as card                                                12 to 15 digits, Luhn, and score
 ======  =====================================================  ==============================
 
 The first four are found leftmost and without overlap per kind, and a match that fails is dropped. The last two
 need a score of ``NEEDED``: the checksum alone gives iban ``NEEDED``, and card15, which a tenth of all digit runs pass, less; a
 word of its context within ``NEAR`` characters before it adds to that, a word that names other
-numbers takes away.
+numbers takes away. An IBAN is proposed at every place where one may start, also inside another proposal, and ends after the fixed
+length of its country whatever follows; countries without an entry in ``IBAN_LENGTHS`` take the whole run of up to 34 letters and digits.
 
 Positions are code points, ends exclusive. The patterns match what their plain forms match, but never try a
-run of characters twice, so that long runs cost time in proportion; sums over matches are taken in two
+run of characters twice (iban: at most 34 letters and digits from each start), so that long runs cost time in proportion; sums over matches are taken in two
 levels for the same reason.
 
 Null and empty texts have no spans. Repeated rows are handled each. Empty tables give empty results. Existing columns are kept where
@@ -34,6 +35,16 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "card15")
 
+# Letters and digits of an IBAN by country, of the registry and of countries that use the form without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_AHEAD = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items())
+_OTHER = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
+
 # The patterns of the kinds.
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -41,10 +52,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_AHEAD}|{_OTHER})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
 }
 #: A byte or more that every match of the kind has.
 SIGNS = {"email": "@", "ip": ".", "phone": "+"}
+#: Characters that a match takes from the text, of kinds whose group 1 looks further ahead.
+TAKEN = {"iban": 4}
 
 NEEDED = 60
 NEAR = 40
@@ -110,12 +123,12 @@ def _confirmed(kind: str, match: Column) -> Column:
     return count.between(least, most) & F.call_function("luhn_check", _digits(match))
 
 
-def _proposed(text: Column, pattern: str, sign: str | None) -> tuple[Column, Column]:
+def _proposed(text: Column, pattern: str, sign: str | None, group: int = 0) -> tuple[Column, Column]:
     """All matches, and the pieces of text between them."""
     here = text.contains(sign) if sign else text.rlike("[0-9]")
     none = F.array().cast("array<string>")
     return (
-        F.when(here, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none),
+        F.when(here, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none),
         F.when(here, F.split(text, pattern, -1)).otherwise(none),
     )
 
@@ -135,16 +148,16 @@ def _column(kind: str) -> str:
 
 
 def _pair(text: Column, kind: str) -> Column:
-    matches, pieces = _proposed(text, PATTERNS[kind], SIGNS.get(kind))
+    matches, pieces = _proposed(text, PATTERNS[kind], SIGNS.get(kind), int(kind in TAKEN))
     return F.struct(matches.alias("matches"), pieces.alias("pieces")).alias(_column(kind))
 
 
 def _placed(kind: str) -> Column:
-    """Of each match: itself, what stands before it, and its start, which is the length of all pieces up to it and all
-    matches before it. Arrays are walked side by side; a lookup by index could make an array anew for every element."""
+    """Of each match: itself, what stands before it, and its start, which is the length of all pieces up to it and of what all
+    matches before it take. Arrays are walked side by side; a lookup by index could make an array anew for every element."""
     matches = F.col(_column(kind))["matches"]
     pieces = F.slice(F.col(_column(kind))["pieces"], F.lit(1), F.size(matches))
-    steps = F.zip_with(matches, pieces, lambda m, p: F.length(m) + F.length(p))
+    steps = F.zip_with(matches, pieces, lambda m, p: (F.lit(TAKEN[kind]) if kind in TAKEN else F.length(m)) + F.length(p))
     starts = F.zip_with(_ahead(steps), pieces, lambda a, p: a + F.length(p))
     before = F.transform(pieces, lambda p: F.right(p, F.lit(NEAR)))
     return F.arrays_zip(matches.alias("match"), before.alias("before"), starts.alias("start")).alias(_column(kind))

@@ -104,6 +104,26 @@ def test_checks_and_context_decide_on_further_kinds(spark):
     assert [r.spans for r in pii.digest(pii.with_spans(df)).orderBy("doc_id").collect()] == list(texts.values())
 
 
+def test_iban_ends_where_its_country_says(spark):
+    iban, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = {
+        f"IBAN {iban} BIC COBADEFFXXX": "iban:5:27",
+        f"IBAN {spaced} BIC: X": "iban:5:32",
+        f"{iban} 2024-01-01": "iban:0:22",
+        f"{iban} I agree": "iban:0:22",
+        f"{spaced} {iban} GB82WEST12345698765432 OK": "iban:0:27,iban:28:50,iban:51:73",
+        f"REF AT61 1904 {spaced} EUR 100": "iban:14:41",
+        f"{iban}BIC": "",
+        "DE89370400440532013001 BIC": "",
+        "NO93 8601 1117 947 KR 5": "iban:0:18",
+        "MT84MALT011000012345MTLCAST001S 5": "iban:0:31",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.spans for r in pii.digest(pii.with_spans(df)).orderBy("doc_id").collect()] == list(texts.values())
+    masked = pii.masked(df.where("doc_id in (0, 4)")).orderBy("doc_id").collect()
+    assert [r.text for r in masked] == ["IBAN <IBAN> BIC COBADEFFXXX", "<IBAN> <IBAN> <IBAN> OK"]
+
+
 def test_masking(spark):
     rows = [(1, "to a@b.c, 1.2.3.4.", 18), (2, None, None), (3, "nothing", 7), (4, "+1 234 567 8901", 15)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
