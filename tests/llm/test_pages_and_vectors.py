@@ -99,6 +99,27 @@ def test_page_structure(page, text):
     assert html._extract(table)["text"].to_pylist() == [text]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout sidebar-right"><nav>m</nav><article><p>a b</article></div>', "a b"),
+        ('<div class="layout sidebar-right"><p>a b</div>', "a b"),
+        ('<div id="page-comments"><p>x<article><p>a b</article></div>', "a b"),
+        ("<form action=x><input><main><p>a b</main></form>", "a b"),
+        ('<article><div class="post-header"><h1>T</h1></div><p>a b</article>', "T a b"),
+        ('<article><p>a b</article><div class="related-posts"><article>teaser</article></div>', "a b"),
+        ('<p>long open text<div class="related-posts"><article>teaser</article></div>', "long open text"),
+        ('<article><p>a b<div class="page-comments"><article class=comment>c</article></div></article>', "a b"),
+        ('<div class="comments"><article>c</article></div>', ""),
+    ],
+)
+def test_class_names_around_articles(page, text):
+    import pyarrow as pa
+
+    table = pa.table({"page_id": pa.array([1]), "url": pa.array(["u"]), "html": pa.array([page], pa.string())})
+    assert html._extract(table)["text"].to_pylist() == [text]
+
+
 def test_runs_that_pages_share_go_and_copies_stay(spark):
     banner = "this site uses little things to make your visit a better one"
     own = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)]
