@@ -132,6 +132,17 @@ def test_runs_that_pages_share_go_and_copies_stay(spark):
     assert html.main_texts(df.limit(0)).collect() == []
 
 
+def test_notices_inside_articles_go(spark):
+    """A plain paragraph that the pages of a host repeat is no part of their articles; a copied article stays whole."""
+    notice = "all rights are kept by the owner of this site and its friends"
+    own = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(5)]
+    pages = [(i, "http://h/x", f"<article><p>{t}</p><p>{notice}</p></article>") for i, t in enumerate(own)]
+    pages += [(10 + i, "http://near/x", f"<article><p>{own[0]}</p><p>end {i}</p></article>") for i in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.main_texts(df).collect()}
+    assert found == dict(enumerate(own)) | {10 + i: f"{own[0]} end {i}" for i in range(5)}
+
+
 def test_shared_runs_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(20):
