@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, quality, setsketch, token_store, warc
+from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, quality, setsketch, token_store, urls, warc
 from cellpath.llm.ship import ship
+from cellpath.llm.url_labels import labelled_urls
 from cellpath.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,21 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score_texts(table(spark, sf_dir, "documents"), held)
 
 
+#: Rules of the registered url filter (fixed values).
+URL_RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, URL_RULES, urls.fit(labelled_urls(spark)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -86,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op8_int8_tiles": op8_int8_tiles,
         "op9_token_store": op9_token_store,
         "op10_backoff_automaton": op10_backoff_automaton,
+        "op13_url_filter": op13_url_filter,
     }
 
 
