@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, quality, setsketch, token_store, urls, warc
+from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, quality, runs, setsketch, token_store, urls, warc
 from cellpath.llm.ship import ship
 from cellpath.llm.url_labels import labelled_urls
 from cellpath.session import scratch_path
@@ -75,6 +78,42 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score_texts(table(spark, sf_dir, "documents"), held)
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def repeated_text(doc_id: int | None, text: str | None) -> str | None:
+    """The text itself, but of a tenth of the documents the words from one on, chosen by id, are a period's words again and again."""
+    if doc_id is None or text is None:
+        return text
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return text
+    words, g = _WORD.findall(text), h // 10
+    n = len(words)
+    if not n:
+        return text
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return " ".join(words[:a] + [words[a + k % p] for k in range(n - a)])
+
+
+def with_repeated_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the registered run query: documents, of which some repeat by construction."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array([repeated_text(i, t) for i, t in zip(ids, texts)], pa.string())], names=["doc_id", "text"]
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, text string")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(with_repeated_texts(table(spark, sf_dir, "documents"))))
+
+
 #: Rules of the registered url filter (fixed values).
 URL_RULES = [
     urls.Rule("allow", "com", "/"),
@@ -102,6 +141,7 @@ def queries() -> dict[str, Query]:
         "op8_int8_tiles": op8_int8_tiles,
         "op9_token_store": op9_token_store,
         "op10_backoff_automaton": op10_backoff_automaton,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_url_filter": op13_url_filter,
     }
 
