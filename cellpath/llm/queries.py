@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, quality, runs, setsketch, token_store, urls, warc
+from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, quality, runs, setsketch, token_store, urls, warc, whitening
 from cellpath.llm.ship import ship
 from cellpath.llm.url_labels import labelled_urls
 from cellpath.session import scratch_path
@@ -78,6 +78,10 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score_texts(table(spark, sf_dir, "documents"), held)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -141,6 +145,7 @@ def queries() -> dict[str, Query]:
         "op8_int8_tiles": op8_int8_tiles,
         "op9_token_store": op9_token_store,
         "op10_backoff_automaton": op10_backoff_automaton,
+        "op11_whitening": op11_whitening,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_url_filter": op13_url_filter,
     }
