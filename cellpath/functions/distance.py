@@ -1,36 +1,63 @@
-"""Distances between two day vectors, as SQL text over their column names.
+"""Distances between day vectors, for whole numpy arrays of points and centres.
 
-Any ``(name, name, slots) -> text`` will do. Up to ``UNROLLED_SLOTS`` the sum over
-slots is written out, which keeps it inside generated code; array lambdas are
-interpreted and several times slower. Text, since each Column operation costs a
-round trip from Python and a round of clustering builds hundreds of them.
+A distance is a sum over slots of an integer term. Where a growing function of it obeys the triangle inequality (``metric``), rounds of
+clustering carry bounds instead of computing it anew; any other distance works without.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-UNROLLED_SLOTS = 48
+import numpy as np
 
-Distance = Callable[[str, str, int], str]
+# Distances computed at a time: bounds the memory of a task, whatever the number of points and centres.
+CHUNK = 1 << 22
 
 
-def _sum_over_slots(a: str, b: str, slots: int, term: Callable[[str, str], str]) -> str:
-    if slots <= UNROLLED_SLOTS:
-        return " + ".join(term(f"get({a}, {s})", f"get({b}, {s})") for s in range(slots))
-    return f"aggregate(zip_with({a}, {b}, (x, y) -> {term('x', 'y')}), 0L, (total, t) -> total + t)"
+@dataclass(frozen=True)
+class Distance:
+    """``term`` gives the share of a slot for integer arrays; ``largest`` bounds it for cells at most ``span`` apart."""
 
+    name: str
+    term: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    largest: Callable[[int], int]
+    metric: Callable[[np.ndarray], np.ndarray] | None = None
 
-def squared(a: str, b: str, slots: int) -> str:
-    """Sum over slots of the squared difference of cell ids, in bigint."""
+    def check(self, cells: np.ndarray, centres: np.ndarray) -> None:
+        """An error if distances could pass 63 bits."""
+        if cells.size and centres.size:
+            span = max(int(cells.max()), int(centres.max())) - min(int(cells.min()), int(centres.min()))
+            if self.largest(span) * cells.shape[1] >= 1 << 63:
+                raise OverflowError(f"{self.name} distance of cells {span} apart exceeds 63 bits")
 
-    def term(x: str, y: str) -> str:
-        gap = f"(cast({x} as bigint) - {y})"
-        return f"{gap} * {gap}"
+    def pairs(self, cells: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """Distance of each point to the centre in the same row."""
+        return self.term(cells, centres).sum(axis=1, dtype=np.int64)
 
-    return _sum_over_slots(a, b, slots, term)
+    def table(self, cells: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """Distance of every point (row) to every centre (column)."""
+        total = np.zeros((len(cells), len(centres)), np.int64)
+        for slot in range(cells.shape[1]):
+            total += self.term(cells[:, slot, None], centres[None, :, slot])
+        return total
 
 
-def hamming(a: str, b: str, slots: int) -> str:
-    """Number of slots in which the two days differ."""
-    return _sum_over_slots(a, b, slots, lambda x, y: f"if({x} = {y}, 0L, 1L)")
+def _squared_term(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    gap = x - y
+    return gap * gap
+
+
+def _differs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x != y).astype(np.int64)
+
+
+def _as_float(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float64)
+
+
+#: Sum over slots of the squared difference of cell ids.
+squared = Distance("squared", _squared_term, lambda span: span * span, np.sqrt)
+
+#: Number of slots in which the two days differ.
+hamming = Distance("hamming", _differs, lambda span: 1, _as_float)

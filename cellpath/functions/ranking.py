@@ -2,7 +2,7 @@
 
 ``max`` over a struct makes Spark sort its input; ``max`` over a number does not.
 A dwell time is below 2^12 and a cell id fits 32 bits, so both go into one bigint.
-Counts and distances have no such bound and share a decimal with the id.
+Counts have no such bound and share a decimal with the id.
 """
 
 from __future__ import annotations
@@ -37,16 +37,3 @@ def count_key(freq: str, cell: str) -> str:
 def cell_of_count(key: str) -> str:
     """The cell id packed into :func:`count_key`."""
     return f"cast({_INT_MAX}L - cast({key} % {_CELL_RANGE}L as bigint) as int)"
-
-
-def distance_key(distance: str, cluster_id: str, k: int) -> str:
-    """Smaller is better: nearer, then the lower of ``k`` cluster ids."""
-    return f"cast(cast({distance} as decimal(20,0)) * {k} + {cluster_id} as decimal(31,0))"
-
-
-def cluster_of(key: str, k: int) -> str:
-    return f"cast({key} % {k} as int)"
-
-
-def distance_of(key: str, k: int) -> str:
-    return f"cast({key} div {k} as bigint)"

@@ -1,30 +1,35 @@
 """Clustering of day vectors: k-means with truncated means, and k-modes.
 
 Days are clustered per user (``PER_USER``) or all together (``POOLED``). The centres
-of a group travel as one small row, ``centres array<struct<cluster_id, cells>>``,
-next to each of its points; distances and the minimum over centres stay inside the
-task that holds the point.
+of a group are one small row, ``centres array<struct<cluster_id, cells>>``.
 
 Points are laid out once (:func:`lay_out`) and never shuffled again. Per user all
 days of a user share a bucket, which the calendar bounds: one vector per day,
-however many pings it came from. Pooled points are spread by day, and only partial
-sums are exchanged. Between rounds only the centres are checkpointed.
+however many pings it came from. So the days of a user and the user's centres meet in one task, which runs the
+rounds until nothing changes: one pass over the points instead of one a round.
+
+Pooled points are spread by day. A round is one pass over them that carries each point's cluster and distance
+bounds (:mod:`cellpath.operators.rounds`); sums, or counts of cells, change by the points that changed cluster; centres, ``k`` times the slots, are known
+to the driver. Rounds end early when no point moves or no centre changes: all further rounds would give the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellpath.functions.distance import Distance, squared
 from cellpath.functions.hashing import digest
-from cellpath.functions.ranking import cell_of_count, cluster_of, count_key, distance_key, distance_of
-from cellpath.operators.joins import join_shared
+from cellpath.functions.ranking import cell_of_count, count_key
+from cellpath.operators import rounds as R
 from cellpath.schema import SEED, USER_DAY
 from cellpath.session import bucketed_table, checkpoint
+from cellpath.ship import ship
 
 PER_USER = ("user_id",)
 POOLED = ("pool",)
@@ -74,20 +79,60 @@ def explode_centres(centres: DataFrame, by: Sequence[str] = PER_USER) -> DataFra
     return centres.select(*by, F.inline("centres"))
 
 
-def _attach(points: DataFrame, centres: DataFrame, by: Sequence[str], k: int, slots: int) -> DataFrame:
-    """Put the centres of its group next to every point."""
-    if tuple(by) != POOLED:
-        # Centres grow with the groups, so no broadcast; only they move to the points' buckets.
-        return points.join(centres.hint("merge"), list(by))
-    return join_shared(points, centres, by, size=k * (4 * slots + 64), spread=USER_DAY)
-
-
 def _checked_cells(slots: int) -> str:
     """The vector, or an error if it has another number of slots than the clustering."""
     message = f"'day vector without the {slots} slots of the interval: ', coalesce(cast(size(cells) as string), 'null')"
     return f"if(size(cells) = {slots}, cells, raise_error(concat({message})))"
 
 
+def _checked(points: DataFrame, by: Sequence[str], slots: int) -> DataFrame:
+    """Keys and cells of points, whose lengths are checked."""
+    return points.select(*_point_keys(by), F.expr(_checked_cells(slots)).alias("cells"))
+
+
+def _matrix(cells: pa.Array | pa.ChunkedArray, slots: int) -> np.ndarray:
+    """Cells of all rows as integers, a row each."""
+    if isinstance(cells, pa.ChunkedArray):
+        cells = cells.combine_chunks()
+    return cells.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, slots)
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel(), pa.int32()))
+
+
+def _centre_arrays(centres: list[dict], slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cluster ids and centres of a group."""
+    found = sorted((c["cluster_id"], c["cells"]) for c in centres)
+    return np.array([i for i, _ in found], np.int64), np.array([c for _, c in found], np.int64).reshape(-1, slots)
+
+
+_CENTRES = "centres array<struct<cluster_id: int, cells: array<int>>>"
+
+
+def _schema(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _meet(points: DataFrame, centres: DataFrame, by: Sequence[str], work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str, slots: int) -> DataFrame:
+    """``work`` on the points and the centres of every group that has both; groups are bounded by the calendar."""
+    ship(points.sparkSession)
+
+    def act(left: pa.Table, right: pa.Table) -> pa.Table:
+        given = right["centres"].to_pylist()
+        ids, start = _centre_arrays(given[0] if given else [], slots)
+        return work(left if len(ids) else left.slice(0, 0), ids, start)
+
+    return points.groupBy(*by).cogroup(centres.select(*by, "centres").groupBy(*by)).applyInArrow(act, schema)
+
+
+def _nearest(keys: Sequence[str], slots: int, distance: Distance, table: pa.Table | pa.RecordBatch, ids: np.ndarray, centres: np.ndarray):
+    """Columns of points with the nearest of the given centres."""
+    at, best, _ = R.nearest(_matrix(table["cells"], slots), centres, distance)
+    return [*(table[c] for c in keys), pa.array(ids[at] if len(ids) else at, pa.int32()), pa.array(best)]
+
+
 def assign(
     points: DataFrame,
     centres: DataFrame,
@@ -95,16 +140,40 @@ def assign(
     slots: int,
     by: Sequence[str] = PER_USER,
     distance: Distance = squared,
+    rounds: int = 0,
+    method: str = "kmeans",
 ) -> DataFrame:
-    """Nearest centre of every point (``cluster_id``, ``distance``); ties go to the lowest id."""
+    """Nearest centre of every point (``cluster_id``, ``distance``); ties go to the lowest id.
+
+    With ``rounds`` the centres of a user move that often before; a pool's are to be moved by :func:`iterate`.
+    """
     keys = [*_point_keys(by), "cells"]
-    points = points.withColumn("cells", F.expr(_checked_cells(slots)))
-    pairs = _attach(points, centres, by, k, slots).selectExpr(*keys, "inline(centres) AS (cluster_id, centre)")
-    key = distance_key(distance("cells", "centre", slots), "cluster_id", k)
-    nearest = pairs.groupBy(*keys).agg(F.expr(f"min({key}) AS nearest"))
-    return nearest.selectExpr(
-        *keys, f"{cluster_of('nearest', k)} AS cluster_id", f"{distance_of('nearest', k)} AS distance"
-    )
+    names = [*keys, "cluster_id", "distance"]
+    points = _checked(points, by, slots)
+    schema = f"{_schema(points, keys)}, cluster_id int, distance long"
+    if tuple(by) != POOLED:
+
+        def last(table: pa.Table, ids: np.ndarray, start: np.ndarray) -> pa.Table:
+            found = R.run(_matrix(table["cells"], slots), ids, start, rounds, method, distance)
+            return pa.table(_nearest(keys, slots, distance, table, found.ids, found.centres), names=names)
+
+        return _meet(points, centres, by, last, schema, slots)
+    ids, known = _pool(centres, slots)
+    if not len(ids):
+        return points.sparkSession.createDataFrame([], schema)
+    ship(points.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(_nearest(keys, slots, distance, batch, ids, known), names=names)
+
+    return points.mapInArrow(each, schema)
+
+
+def _pool(centres: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and centres of a pool, on the driver: ``k`` rows of ``slots`` integers."""
+    row = centres.select("centres").first()
+    return _centre_arrays([c.asDict() for c in row.centres] if row else [], slots)
 
 
 def _array_of(term: Callable[[int], str], slots: int) -> str:
@@ -177,6 +246,102 @@ def step(
     raise ValueError(f"unknown method {method!r}")
 
 
+def _advance(state: DataFrame, ids: np.ndarray, centres: np.ndarray, moves: np.ndarray | None, slots: int, distance: Distance) -> DataFrame:
+    """A pool's points with their clusters (``at``) and bounds after a round's moves; ``was`` is the cluster before."""
+    keys = [*USER_DAY, "cells"]
+    names = [*keys, "was", "at", "upper", "lower"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = _matrix(batch["cells"], slots)
+            if moves is None:
+                was, found = pa.nulls(len(cells), pa.int32()), R.assign_all(cells, centres, distance)
+            else:
+                was = batch["at"]
+                before = R.State(
+                    np.searchsorted(ids, was.to_numpy()),
+                    *(batch[c].to_numpy(zero_copy_only=False).copy() for c in ("upper", "lower")),
+                )
+                found = R.assign_again(cells, centres, moves, before, distance)
+            columns = [*(batch[c] for c in keys), was, pa.array(ids[found.at], pa.int32()), pa.array(found.upper), pa.array(found.lower)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return state.mapInArrow(each, f"{_schema(state, keys)}, was int, at int, upper double, lower double")
+
+
+def _joined_and_left(state: DataFrame) -> DataFrame:
+    """Points that changed cluster: once with 1 for the cluster joined, once with -1 for the one left."""
+    both = "inline(array(struct(at AS cluster_id, 1L AS sign), struct(was AS cluster_id, -1L AS sign)))"
+    return state.where("was IS NULL OR was <> at").selectExpr("cells", both).where("cluster_id IS NOT NULL")
+
+
+class _MeanKeeper:
+    """Sums and sizes of a pool's clusters, changed by the points that changed cluster."""
+
+    def __init__(self, slots: int):
+        self.slots, self.sums, self.sizes = slots, {}, {}
+
+    def centres(self, state: DataFrame, ids: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        changes = _joined_and_left(state).selectExpr("cluster_id", "sign", "posexplode(cells) AS (slot, cell_id)")
+        for r in changes.groupBy("cluster_id", "slot").agg(F.expr("sum(sign * cell_id) AS total"), F.expr("sum(sign) AS n")).collect():
+            self.sums.setdefault(r.cluster_id, [0] * self.slots)[r.slot] += r.total
+            if r.slot == 0:
+                self.sizes[r.cluster_id] = self.sizes.get(r.cluster_id, 0) + r.n
+        new = old.copy()
+        for place, i in enumerate(ids.tolist()):
+            if self.sizes.get(i):
+                new[place] = R.truncated_mean(np.array([self.sums[i]], np.int64), np.array([self.sizes[i]]))[0]
+        return ids, new
+
+
+class _ModeKeeper:
+    """How often each cell comes in a slot of a pool's clusters: a table, changed by the points that changed cluster."""
+
+    _KEYS = ["cluster_id", "slot", "cell_id"]
+
+    def __init__(self, slots: int):
+        self.slots, self.counts = slots, None
+
+    def centres(self, state: DataFrame, ids: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        changes = _joined_and_left(state).selectExpr("cluster_id", "sign", "posexplode(cells) AS (slot, cell_id)")
+        changes = changes.groupBy(*self._KEYS).agg(F.expr("sum(sign) AS change"))
+        if self.counts is None:
+            counts = changes.withColumnRenamed("change", "freq")
+        else:
+            both = self.counts.join(changes.hint("merge"), self._KEYS, "full_outer")
+            counts = both.selectExpr(*self._KEYS, "coalesce(freq, 0L) + coalesce(change, 0L) AS freq").where("freq <> 0")
+        self.counts = checkpoint(counts)
+        most = cell_of_count(f"max({count_key('freq', 'cell_id')})")
+        found = self.counts.groupBy("cluster_id", "slot").agg(F.expr(f"{most} AS cell_id")).collect()
+        cells: dict[int, list[int]] = {}
+        for r in found:
+            cells.setdefault(r.cluster_id, [0] * self.slots)[r.slot] = r.cell_id
+        held = sorted(cells)
+        return np.array(held, np.int64), np.array([cells[i] for i in held], np.int64).reshape(-1, self.slots)
+
+
+def _pooled_rounds(points: DataFrame, centres: DataFrame, slots: int, iterations: int, method: str, distance: Distance) -> R.Outcome:
+    ship(points.sparkSession)
+    ids, known = _pool(centres, slots)
+    state, moves = _checked(points, POOLED, slots), None
+    keeper = _ModeKeeper(slots) if method == "kmodes" else _MeanKeeper(slots)
+    for done in range(1, iterations + 1):
+        if not len(ids):
+            return R.Outcome(ids, known, done - 1)
+        count = Observation()
+        moved = F.expr("count_if(was IS NULL OR was <> at) AS moved")
+        state = checkpoint(_advance(state, ids, known, moves, slots, distance).observe(count, moved))
+        if not count.get["moved"]:
+            return R.Outcome(ids, known, done)
+        new_ids, new = keeper.centres(state, ids, known)
+        stay = np.searchsorted(ids, new_ids)
+        same = len(new_ids) == len(ids) and np.array_equal(new, known)
+        ids, moves, known = new_ids, R.moves_of(known[stay], new, distance), new
+        if same:
+            return R.Outcome(ids, known, done)
+    return R.Outcome(ids, known, iterations)
+
+
 def iterate(
     points: DataFrame,
     centres: DataFrame,
@@ -187,7 +352,20 @@ def iterate(
     method: str = "kmeans",
     distance: Distance = squared,
 ) -> DataFrame:
-    """Centres after a fixed number of rounds."""
-    for _ in range(iterations):
-        centres = checkpoint(step(points, centres, k, slots, by, method, distance))
-    return centres
+    """Centres after so many rounds, and ``rounds``: those that were run before nothing changed any more."""
+    if method not in ("kmeans", "kmodes"):
+        raise ValueError(f"unknown method {method!r}")
+    schema = f"{_schema(centres, by)}, {_CENTRES}, rounds int"
+    if tuple(by) == POOLED:
+        found = _pooled_rounds(points, centres, slots, iterations, method, distance)
+        rows = [(0, list(zip(found.ids.tolist(), found.centres.tolist())), found.rounds)] if len(found.ids) else []
+        return points.sparkSession.createDataFrame(rows, schema)
+
+    def run(table: pa.Table, ids: np.ndarray, start: np.ndarray) -> pa.Table:
+        found = R.run(_matrix(table["cells"], slots), ids, start, iterations, method, distance)
+        one = slice(0, 1) if table.num_rows else slice(0, 0)
+        pairs = pa.StructArray.from_arrays([pa.array(found.ids, pa.int32()), _lists(found.centres)], names=["cluster_id", "cells"])
+        rows = pa.ListArray.from_arrays(pa.array([0, len(found.ids)], pa.int32()), pairs)
+        return pa.table([*(table[c].slice(0, one.stop) for c in by), rows.slice(0, one.stop), pa.array([found.rounds][one], pa.int32())], names=[*by, "centres", "rounds"])
+
+    return _meet(_checked(points, by, slots), centres, by, run, schema, slots)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from cellpath.functions.distance import Distance, squared
-from cellpath.operators.clustering import PER_USER, assign, initial_centres, iterate, lay_out, slot_counts
+from cellpath.operators.clustering import PER_USER, POOLED, assign, initial_centres, iterate, lay_out, slot_counts
 from cellpath.operators.model import model_from_counts
 from cellpath.schema import INTERVAL_MINUTES, ITERATIONS, KMEANS_K, KMODES_K, SEED, TOP_K, slots_per_day
 from cellpath.session import checkpoint
@@ -33,8 +33,10 @@ def cluster_days(
     k = k or (KMEANS_K if method == "kmeans" else KMODES_K)
     slots = slots_per_day(interval)
     rounds = iterations if method == "kmeans" else iterations - 1
-    centres = checkpoint(initial_centres(points, k, by, seed))
-    centres = iterate(points, centres, k, slots, rounds, by, method, distance)
+    centres = initial_centres(points, k, by, seed)
+    if tuple(by) != POOLED:
+        return assign(points, centres, k, slots, by, distance, rounds, method)
+    centres = iterate(points, checkpoint(centres), k, slots, rounds, by, method, distance)
     return assign(points, centres, k, slots, by, distance)
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellpath.functions.distance import hamming, squared
+from cellpath.functions.distance import Distance, hamming, squared
 from cellpath.operators import clustering as C
-from cellpath.operators import joins
+from cellpath.operators import rounds as R
 from cellpath.plans.train import cluster_days, model_of_points
 from helpers import slow_rounds, vectors
 
@@ -62,11 +63,18 @@ def test_large_cell_ids_do_not_overflow(spark):
     assert (got.cluster_id, got.distance) == (399, 24 * (268435455 - 399) ** 2)
 
 
-def test_distances_written_out_and_as_lambda_agree(spark):
-    df = spark.createDataFrame([([1, 2, 3] * 20, [3, 2, 7] * 20)], "a array<int>, b array<int>")
-    for distance in (squared, hamming):
-        long, short = df.select(F.expr(distance("a", "b", 60)), F.expr(distance("slice(a, 1, 6)", "slice(b, 1, 6)", 6))).first()
-        assert long == 10 * short
+def test_distances_beyond_63_bits_are_an_error():
+    far = np.array([[1 << 31, 0], [-(1 << 31), 0]])
+    with pytest.raises(OverflowError):
+        squared.check(far, far)
+    hamming.check(far, far)
+
+
+def test_vectors_of_another_length_are_an_error(spark):
+    for by, group in ((C.PER_USER, "A"), (C.POOLED, 0)):
+        points = C.lay_out(vectors(spark, [("A", 1, [4, 4, 4])]), by)
+        with pytest.raises(Exception, match="day vector without the 2 slots"):
+            C.assign(points, _start(spark, {0: [2, 4]}, by, group), 1, 2, by).collect()
 
 
 def _random_days(seed, users, days, slots):
@@ -92,17 +100,88 @@ def test_rounds_per_user(spark, method, slots):
 
 
 @pytest.mark.parametrize("method", ["kmeans", "kmodes"])
-@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 0])
-def test_rounds_pooled(spark, monkeypatch, method, limit):
-    """Both ways to bring shared centres to the points."""
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+@pytest.mark.parametrize("rounds", [1, 2, 9])
+def test_rounds_pooled(spark, method, rounds):
     data = _random_days(9, "ABC", 20, 3)
     everything = [c for days in data.values() for c in days]
     points = C.lay_out(vectors(spark, [(u, d, c) for u, days in data.items() for d, c in enumerate(days)]), C.POOLED)
     start = C.checkpoint(C.initial_centres(points, 4, C.POOLED))
     first = {i: c for (_, i), c in _centres(start).items()}
-    got = {i: c for (_, i), c in _centres(C.iterate(points, start, 4, 3, 2, C.POOLED, method)).items()}
-    assert got == slow_rounds(everything, first, 2, method)[0]
+    found = C.iterate(points, start, 4, 3, rounds, C.POOLED, method)
+    got = {i: c for (_, i), c in _centres(found).items()}
+    want, labels = slow_rounds(everything, first, rounds, method)
+    assert got == want
+    assert sorted(r.cluster_id for r in C.assign(points, found, 4, 3, C.POOLED).collect()) == sorted(labels)
+
+
+@pytest.mark.parametrize("by", [C.PER_USER, C.POOLED])
+@pytest.mark.parametrize("method", ["kmeans", "kmodes"])
+def test_rounds_end_when_nothing_changes(spark, by, method):
+    """Centres that a round leaves as they are: further rounds are not run, and would give the same."""
+    points = C.lay_out(vectors(spark, [("A", d, c) for d, c in FOUR]), by)
+    start = _start(spark, {0: [1, 1], 1: [9, 9]}, by, "A" if by == C.PER_USER else 0)
+    found = C.iterate(points, start, 2, 2, 30, by, method).collect()
+    assert [r.rounds for r in found] == [2 if method == "kmeans" else 1]
+    once = C.iterate(points, start, 2, 2, 1, by, method).collect()
+    assert [r.centres for r in once] == [r.centres for r in found]
+
+
+def test_groups_without_points_or_centres(spark):
+    points = C.lay_out(vectors(spark, [("A", 1, [1, 1]), ("B", 1, [2, 2])]))
+    start = _start(spark, {0: [1, 1]}).union(_start(spark, {0: [5, 5]}, group="C"))
+    assert [r.user_id for r in C.assign(points, start, 1, 2).collect()] == ["A"]
+    assert [r.user_id for r in C.iterate(points, start, 1, 2, 3).collect()] == ["A"]
+    pool = C.lay_out(vectors(spark, [("A", 1, [1, 1])]).limit(0), C.POOLED)
+    none = C.initial_centres(pool, 3, C.POOLED)
+    assert C.iterate(pool, none, 3, 2, 3, C.POOLED).count() == 0
+    assert C.assign(pool, none, 3, 2, C.POOLED).count() == 0
+
+
+#: Twice as far downwards as upwards, so no metric.
+_uneven = Distance("uneven", lambda x, y: np.where(x > y, 2 * (x - y), y - x), lambda span: 2 * span)
+
+
+def _without_bounds(distance):
+    return Distance(distance.name, distance.term, distance.largest)
+
+
+@pytest.mark.parametrize("distance", [squared, hamming, _uneven])
+@pytest.mark.parametrize("method", ["kmeans", "kmodes"])
+def test_bounds_give_what_all_distances_give(method, distance):
+    rng = np.random.default_rng(17)
+    for _ in range(60):
+        slots, k, n = rng.integers(1, 5), rng.integers(1, 12), rng.integers(1, 90)
+        spread = int(rng.choice([3, 40, 10**6]))
+        cells = rng.integers(-1, spread, (n, slots)) + (rng.integers(0, 4, (n, 1)) * spread)
+        start = cells[rng.choice(n, min(k, n), replace=False)]
+        found, wanted = (R.run(cells, np.arange(len(start)) * 3, start, 12, method, d) for d in (distance, _without_bounds(distance)))
+        assert found.ids.tolist() == wanted.ids.tolist() and found.rounds == wanted.rounds
+        assert found.centres.tolist() == wanted.centres.tolist()
+
+
+def test_bounds_save_distances():
+    rng = np.random.default_rng(4)
+    cells = rng.integers(0, 9, (3000, 6)) + rng.integers(0, 12, (3000, 1)) * 20
+    start, computed = cells[:40], []
+    for distance in (_without_bounds(squared), squared):
+        computed.append(0)
+
+        def counted(x, y):
+            computed[-1] += np.broadcast(x, y).size
+            return squared.term(x, y)
+
+        R.run(cells, np.arange(40), start, 20, "kmeans", Distance("counted", counted, squared.largest, distance.metric))
+    assert computed[1] < 0.5 * computed[0]
+
+
+def test_ties_stay_with_the_lowest_id_as_centres_move():
+    """A point between two centres goes to the lower id, also once its bounds are carried."""
+    cells = np.array([[0], [4], [2], [2], [-6], [10]])
+    found = R.run(cells, np.array([0, 1]), np.array([[0], [4]]), 5, "kmeans", squared)
+    centres = {0: [0], 1: [4]}
+    for _ in range(5):
+        centres = slow_rounds(cells.tolist(), centres, 1, "kmeans")[0]
+    assert {i: c for i, c in zip(found.ids.tolist(), found.centres.tolist())} == centres
 
 
 def test_small_group_gives_all_its_days(spark):
@@ -127,11 +206,9 @@ def test_assignment_never_gets_worse(spark):
     points = C.lay_out(vectors(spark, [(u, d, c) for u, days in data.items() for d, c in enumerate(days)]))
     start = C.checkpoint(C.initial_centres(points, 3))
     moved = C.checkpoint(C.step(points, start, 3, 24))
-    before = C.assign(points, start, 3, 24).drop("distance")
-    stale = (
-        before.join(C.explode_centres(moved).withColumnRenamed("cells", "centre"), ["user_id", "cluster_id"])
-        .agg(F.sum(F.expr(squared("cells", "centre", 24)))).first()[0]
-    )
+    before = {(r.user_id, r.day): r for r in C.assign(points, start, 3, 24).collect()}
+    after = _centres(moved)
+    stale = sum(sum((x - y) ** 2 for x, y in zip(r.cells, after[u, r.cluster_id])) for (u, _), r in before.items())
     fresh = C.assign(points, moved, 3, 24).agg(F.sum("distance")).first()[0]
     assert fresh <= stale
 
@@ -149,6 +226,9 @@ def test_points_are_not_shuffled_in_a_round(spark):
                 below = plan.splitlines()[line_no + 1:line_no + 3]
                 assert any("Scan ExistingRDD" in x for x in below), line
         assert "Broadcast" not in plan
+        # Every distance is computed in the point's own row.
+        assigned = C.assign(points, start, 3, 24)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in assigned and "Aggregate" not in assigned
 
 
 def test_hot_user_does_not_change_results(spark):
