@@ -7,21 +7,24 @@ go to the lowest cluster id. Every input row is a sequence of its own, even wher
 equal another's. Slots have the length that the model was built with (``interval_minutes``); another
 ``interval`` is an error.
 
-Only (sequence, cluster) pairs that share a cell in some slot are ever formed. A
-sequence that matches nothing looks up its group's lowest cluster directly.
+The model of a group travels as one row, indexed by slot: cells with the clusters that hold them, and clusters
+with their ranked cells. It meets a sequence once, and everything else happens in the sequence's row: scores, the best
+cluster, its cells for the next slot. A pool's row is stored and broadcast while it is small; a larger one is joined cell by cell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellpath.operators.clustering import PER_USER, POOLED
+from cellpath.operators import joins
 from cellpath.operators.joins import join_shared
 from cellpath.schema import INTERVAL_MINUTES
+from cellpath.session import checkpoint
 
 # Sums of probabilities are compared after rounding, so that the order in which
 # they were added cannot decide a tie.
@@ -38,6 +41,83 @@ def _model_bytes(k: int, interval: int, top_k: int) -> int:
 _ROW = "_sequence_row"
 
 
+_ENTRIES = "array<struct<cluster_id: int, prob: double>>"
+
+
+def model_index(model: DataFrame, by: Sequence[str] = PER_USER, interval: int | None = None) -> DataFrame:
+    """One row per group: ``interval_minutes``, ``lowest_id`` and, by slot, ``by_cell`` (cell to its clusters and
+    probabilities) and ``ranked`` (cluster to its cells by rank).
+
+    Rows of a group that differ in their interval, or in that asked for, are an error when the index is computed. Everything
+    is grouped within the group's own partition: one exchange.
+    """
+    entry = "struct(rank, cell_id, cluster_id, prob) AS e"
+    both = f"inline(array(struct(true AS is_cell, cell_id AS key, {entry}), struct(false AS is_cell, cluster_id AS key, {entry})))"
+    rows = model.repartition(*by).selectExpr(*by, "slot", "cluster_id AS id", "interval_minutes AS minutes", both)
+    lists = rows.groupBy(*by, "slot", "is_cell", "key").agg(
+        F.sort_array(F.collect_list("e")).alias("list"), F.min("id").alias("id"), F.min("minutes").alias("low"), F.max("minutes").alias("high")
+    )
+    clusters = "named_struct('key', key, 'value', transform(list, e -> named_struct('cluster_id', e.cluster_id, 'prob', e.prob)))"
+    ranked = "named_struct('key', key, 'value', transform(list, e -> named_struct('rank', e.rank, 'cell_id', e.cell_id, 'prob', e.prob)))"
+    slots = lists.groupBy(*by, "slot").agg(
+        F.expr(f"map_from_entries(collect_list(if(is_cell, {clusters}, null))) AS by_cell"),
+        F.expr(f"map_from_entries(collect_list(if(is_cell, null, {ranked}))) AS ranked"),
+        F.min("id").alias("id"), F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    wanted = "low" if interval is None else str(interval)
+    checked = f"""CASE WHEN low <> high THEN raise_error(concat('the model mixes intervals from ', low, ' to ', high, ' minutes'))
+        WHEN low <> {wanted} THEN raise_error(concat('the model has slots of ', low, ' minutes, not {wanted}')) ELSE low END"""
+    return (
+        slots.groupBy(*by)
+        .agg(
+            F.expr("map_from_entries(collect_list(struct(slot, struct(by_cell, ranked)))) AS slots"),
+            F.min("id").alias("lowest_id"), F.min("low").alias("low"), F.max("high").alias("high"),
+        )
+        .selectExpr(*by, "slots", "lowest_id", f"{checked} AS interval_minutes")
+    )
+
+
+# Columns of an index.
+_INDEX = ["slots", "lowest_id", "interval_minutes"]
+# An entry of an index: a cell and cluster of a slot, in both its lists.
+_ENTRY_BYTES = 64
+
+
+def _slot(minute: str) -> str:
+    return f"try_element_at(slots, cast({minute} div interval_minutes as int))"
+
+
+def _hits() -> Column:
+    """Clusters and probabilities that the past points of a sequence meet, by cluster."""
+    found = f"coalesce(try_element_at({_slot('p.minute')}.by_cell, p.cell_id), cast(array() as {_ENTRIES}))"
+    return F.expr(f"sort_array(flatten(transform(coalesce(past, array()), p -> {found})))")
+
+
+def _best() -> Column:
+    """Best cluster and its score: sums of probabilities by cluster, in order of clusters, so that the lowest id wins ties."""
+    total = "if(a.cluster <=> h.cluster_id, a.total + h.prob, h.prob)"
+    better = f"round({total}, {SCORE_DIGITS}) > a.score"
+    return F.expr(f"""aggregate(hits,
+        named_struct('cluster', cast(null as int), 'total', 0D, 'score', -1D, 'best', cast(null as int)),
+        (a, h) -> named_struct('cluster', h.cluster_id, 'total', {total},
+            'score', if({better}, round({total}, {SCORE_DIGITS}), a.score), 'best', if({better}, h.cluster_id, a.best)))""")
+
+
+def _indexed(sequences: DataFrame, model: DataFrame, by: Sequence[str], interval: int | None, size: int | None, how: str) -> DataFrame | None:
+    """Sequences with the index of their group; nothing where a pool's index is too large to send around."""
+    sequences, index = _grouped(sequences, by), model_index(model, by, interval)
+    if tuple(by) != POOLED:
+        return sequences.join(index, list(by), how)
+    if (size or 0) > joins.BROADCAST_BYTES:
+        return None
+    # Stored, so that a model that is still to be computed is computed once.
+    index = checkpoint(index)
+    entries = index.selectExpr("aggregate(map_values(slots), 0L, (n, s) -> n + aggregate(map_values(s.by_cell), 0L, (m, c) -> m + size(c))) AS n").first()
+    if 2 * _ENTRY_BYTES * (entries.n if entries else 0) > joins.BROADCAST_BYTES:
+        return None
+    return sequences.join(F.broadcast(index), list(by), how)
+
+
 def model_interval(model: DataFrame, interval: int | None = None) -> int:
     """Minutes per slot of a model; an error if its rows differ or another ``interval`` is asked for."""
     low, high = model.agg(F.min("interval_minutes"), F.max("interval_minutes")).first()
@@ -48,17 +128,9 @@ def model_interval(model: DataFrame, interval: int | None = None) -> int:
     return low or interval or INTERVAL_MINUTES
 
 
-def _measured(model: DataFrame, by: Sequence[str], size: int | None) -> int | None:
-    """Bytes of a pooled model, counted; what a caller expects can only add to it."""
-    if tuple(by) != POOLED:
-        return None
-    return max(size or 0, 2 * 64 * model.count())
-
-
-def _join_model(rows: DataFrame, lookup: DataFrame, on: Sequence[str], by: Sequence[str], size: int | None, spread: Sequence[str]) -> DataFrame:
-    if tuple(by) != POOLED:
-        return rows.join(lookup, [*by, *on], "left")
-    return join_shared(rows, lookup, [*by, *on], size, spread, "left")
+def _join_model(rows: DataFrame, lookup: DataFrame, on: Sequence[str], by: Sequence[str], spread: Sequence[str]) -> DataFrame:
+    """Rows of sequences with those of a large pooled model."""
+    return join_shared(rows, lookup, [*by, *on], joins.BROADCAST_BYTES + 1, spread, "left")
 
 
 def _grouped(sequences: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -67,16 +139,16 @@ def _grouped(sequences: DataFrame, by: Sequence[str]) -> DataFrame:
     return sequences
 
 
-def _scores(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str], size: int | None) -> DataFrame:
-    """Per sequence and matching cluster its score; one row without cluster when nothing matches."""
-    sequences = _grouped(sequences, by).withColumn(_ROW, F.monotonically_increasing_id())
+def _scores(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str]) -> DataFrame:
+    """By joins: per sequence and matching cluster its score; one row without cluster when nothing matches."""
+    # The numbers are stored: a task that runs again must not give others.
+    sequences = checkpoint(_grouped(sequences, by).withColumn(_ROW, F.monotonically_increasing_id()))
     keys = [c for c in sequences.columns if c != "past"]
     past = sequences.select(*keys, F.inline_outer("past").alias("minute", "cell_id"))
     past = past.withColumn("slot", F.expr(f"cast(minute div {interval} as int)"))
     lookup = model.select(*by, "slot", "cell_id", "cluster_id", "prob")
     return (
-        _join_model(past, lookup, ["slot", "cell_id"], by, size, keys)
-        .repartition(*keys)
+        _join_model(past, lookup, ["slot", "cell_id"], by, keys)
         .groupBy(*keys, "cluster_id")
         .agg(F.round(F.sum("prob"), SCORE_DIGITS).alias("score"))
     )
@@ -90,19 +162,23 @@ def model_scores(
     size: int | None = None,
 ) -> DataFrame:
     """Score of every cluster that explains at least one past point of a sequence."""
-    interval, size = model_interval(model, interval), _measured(model, by, size)
-    return _scores(sequences, model, interval, by, size).where("cluster_id IS NOT NULL").drop(_ROW)
-
-
-def _best_match(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str], size: int | None) -> DataFrame:
-    """Best matching cluster and its score per sequence; no cluster and 0 when nothing matches."""
-    scores = _scores(sequences, model, interval, by, size)
+    keys = [c for c in _grouped(sequences, by).columns if c != "past"]
+    found = _indexed(sequences, model, by, interval, size, "inner")
+    if found is None:
+        return _scores(sequences, model, model_interval(model, interval), by).where("cluster_id IS NOT NULL").drop(_ROW)
+    score = f"round(aggregate(filter(hits, h -> h.cluster_id = c), 0D, (t, h) -> t + h.prob), {SCORE_DIGITS})"
+    each = f"inline(transform(array_distinct(transform(hits, h -> h.cluster_id)), c -> named_struct('cluster_id', c, 'score', {score})))"
+    return found.select(*keys, _hits().alias("hits")).selectExpr(*keys, each)
+
+
+def _best_match(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str]) -> DataFrame:
+    """By joins: best matching cluster and its score per sequence; no cluster and 0 when nothing matches."""
+    scores = _scores(sequences, model, interval, by)
     keys = [c for c in scores.columns if c not in ("cluster_id", "score")]
-    order = F.struct("score", -F.col("cluster_id"))
-    return scores.groupBy(*keys).agg(
-        F.max_by("cluster_id", order).alias("cluster_id"),
-        F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
-    )
+    # A score of 12 digits and the cluster in one number: larger is better, then the lower id.
+    key = f"cast(score * 1e{SCORE_DIGITS} as decimal(26,0)) * {1 << 32}L + ({(1 << 31) - 1}L - cluster_id)"
+    best = scores.groupBy(*keys).agg(F.expr(f"max(cast({key} as decimal(38,0))) AS best"), F.expr("coalesce(max(score), 0D) AS score"))
+    return best.selectExpr(*keys, f"cast({(1 << 31) - 1}L - cast(best % {1 << 32}L as bigint) as int) AS cluster_id", "score")
 
 
 def best_model(
@@ -113,27 +189,21 @@ def best_model(
     size: int | None = None,
 ) -> DataFrame:
     """Best cluster and its score per sequence, for every sequence of a group with a model."""
-    interval, size = model_interval(model, interval), _measured(model, by, size)
-    best = _best_match(sequences, model, interval, by, size)
-    lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
+    keys = [c for c in _grouped(sequences, by).columns if c != "past"]
+    found = _indexed(sequences, model, by, interval, size, "inner")
+    if found is not None:
+        best = found.select(*keys, "lowest_id", _hits().alias("hits")).select(*keys, "lowest_id", _best().alias("b"))
+        return best.selectExpr(*keys, "coalesce(b.best, lowest_id) AS cluster_id", "greatest(b.score, 0D) AS score")
+    best = _best_match(sequences, model, model_interval(model, interval), by)
     keys = [c for c in best.columns if c not in ("cluster_id", "score")]
+    lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
     return (
-        _join_model(best, lowest, [], by, size, keys)
-        .where("lowest_id IS NOT NULL")
+        best.join(F.broadcast(lowest), list(by))
         .select(*keys, F.coalesce("cluster_id", "lowest_id").alias("cluster_id"), "score")
         .drop(_ROW)
     )
 
 
-def _with_lowest(model: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Model rows with the lowest cluster id of their group."""
-    if tuple(by) == POOLED:
-        # One group of any size: a single row says it all.
-        lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
-        return model.join(F.broadcast(lowest), list(by))
-    return model.withColumn("lowest_id", F.min("cluster_id").over(W.partitionBy(*by)))
-
-
 def predict(
     sequences: DataFrame,
     model: DataFrame,
@@ -147,16 +217,30 @@ def predict(
     Sequences of a group without a model give no row, or with ``keep_unpredicted``
     one row without a prediction.
     """
-    interval, size = model_interval(model, interval), _measured(model, by, size)
-    best = _best_match(sequences, model, interval, by, size)
+    keys = [c for c in _grouped(sequences, by).columns if c != "past"]
+    found = _indexed(sequences, model, by, interval, size, "left" if keep_unpredicted else "inner")
+    if found is None:
+        return _predict_by_joins(sequences, model, model_interval(model, interval), by, keep_unpredicted)
+    best = found.select(*keys, *_INDEX, _hits().alias("hits")).select(*keys, *_INDEX, _best().alias("b"))
+    ranked = f"try_element_at({_slot('next_minute')}.ranked, coalesce(b.best, lowest_id))"
+    rows = best.selectExpr(*keys, "coalesce(b.best, lowest_id) AS cluster", "greatest(b.score, 0D) AS score", f"{ranked} AS ranked")
+    inline = "inline_outer" if keep_unpredicted else "inline"
+    each = rows.selectExpr(*keys, "cluster", "score", f"{inline}(ranked) AS (rank, cell_id, prob)")
+    return each.selectExpr(*keys, "if(rank IS NULL, null, cluster) AS cluster_id", "score", "rank", "cell_id", "prob")
+
+
+def _predict_by_joins(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str], keep_unpredicted: bool) -> DataFrame:
+    best = _best_match(sequences, model, interval, by)
     keys = [c for c in best.columns if c not in ("cluster_id", "score")]
     wanted = best.select(
         *keys, "score",
         F.coalesce("cluster_id", F.lit(_NO_MATCH)).alias("lookup_id"),
         F.expr(f"cast(next_minute div {interval} as int)").alias("slot"),
     )
+    # One group of any size: a single row holds its lowest cluster.
+    lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
     lookup = (
-        _with_lowest(model, by)
+        model.join(F.broadcast(lowest), list(by))
         .select(
             *by, "slot", "cluster_id", "rank", "cell_id", "prob",
             F.explode(F.expr(
@@ -164,7 +248,7 @@ def predict(
             )).alias("lookup_id"),
         )
     )
-    predicted = _join_model(wanted, lookup, ["slot", "lookup_id"], by, size, keys)
+    predicted = _join_model(wanted, lookup, ["slot", "lookup_id"], by, keys)
     if not keep_unpredicted:
         predicted = predicted.where("rank IS NOT NULL")
     return predicted.select(*keys, "cluster_id", "score", "rank", "cell_id", "prob").drop(_ROW)

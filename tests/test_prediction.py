@@ -120,6 +120,8 @@ def test_pooled_prediction(spark, monkeypatch, limit):
     want = predict(sequences, copies)
     assert sorted(map(tuple, got.drop("pool").collect())) == sorted(map(tuple, want.collect()))
     assert len(best) == 30
+    scores = model_scores(sequences, model, by=C.POOLED, size=size).drop("pool")
+    assert sorted(map(tuple, scores.collect())) == sorted(map(tuple, model_scores(sequences, copies).collect()))
     # The size is counted where none is given.
     assert sorted(map(tuple, predict(sequences, model, by=["pool"]).collect())) == sorted(map(tuple, got.collect()))
 
@@ -139,10 +141,39 @@ def test_interval_comes_from_the_model(spark):
     model = C.checkpoint(model_of_points(C.lay_out(days), "kmeans", 1, 1, interval=30))
     sequences = past_and_future(sample_sequences(days, interval=30))
     assert {(r.next_minute // 720, r.cell_id) for r in predict(sequences, model).collect()} <= {(0, 5), (1, 6)}
-    with pytest.raises(ValueError, match="30 minutes"):
-        predict(sequences, model, interval=60)
-    with pytest.raises(ValueError, match="mixes"):
-        predict(sequences, model.union(model.withColumn("interval_minutes", F.lit(60))))
+    with pytest.raises(Exception, match="30 minutes"):
+        predict(sequences, model, interval=60).collect()
+    with pytest.raises(Exception, match="mixes"):
+        predict(sequences, model.union(model.withColumn("interval_minutes", F.lit(60)))).collect()
+
+
+def test_prediction_is_one_pass(spark):
+    """Sequences stay in their buckets: only the model moves, once, and no aggregate sees a sequence."""
+    rng = random.Random(3)
+    days = vectors(spark, [(f"u{u}", d, [rng.choice([2, 3, 4]) for _ in range(24)]) for u in range(5) for d in range(6)])
+    points = C.lay_out(days)
+    model = C.checkpoint(model_of_points(points, "kmeans", 2, 2))
+    sequences = past_and_future(sample_sequences(points))
+    plan = predict(sequences, model, keep_unpredicted=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
+    assert plan.index("SortMergeJoin") < plan.index("Exchange")
+
+
+def test_odd_sequences(spark):
+    """No past, past without a model's slot, minutes and cells that are null, a slot without cells for the best cluster."""
+    model = _model(spark, [(3, 0, [(5, 0.5), (6, 0.5)]), (4, 0, [(5, 1.0)]), (3, 1, [(7, 1.0)])])
+    points = "user_id string, day int, past array<struct<minute: int, cell_id: int>>, next_minute int, actual_cell int"
+    rows = [("A", 1, None, 60, 7), ("A", 2, [], 0, 5), ("A", 3, [(None, 5), (3, None), (3, 6)], 70, 7), ("A", 4, [(5, 5)], 60, 7), ("A", 5, [(900, 5)], None, 1)]
+    sequences = spark.createDataFrame(rows, points)
+    found = {}
+    for r in predict(sequences, model, keep_unpredicted=True).collect():
+        found.setdefault(r.day, []).append((r.cluster_id, r.score, r["rank"], r.cell_id))
+    assert found == {
+        1: [(3, 0.0, 1, 7)], 2: [(3, 0.0, 1, 5), (3, 0.0, 2, 6)], 3: [(3, 0.5, 1, 7)], 4: [(None, 1.0, None, None)], 5: [(None, 0.0, None, None)],
+    }
+    assert {r.day: r.cluster_id for r in best_model(sequences, model).collect()} == {1: 3, 2: 3, 3: 3, 4: 4, 5: 3}
+    assert predict(sequences, model.limit(0)).count() == 0
+    assert predict(sequences, model.limit(0), keep_unpredicted=True).count() == 5
 
 
 def test_vector_of_another_length_is_an_error(spark):
