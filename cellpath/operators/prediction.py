@@ -224,8 +224,10 @@ def predict(
     best = found.select(*keys, *_INDEX, _hits().alias("hits")).select(*keys, *_INDEX, _best().alias("b"))
     ranked = f"try_element_at({_slot('next_minute')}.ranked, coalesce(b.best, lowest_id))"
     rows = best.selectExpr(*keys, "coalesce(b.best, lowest_id) AS cluster", "greatest(b.score, 0D) AS score", f"{ranked} AS ranked")
-    inline = "inline_outer" if keep_unpredicted else "inline"
-    each = rows.selectExpr(*keys, "cluster", "score", f"{inline}(ranked) AS (rank, cell_id, prob)")
+    # Without "outer" the planner would add a filter on the list to the join, and compute the scores there once more.
+    each = rows.selectExpr(*keys, "cluster", "score", "inline_outer(ranked) AS (rank, cell_id, prob)")
+    if not keep_unpredicted:
+        each = each.where("rank IS NOT NULL")
     return each.selectExpr(*keys, "if(rank IS NULL, null, cluster) AS cluster_id", "score", "rank", "cell_id", "prob")
 
 
