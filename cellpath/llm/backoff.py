@@ -1,16 +1,18 @@
 """Language-model scores of whole texts by a weighted backoff automaton learnt from the corpus.
 
-The model is a word bigram, smoothed by a Dirichlet prior around add-one unigrams:
-``p(w | v) = (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR)`` and ``p(w) = (c(w) + 1) / (N + V + 1)``, where one of the V + 1 types
-stands for all unknown words. As an automaton: every training word (and the start) is a state with an arc for
-each word seen after it, and a failure arc of weight ``PRIOR / (c(v) + PRIOR)`` to the root, whose arcs carry ``p(w)``. A text
-is read once from left to right; each token takes an arc of the current state or falls back, and leads to its
-own state, or the root if unknown.
-
-Counts cover all training documents and stay distributed: documents are held in blocks of about ``BLOCK`` bytes; a block sends each
-of its distinct n-grams once, with its count there, to the shard that the n-gram's hash names; shards add up and
-answer in the same order; so a block gets the part of the automaton that its texts can reach. A word
-that is in every text costs one entry per block, and no task holds more than a block or a shard.
+The model is a word trigram, smoothed by Dirichlet priors: ``p(w | u v) = (c(u v w) + PRIOR * p(w | v)) / (c(u v) + PRIOR)`` where the pair
+``u v`` came ``LEAST_HISTORY`` times or more in training, else ``p(w | v) = (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR)``, and
+``p(w) = (c(w) + 1) / (N + V + 1)``, where one of the V + 1 types stands for all unknown words. As an automaton: the root, a state for every
+training word (and the start of a text) and one for every such pair. A state has an arc for each word seen after it, and a failure arc of
+weight ``PRIOR / (c + PRIOR)`` to the state of its last word, or the root. A text is read once from left to right: a token takes an arc
+of the state that the tokens before it led to, or follows failure arcs, whose weights add up, until a state has one. The token leads to the state of
+the pair that it ends, or its word, or the root.
+
+Counts cover all training documents and stay distributed. Documents are held in blocks of about ``BLOCK`` bytes, a file each in the shared
+folder. A block sends each of its distinct words and pairs once, with its count there, to the shard that the n-gram's hash names; shards
+add up and answer in the same order; then the same for its triples whose first pair is a state. So a block gets the part
+of the automaton that its texts can reach, and is never moved. A word that is in every text costs one entry per block, and no task holds
+more than a block or a shard. Keys travel as differences of sorted hashes, counts as numbers of few bytes.
 
 Null text is empty and scores its end token. Repeated rows count and score each. A null id is not held out. Empty tables give
 empty results. Ties do not arise. Other columns are ignored, whatever their names.
@@ -18,55 +20,62 @@ empty results. Ties do not arise. Other columns are ignored, whatever their name
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellpath.llm.files import partition_index
-from cellpath.llm.staged import keep, stage
+from cellpath.llm.files import locate, partition_index, whole_file
+from cellpath.llm.staged import stage
 from cellpath.llm.words import NOT_SPACE, Words, mix, slices
-from cellpath.session import shuffle_partitions
+from cellpath.session import scratch_path, shuffle_partitions
 
 BLOCK = 16 << 20
 PRIOR = 100.0
+#: Pairs of words that came less often in training are no states.
+LEAST_HISTORY = 2
 #: Hashes of the end of a text and, as history, of its start.
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PAIR = np.uint64(0xA0761D6478BD642F)
+_TRIPLE = np.uint64(0xE7037ED1A0B428DB)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: ids, held, counts (tokens of each), tokens (places in ``words``), words (sorted hashes)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = partition_index() << 24
-        for part in _blocks_of(batches):
-            words = Words(part["text"], NOT_SPACE, lower=True)
-            counts = words.counts() + 1
-            at = np.cumsum(counts)
-            hashes = np.full(int(at[-1]), END, np.uint64)
-            inner = np.ones(len(hashes), np.bool_)
-            inner[at - 1] = False
-            hashes[inner] = words.hashes
-            unique, tokens = np.unique(hashes, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number]),
-                    pa.array([part["doc_id"]], pa.list_(pa.int64())),
-                    pa.array([part["held"]], pa.list_(pa.bool_())),
-                    pa.array([counts], pa.list_(pa.int64())),
-                    pa.array([tokens.astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([unique.tobytes()], pa.binary()),
-                ],
-                names=["block", "ids", "held", "counts", "tokens", "words"],
-            )
-            number += 1
-
-    return docs.mapInArrow(
-        make, "block long, ids array<long>, held array<boolean>, counts array<long>, tokens binary, words binary"
-    )
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as seven bits a byte, the highest bit marking all bytes of a number but its last."""
+    values = np.asarray(values, np.uint64)
+    width = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        width += values >> np.uint64(7 * k) > 0
+    end = np.cumsum(width)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(int(width.max(initial=0))):
+        has = width > k
+        part = (values[has] >> np.uint64(7 * k)) & np.uint64(127)
+        out[(end - width)[has] + k] = part | np.where(width[has] > k + 1, 128, 0).astype(np.uint64)
+    return out.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    end = np.flatnonzero(raw < 128) + 1
+    start = np.concatenate([[0], end[:-1]]).astype(np.int64)
+    values = np.zeros(len(end), np.uint64)
+    for k in range(int((end - start).max(initial=0))):
+        has = end - start > k
+        values[has] |= (raw[start[has] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return values
+
+
+def _sorted_keys(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -83,149 +92,164 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(waiting)
 
 
-class _Block:
-    """A block's tokens with their histories, and its distinct pairs."""
+class Block:
+    """Documents of a block as tokens (places in sorted word hashes) with what came before them, and the distinct pairs."""
 
-    def __init__(self, row: dict):
-        self.counts = np.asarray(row["counts"], np.int64)
-        self.held = np.asarray(row["held"], np.bool_)
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.int32)
-        first = np.cumsum(self.counts) - self.counts
-        end = len(self.words) - 1  # the end's hash is the largest; as history it is the start
-        self.before = np.concatenate([[end], self.tokens[:-1]]).astype(np.int32)
-        self.before[first] = end
-        pair = mix(self.words[self.before] * _PAIR + self.words[self.tokens])
+    def __init__(self, ids: pa.Array, held: np.ndarray, counts: np.ndarray, words: np.ndarray, tokens: np.ndarray):
+        self.ids, self.held, self.counts, self.words, self.tokens = ids, held, counts, words, tokens
+        self.first = np.cumsum(counts) - counts
+        end = len(words) - 1  # the end's hash is the largest; as history it is the start
+        self.before = np.concatenate([[end], tokens[:-1]]).astype(np.int32)
+        self.before[self.first] = end
+        pair = mix(words[self.before] * _PAIR + words[tokens])
         self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
+        self.trained = np.repeat(~held, counts)
+
+    @classmethod
+    def of_texts(cls, table: pa.Table) -> Block:
+        words = Words(table["text"], NOT_SPACE, lower=True)
+        counts = words.counts() + 1
+        at = np.cumsum(counts)
+        hashes = np.full(int(at[-1]), END, np.uint64)
+        inner = np.ones(len(hashes), np.bool_)
+        inner[at - 1] = False
+        hashes[inner] = words.hashes
+        unique, tokens = np.unique(hashes, return_inverse=True)
+        held = table["held"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.bool_)
+        return cls(table["doc_id"].combine_chunks(), held, counts, unique, tokens.astype(np.int32))
+
+    def write(self, folder: str, number: tuple[int, int]) -> int:
+        """Store the block under a name made of its content and its place, so that no attempt spoils another's."""
+        sink = pa.BufferOutputStream()
+        table = pa.table({
+            "ids": pa.array([self.ids.to_pylist()], pa.list_(pa.int64())),
+            "held": pa.array([self.held.tobytes()], pa.binary()),
+            "counts": pa.array([self.counts.astype(np.int64).tobytes()], pa.binary()),
+            "words": pa.array([self.words.tobytes()], pa.binary()),
+            "tokens": pa.array([self.tokens.tobytes()], pa.binary()),
+        })
+        with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        content = sink.getvalue()
+        name = int.from_bytes(hashlib.blake2b(repr(number).encode() + content.to_pybytes(), digest_size=7).digest())
+        with whole_file(folder, f"{name:014x}") as out:
+            out.write(content)
+        return name
+
+    @classmethod
+    def read(cls, folder: str, name: int) -> Block:
+        store, root = locate(folder)
+        with store.open_input_file(f"{root}/{name:014x}") as source:
+            row = pa.ipc.open_file(source).read_all()
+        arrays = [np.frombuffer(row[c][0].as_py(), kind) for c, kind in (("held", np.bool_), ("counts", np.int64), ("words", np.uint64), ("tokens", np.int32))]
+        return cls(row["ids"].combine_chunks().flatten(), *arrays)
 
     def training_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        known = np.repeat(~self.held, self.counts)
         return (
-            np.bincount(self.tokens[known], minlength=len(self.words)),
-            np.bincount(self.pair_of[known], minlength=len(self.pairs)),
+            np.bincount(self.tokens[self.trained], minlength=len(self.words)),
+            np.bincount(self.pair_of[self.trained], minlength=len(self.pairs)),
         )
 
+    def triples(self, pair_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens after a pair that is a state, the distinct triples' keys, and the triple that each of those tokens ends."""
+        history = np.concatenate([[0], self.pair_of[:-1]])
+        open_ = pair_counts[history] >= LEAST_HISTORY
+        open_[self.first] = False
+        at = np.flatnonzero(open_)
+        keys, triple_of = np.unique(mix(self.pairs[history[at]] * _TRIPLE + self.words[self.tokens[at]]), return_inverse=True)
+        return at, keys, triple_of
+
 
 def _shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's keys begin in sorted keys; shards are equal ranges of hashes."""
-    step = np.uint64((1 << 64) // shards)
-    return np.concatenate([[0], np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * step), [len(keys)]])
+    starts = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
+_REQUESTS = "shard long, block long, n_words long, words binary, word_counts binary, grams binary, gram_counts binary"
 
 
-def _requests(blocks: DataFrame, shards: int) -> DataFrame:
-    """What every block sends to every shard: keys and training counts, words first, then pairs."""
+def _requests(name: int, shards: int, words: np.ndarray, word_counts: np.ndarray, grams: np.ndarray, gram_counts: np.ndarray) -> pa.RecordBatch:
+    """What a block sends to every shard: sorted keys with training counts."""
+    w, g = _shard_bounds(words, shards), _shard_bounds(grams, shards)
+    rows = [
+        (s, name, b - a, _sorted_keys(words[a:b]), pack(word_counts[a:b]), _sorted_keys(grams[c:d]), pack(gram_counts[c:d]))
+        for s, (a, b, c, d) in enumerate(zip(w[:-1], w[1:], g[:-1], g[1:]))
+        if b > a or d > c
+    ]
+    names = [c.split()[0] for c in _REQUESTS.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                block = _Block(row)
-                ones, twos = block.training_counts()
-                w, p = _shard_bounds(block.words, shards), _shard_bounds(block.pairs, shards)
-                out = {"shard": [], "block": [], "n_words": [], "keys": [], "counts": []}
-                for s in range(shards):
-                    a, b, c, d = w[s], w[s + 1], p[s], p[s + 1]
-                    if b > a or d > c:
-                        out["shard"].append(s)
-                        out["block"].append(row["block"])
-                        out["n_words"].append(b - a)
-                        out["keys"].append(np.concatenate([block.words[a:b], block.pairs[c:d]]).tobytes())
-                        out["counts"].append(np.concatenate([ones[a:b], twos[c:d]]).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_pydict(
-                    {k: pa.array(v, pa.binary() if k in ("keys", "counts") else pa.int64()) for k, v in out.items()}
-                )
 
-    return blocks.mapInArrow(make, "shard long, block long, n_words long, keys binary, counts binary")
+_ANSWERS = "block long, shard long, tokens long, types long, words binary, grams binary"
 
 
 def _add_up(table: pa.Table) -> pa.Table:
     """Totals of a shard's keys for every block that asked, and the shard's own sums of words under block -1."""
-    blocks, shard = table["block"].to_numpy(), table["shard"][0].as_py()
-    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]
-    split = table["n_words"].to_numpy()
-    totals = [[], []]
-    tokens = types = 0
-    for kind in (0, 1):
-        part = slice(None)
-        own = [k[:n] if kind == 0 else k[n:] for k, n in zip(keys, split)]
-        add = [c[:n] if kind == 0 else c[n:] for c, n in zip(counts, split)]
-        sizes = np.array([len(k) for k in own])
+    blocks, shard = table["block"].to_pylist(), table["shard"][0].as_py()
+
+    def totals(keys: str, counts: str) -> tuple[list[bytes], np.ndarray]:
+        own = [_keys(x) for x in table[keys].to_pylist()]
+        add = [unpack(x).astype(np.float64) for x in table[counts].to_pylist()]
         unique, place = np.unique(np.concatenate(own), return_inverse=True)
         sums = np.bincount(place, np.concatenate(add), len(unique)).astype(np.int64)
-        if kind == 0:
-            tokens, types = int(sums.sum()), int((sums > 0).sum())
-        totals[kind] = np.split(sums[place[part]], np.cumsum(sizes)[:-1])
+        ends = np.cumsum([len(k) for k in own])
+        return [pack(part) for part in np.split(sums[place], ends[:-1])], sums
+
+    words, sums = totals("words", "word_counts")
+    grams, _ = totals("grams", "gram_counts")
+    n = len(blocks)
     return pa.table({
-        "block": pa.array([*blocks.tolist(), -1], pa.int64()),
-        "shard": pa.array([shard] * (len(blocks) + 1), pa.int64()),
-        "tokens": pa.array([0] * len(blocks) + [tokens], pa.int64()),
-        "types": pa.array([0] * len(blocks) + [types], pa.int64()),
-        "words": pa.array([x.tobytes() for x in totals[0]] + [b""], pa.binary()),
-        "pairs": pa.array([x.tobytes() for x in totals[1]] + [b""], pa.binary()),
+        "block": pa.array([*blocks, -1], pa.int64()),
+        "shard": pa.array([shard] * (n + 1), pa.int64()),
+        "tokens": pa.array([0] * n + [int(sums.sum())], pa.int64()),
+        "types": pa.array([0] * n + [int((sums > 0).sum())], pa.int64()),
+        "words": pa.array([*words, b""], pa.binary()),
+        "grams": pa.array([*grams, b""], pa.binary()),
     })
 
 
+def _answered(table: pa.Table, column: str) -> np.ndarray:
+    """A block's counts, put together in order of shards."""
+    order = np.argsort(table["shard"].to_numpy(), kind="stable")
+    values = table[column].to_pylist()
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(values[i]).astype(np.int64) for i in order)])
+
+
+@dataclass(frozen=True)
 class Automaton:
-    """The reachable part of the model: weights of root arcs, arcs and failure arcs, in log10."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, tokens: int, types: int, prior: float):
-        """``words`` and ``pairs`` are training counts by place; the last word is the end, whose state is the start."""
-        self.words, self.pairs = words, pairs
-        unigram = (words + 1) / (tokens + types + 1)
-        self.root = np.log10(unigram)
-        self.unigram, self.prior = unigram, prior
-        self.failure = np.log10(prior / (words + prior))  # 0 for an unknown history: it is the root
-
-    def walk(self, before: np.ndarray, tokens: np.ndarray, pair_of: np.ndarray) -> np.ndarray:
-        """Weight that each token adds, from the state that the token before it has led to."""
-        seen = self.pairs[pair_of]
-        arc = np.log10((seen + self.prior * self.unigram[tokens]) / (self.words[before] + self.prior))
-        return np.where(seen > 0, arc, self.failure[before] + self.root[tokens])
-
-
-def _score(prior: float, tokens: int, types: int):
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for batch in left.to_batches():
-            for row in _rows(batch):
-                block = _Block(row)
-                order = np.argsort(right["shard"].to_numpy(), kind="stable")
-                words, pairs = (
-                    np.concatenate([np.frombuffer(x, np.int64) for x in (values[i] for i in order)])
-                    for values in (right["words"].to_pylist(), right["pairs"].to_pylist())
-                )
-                model = Automaton(words, pairs, tokens, types, prior)
-                weight = model.walk(block.before, block.tokens, block.pair_of)
-                first = np.cumsum(block.counts) - block.counts
-                out.append(pa.table({
-                    "doc_id": pa.array(row["ids"], pa.int64()),
-                    "held_out": pa.array(block.held),
-                    "n_tokens": pa.array(block.counts),
-                    "n_known": pa.array(np.add.reduceat((words > 0)[block.tokens].astype(np.int64), first)),
-                    "train_tokens": pa.array(np.full(len(first), tokens)),
-                    "base_score": pa.array(np.add.reduceat(model.root[block.tokens], first)),
-                    "score": pa.array(np.add.reduceat(weight, first)),
-                }))
-        return pa.concat_tables(out) if out else _NOTHING
-
-    return score
+    """The part of the automaton that a block's texts can reach: training counts of its words (the last one is the end, whose
+    state is the start), pairs and triples, and of all."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    triples: np.ndarray
+    tokens: int
+    types: int
+    prior: float
+
+    def root(self) -> np.ndarray:
+        """Probability of every word at the root."""
+        return (self.words + 1) / (self.tokens + self.types + 1)
+
+    def walk(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Weights in log10 that each token adds at the root alone, and on its way through the states."""
+        root = self.root()[block.tokens]
+        # From the state of the word before: an arc, or a failure arc to the root; of an unknown word it weighs nothing.
+        seen, left = self.pairs[block.pair_of], self.words[block.before]
+        two = (seen + self.prior * root) / (left + self.prior)
+        failure = np.log10(self.prior / (left + self.prior))
+        weight = np.where(seen > 0, np.log10(two), failure + np.log10(root))
+        # From the state of the pair before, if it is one: an arc, or a failure arc to the state of its last word.
+        at, _, triple_of = block.triples(self.pairs)
+        seen, left = self.triples[triple_of], self.pairs[block.pair_of[at - 1]]
+        arc = np.log10((seen + self.prior * two[at]) / (left + self.prior))
+        weight[at] = np.where(seen > 0, arc, np.log10(self.prior / (left + self.prior)) + weight[at])
+        return np.log10(root), weight
 
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_NOTHING = pa.table({
-    "doc_id": pa.array([], pa.int64()),
-    "held_out": pa.array([], pa.bool_()),
-    "n_tokens": pa.array([], pa.int64()),
-    "n_known": pa.array([], pa.int64()),
-    "train_tokens": pa.array([], pa.int64()),
-    "base_score": pa.array([], pa.float64()),
-    "score": pa.array([], pa.float64()),
-})
 
 
 def score_texts(docs: DataFrame, held, *, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,13 +261,46 @@ def score_texts(docs: DataFrame, held, *, prior: float = PRIOR, id_col: str = "d
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text")
     )
-    blocks = stage(_blocks(rows), "blocks")
-    shards = shuffle_partitions(spark)
-    asked = _requests(blocks, shards).groupBy("shard")
-    answers = keep(
-        asked.applyInArrow(_add_up, "block long, shard long, tokens long, types long, words binary, pairs binary")
-    )
-    total = answers.where("block = -1").agg(F.sum("tokens"), F.sum("types")).first()
-    scorer = _score(prior, total[0] or 0, total[1] or 0)
-    replies = answers.where("block != -1").select("block", "shard", "words", "pairs")
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scorer, _RESULT)
+    folder, shards = scratch_path(spark, "blocks"), shuffle_partitions(spark)
+    none = np.zeros(0, np.uint64)
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part in enumerate(_blocks_of(batches)):
+            block = Block.of_texts(part)
+            name = block.write(folder, (partition_index(), number))
+            words, pairs = block.training_counts()
+            yield _requests(name, shards, block.words, words, block.pairs, pairs)
+
+    def ask_triples(key: tuple, answers: pa.Table) -> pa.Table:
+        block = Block.read(folder, key[0].as_py())
+        at, keys, triple_of = block.triples(_answered(answers, "grams"))
+        counts = np.bincount(triple_of[block.trained[at]], minlength=len(keys))
+        return pa.Table.from_batches([_requests(key[0].as_py(), shards, none, none, keys, counts)])
+
+    # Answers are written down, so that the requests behind them can go.
+    pairs = stage(rows.mapInArrow(ask_pairs, _REQUESTS).groupBy("shard").applyInArrow(_add_up, _ANSWERS), "pair-answers")
+    total = pairs.where("block = -1").agg(F.sum("tokens"), F.sum("types")).first()
+    pairs = pairs.where("block <> -1")
+    asked = pairs.select("block", "shard", "grams").groupBy("block").applyInArrow(ask_triples, _REQUESTS)
+    triples = stage(asked.groupBy("shard").applyInArrow(_add_up, _ANSWERS), "triple-answers").where("block <> -1")
+
+    def score(key: tuple, answers: pa.Table) -> pa.Table:
+        block = Block.read(folder, key[0].as_py())
+        longer = answers["longer"].to_numpy(zero_copy_only=False)
+        two, three = (answers.filter(pa.array(longer == x)) for x in (False, True))
+        words = _answered(two, "words")
+        model = Automaton(words, _answered(two, "grams"), _answered(three, "grams"), total[0], total[1], prior)
+        base, weight = model.walk(block)
+        return pa.table({
+            "doc_id": block.ids,
+            "held_out": pa.array(block.held),
+            "n_tokens": pa.array(block.counts),
+            "n_known": pa.array(np.add.reduceat((words > 0)[block.tokens].astype(np.int64), block.first)),
+            "train_tokens": pa.array(np.full(len(block.counts), total[0])),
+            "base_score": pa.array(np.add.reduceat(base, block.first)),
+            "score": pa.array(np.add.reduceat(weight, block.first)),
+        })
+
+    columns = ["block", "shard", "words", "grams"]
+    both = pairs.select(*columns, F.lit(False).alias("longer")).union(triples.select(*columns, F.lit(True).alias("longer")))
+    return both.groupBy("block").applyInArrow(score, _RESULT)

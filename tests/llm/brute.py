@@ -114,22 +114,31 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def scores(docs, prior):
+def scores(docs, prior, least=2):
     rows = [(d, zlib.crc32(str(d).encode()) % 7 == 2, [*SPACE_WORDS.findall(lower(t)), None]) for d, t in docs]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for _, held, w in rows:
         if not held:
             one.update(w)
             two.update(zip([None, *w[:-1]], w))
+            three.update(zip([None, *w[:-2]], w[:-1], w[1:]))
     n, v = sum(one.values()), len(one)
 
     def p(w):
         return (one[w] + 1) / (n + v + 1)
 
+    def p2(b, w):
+        return (two[b, w] + prior * p(w)) / (one[b] + prior)
+
+    def p3(a, b, w):
+        if two[a, b] < least:
+            return p2(b, w)
+        return (three[a, b, w] + prior * p2(b, w)) / (two[a, b] + prior)
+
     out = []
     for d, held, w in rows:
         base = sum(math.log10(p(x)) for x in w)
-        full = sum(math.log10((two[b, x] + prior * p(x)) / (one[b] + prior)) for b, x in zip([None, *w[:-1]], w))
+        full = math.log10(p2(None, w[0])) + sum(math.log10(p3(*x)) for x in zip([None, *w[:-2]], w[:-1], w[1:]))
         out.append((d, held, len(w), sum(one[x] > 0 for x in w), n, base, full))
     return sorted(out)
 

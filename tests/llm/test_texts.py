@@ -206,5 +206,19 @@ def test_scores(spark, sf_dir, documents, rows, odd):
         found, expected = rows(backoff.score_texts(df, held)), brute.scores(docs, backoff.PRIOR)
         assert [r[:5] for r in found] == [r[:5] for r in expected]
         assert np.allclose([r[5:] for r in found], [r[5:] for r in expected])
+    with_few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = rows(backoff.score_texts(odd, held))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", with_few)
+    assert np.allclose([r[5:] for r in found], [r[5:] for r in brute.scores(ODD, backoff.PRIOR)])
     unseen = [r for r in brute.scores(documents, backoff.PRIOR) if r[1]]
     assert sum(r[6] for r in unseen) > sum(r[5] for r in unseen)
+
+
+def test_packed_numbers():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**32, 2**63, 2**64 - 1], np.uint64)
+    assert backoff.unpack(backoff.pack(values)).tolist() == values.tolist()
+    assert backoff._keys(backoff._sorted_keys(values)).tolist() == values.tolist()
+    assert backoff.pack(values[:0]) == b"" and len(backoff.unpack(b"")) == 0
