@@ -20,7 +20,6 @@ empty results. Ties do not arise. Other columns are ignored, whatever their name
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellpath.llm.files import locate, partition_index, whole_file
+from cellpath.llm.exchange import gather, pack, pack_keys, read_block, shard_bounds, store_block, unpack, unpack_keys
+from cellpath.llm.files import partition_index
 from cellpath.llm.staged import stage
-from cellpath.llm.words import NOT_SPACE, Words, mix, slices
+from cellpath.llm.words import NOT_SPACE, Words, mix
 from cellpath.session import scratch_path, shuffle_partitions
 
 BLOCK = 16 << 20
@@ -44,54 +44,6 @@ _PAIR = np.uint64(0xA0761D6478BD642F)
 _TRIPLE = np.uint64(0xE7037ED1A0B428DB)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Numbers as seven bits a byte, the highest bit marking all bytes of a number but its last."""
-    values = np.asarray(values, np.uint64)
-    width = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        width += values >> np.uint64(7 * k) > 0
-    end = np.cumsum(width)
-    out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
-    for k in range(int(width.max(initial=0))):
-        has = width > k
-        part = (values[has] >> np.uint64(7 * k)) & np.uint64(127)
-        out[(end - width)[has] + k] = part | np.where(width[has] > k + 1, 128, 0).astype(np.uint64)
-    return out.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    end = np.flatnonzero(raw < 128) + 1
-    start = np.concatenate([[0], end[:-1]]).astype(np.int64)
-    values = np.zeros(len(end), np.uint64)
-    for k in range(int((end - start).max(initial=0))):
-        has = end - start > k
-        values[has] |= (raw[start[has] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
-    return values
-
-
-def _sorted_keys(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
-
-
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows gathered to about ``BLOCK`` bytes of text."""
-    waiting, size = [], 0
-    for batch in batches:
-        for part in slices(batch, "text", BLOCK // 4):
-            waiting.append(part)
-            size += part["text"].nbytes
-            if size >= BLOCK:
-                yield pa.Table.from_batches(waiting)
-                waiting, size = [], 0
-    if waiting:
-        yield pa.Table.from_batches(waiting)
-
-
 class Block:
     """Documents of a block as tokens (places in sorted word hashes) with what came before them, and the distinct pairs."""
 
@@ -118,31 +70,14 @@ class Block:
         held = table["held"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.bool_)
         return cls(table["doc_id"].combine_chunks(), held, counts, unique, tokens.astype(np.int32))
 
-    def write(self, folder: str, number: tuple[int, int]) -> int:
-        """Store the block under a name made of its content and its place, so that no attempt spoils another's."""
-        sink = pa.BufferOutputStream()
-        table = pa.table({
-            "ids": pa.array([self.ids.to_pylist()], pa.list_(pa.int64())),
-            "held": pa.array([self.held.tobytes()], pa.binary()),
-            "counts": pa.array([self.counts.astype(np.int64).tobytes()], pa.binary()),
-            "words": pa.array([self.words.tobytes()], pa.binary()),
-            "tokens": pa.array([self.tokens.tobytes()], pa.binary()),
-        })
-        with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
-        content = sink.getvalue()
-        name = int.from_bytes(hashlib.blake2b(repr(number).encode() + content.to_pybytes(), digest_size=7).digest())
-        with whole_file(folder, f"{name:014x}") as out:
-            out.write(content)
-        return name
+    def write(self, folder: str, place: tuple[int, int]) -> int:
+        columns = {"held": self.held, "counts": self.counts, "words": self.words, "tokens": self.tokens}
+        return store_block(folder, place, {"ids": self.ids} | {name: pa.array(x) for name, x in columns.items()})
 
     @classmethod
     def read(cls, folder: str, name: int) -> Block:
-        store, root = locate(folder)
-        with store.open_input_file(f"{root}/{name:014x}") as source:
-            row = pa.ipc.open_file(source).read_all()
-        arrays = [np.frombuffer(row[c][0].as_py(), kind) for c, kind in (("held", np.bool_), ("counts", np.int64), ("words", np.uint64), ("tokens", np.int32))]
-        return cls(row["ids"].combine_chunks().flatten(), *arrays)
+        found = read_block(folder, name)
+        return cls(found.pop("ids"), *(found[c].to_numpy(zero_copy_only=False) for c in ("held", "counts", "words", "tokens")))
 
     def training_counts(self) -> tuple[np.ndarray, np.ndarray]:
         return (
@@ -160,20 +95,14 @@ class Block:
         return at, keys, triple_of
 
 
-def _shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's keys begin in sorted keys; shards are equal ranges of hashes."""
-    starts = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
-
-
 _REQUESTS = "shard long, block long, n_words long, words binary, word_counts binary, grams binary, gram_counts binary"
 
 
 def _requests(name: int, shards: int, words: np.ndarray, word_counts: np.ndarray, grams: np.ndarray, gram_counts: np.ndarray) -> pa.RecordBatch:
     """What a block sends to every shard: sorted keys with training counts."""
-    w, g = _shard_bounds(words, shards), _shard_bounds(grams, shards)
+    w, g = shard_bounds(words, shards), shard_bounds(grams, shards)
     rows = [
-        (s, name, b - a, _sorted_keys(words[a:b]), pack(word_counts[a:b]), _sorted_keys(grams[c:d]), pack(gram_counts[c:d]))
+        (s, name, b - a, pack_keys(words[a:b]), pack(word_counts[a:b]), pack_keys(grams[c:d]), pack(gram_counts[c:d]))
         for s, (a, b, c, d) in enumerate(zip(w[:-1], w[1:], g[:-1], g[1:]))
         if b > a or d > c
     ]
@@ -190,7 +119,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     blocks, shard = table["block"].to_pylist(), table["shard"][0].as_py()
 
     def totals(keys: str, counts: str) -> tuple[list[bytes], np.ndarray]:
-        own = [_keys(x) for x in table[keys].to_pylist()]
+        own = [unpack_keys(x) for x in table[keys].to_pylist()]
         add = [unpack(x).astype(np.float64) for x in table[counts].to_pylist()]
         unique, place = np.unique(np.concatenate(own), return_inverse=True)
         sums = np.bincount(place, np.concatenate(add), len(unique)).astype(np.int64)
@@ -265,7 +194,7 @@ def score_texts(docs: DataFrame, held, *, prior: float = PRIOR, id_col: str = "d
     none = np.zeros(0, np.uint64)
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in enumerate(_blocks_of(batches)):
+        for number, part in enumerate(gather(batches, "text", BLOCK)):
             block = Block.of_texts(part)
             name = block.write(folder, (partition_index(), number))
             words, pairs = block.training_counts()

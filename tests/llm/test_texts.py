@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellpath.llm import backoff, decontaminate, packing, pii, queries, setsketch, token_store
+from cellpath.llm import backoff, decontaminate, exchange, packing, pii, queries, setsketch, token_store
 from cellpath.session import scratch_path
 
 ODD = [
@@ -219,6 +219,6 @@ def test_scores(spark, sf_dir, documents, rows, odd):
 
 def test_packed_numbers():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2**32, 2**63, 2**64 - 1], np.uint64)
-    assert backoff.unpack(backoff.pack(values)).tolist() == values.tolist()
-    assert backoff._keys(backoff._sorted_keys(values)).tolist() == values.tolist()
-    assert backoff.pack(values[:0]) == b"" and len(backoff.unpack(b"")) == 0
+    assert exchange.unpack(exchange.pack(values)).tolist() == values.tolist()
+    assert exchange.unpack_keys(exchange.pack_keys(values)).tolist() == values.tolist()
+    assert exchange.pack(values[:0]) == b"" and len(exchange.unpack(b"")) == 0
