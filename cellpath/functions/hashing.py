@@ -14,6 +14,6 @@ def digest(columns: Sequence[str], seed: int) -> str:
     return f"md5(concat_ws('|', {', '.join(columns)}, '{seed}'))"
 
 
-def digest_int(hexdigest: str, start: int = 1) -> str:
-    """SQL text: eight hex digits of a digest, from position ``start``, as a non-negative bigint."""
-    return f"cast(conv(substring({hexdigest}, {start}, 8), 16, 10) as bigint)"
+def digest_int(hexdigest: str, start: int = 1, digits: int = 8) -> str:
+    """SQL text: some hex digits (15 at most) of a digest, from position ``start``, as a non-negative bigint."""
+    return f"cast(conv(substring({hexdigest}, {start}, {digits}), 16, 10) as bigint)"

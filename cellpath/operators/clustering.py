@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellpath.functions.distance import Distance, squared
-from cellpath.functions.hashing import digest
+from cellpath.functions.hashing import digest, digest_int
 from cellpath.functions.ranking import cell_of_count, count_key
 from cellpath.operators import rounds as R
 from cellpath.schema import SEED, USER_DAY
@@ -53,14 +53,14 @@ def _point_keys(by: Sequence[str]) -> list[str]:
 def initial_centres(points: DataFrame, k: int, by: Sequence[str] = PER_USER, seed: int = SEED) -> DataFrame:
     """``k`` random days per group as centres 0..k-1; a smaller group gives all its days.
 
-    A pool keeps the best ``k`` days of each task, then of all. Per user the rank filter
+    Of a pool only days with a draw below a threshold, about twice as many as wanted, leave their tasks. Per user the rank filter
     becomes a group limit before the shuffle; past Spark's limit for that, a user's days
     are still bounded.
     """
     order = ["draw", *USER_DAY]
     drawn = points.withColumn("draw", F.expr(digest(USER_DAY, seed)))
     if tuple(by) == POOLED:
-        drawn = drawn.orderBy(*order).limit(k)
+        drawn = _lowest_draws(drawn, k).orderBy(*order).limit(k)
     ranked = (
         drawn.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
         .where(F.col("rank") <= k)
@@ -69,6 +69,18 @@ def initial_centres(points: DataFrame, k: int, by: Sequence[str] = PER_USER, see
     return _collect_centres(ranked, by)
 
 
+def _lowest_draws(drawn: DataFrame, k: int) -> DataFrame:
+    """At least the ``k`` rows of the lowest draws, all if there are fewer, and few more: draws are evenly spread."""
+    n = drawn.count()
+    share = min(1.0, (2 * k + 64) / max(n, 1))
+    while share < 1:
+        few = drawn.where(F.expr(f"{digest_int('draw', digits=13)} < {int(share * 16**13)}L"))
+        if few.count() >= k:
+            return few
+        share = min(1.0, 2 * share)
+    return drawn
+
+
 def _collect_centres(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per group from ``cluster_id, cells`` rows."""
     return rows.groupBy(*by).agg(F.expr("sort_array(collect_list(struct(cluster_id, cells))) AS centres"))

@@ -6,21 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cellpath.operators.joins import join_shared
 from cellpath.schema import MINUTES_PER_DAY, USER_DAY, USER_MONTH
+from cellpath.session import checkpoint
 
-# Pings are numbered in blocks of this many consecutive ``ord`` values (2^20).
-_ORD_BLOCK_BITS = 20
+# A minute with about this many pings or more is cut into blocks of about as many.
+_BLOCK = 1 << 20
+# Pings of a block that are looked at to find where it ends.
+_LOOKED_AT = 8
+
+_MINUTE = [*USER_DAY, "minute_of_day"]
+
+
+def _block_starts(pings: DataFrame) -> DataFrame:
+    """``starts`` of the blocks after the first of every minute that has several: every so many of its sampled ``ord``.
+
+    The sample is by hash, so it never changes; of a minute below a block's size it mostly leaves less than a start.
+    """
+    sample = pings.where(F.pmod(F.xxhash64("ord"), F.lit(max(1, _BLOCK // _LOOKED_AT))) == 0)
+    ordered = sample.groupBy(*_MINUTE).agg(F.sort_array(F.collect_list("ord")).alias("looked_at"))
+    starts = f"filter(looked_at, (x, i) -> (i + 1) % {_LOOKED_AT} = 0)"
+    return ordered.selectExpr(*_MINUTE, f"{starts} AS starts").where("size(starts) > 0")
+
+
+def _blocked(pings: DataFrame) -> DataFrame:
+    """Pings with the number of their ``block`` in the minute, by ``ord``."""
+    starts = checkpoint(_block_starts(pings))
+    size = starts.agg(F.sum(F.size("starts") * 16 + 64)).first()[0]
+    if size is None:
+        return pings.withColumn("block", F.lit(0))
+    found = join_shared(pings, starts, _MINUTE, size, [*_MINUTE, "ord"], "left")
+    # Binary search: the number of starts up to ``ord``.
+    step = """if(a.low >= a.high, a, if(get(starts, (a.low + a.high) div 2) <= ord,
+        named_struct('low', cast((a.low + a.high) div 2 + 1 as int), 'high', a.high),
+        named_struct('low', a.low, 'high', cast((a.low + a.high) div 2 as int))))"""
+    block = f"aggregate(sequence(1, 32), named_struct('low', 0, 'high', size(starts)), (a, i) -> {step}).low"
+    return found.withColumn("block", F.expr(f"if(starts IS NULL, 0, {block})")).drop("starts")
 
 
 def numbered_pings(pings: DataFrame) -> DataFrame:
     """Pings with ``seq_no``, their position in the day (from 0) by minute and ``ord``.
 
-    A day may hold any number of pings, so no task sorts a whole day. ``ord`` is
-    unique, hence a block of 2^20 of its values within a minute is bounded; rows are
-    numbered per block, and a running sum over block counts gives the offset.
+    A day may hold any number of pings, with any values of ``ord``, so no task sorts a whole day: a minute with very many is cut into blocks by
+    sampled quantiles of its ``ord``. Rows are numbered per block, and a running sum over block counts gives the offset.
     """
-    block = [*USER_DAY, "minute_of_day", "block"]
-    blocked = pings.withColumn("block", F.shiftright("ord", _ORD_BLOCK_BITS))
+    block = [*_MINUTE, "block"]
+    blocked = _blocked(pings)
     before = (
         W.partitionBy(*USER_DAY).orderBy("minute_of_day", "block").rowsBetween(W.unboundedPreceding, -1)
     )
@@ -31,7 +62,7 @@ def numbered_pings(pings: DataFrame) -> DataFrame:
     return (
         blocked.withColumn("in_block", in_block)
         .join(offsets, block)
-        .select(*USER_DAY, "minute_of_day", "cell_id", "ord", (F.col("offset") + F.col("in_block")).alias("seq_no"))
+        .select(*_MINUTE, "cell_id", "ord", (F.col("offset") + F.col("in_block")).alias("seq_no"))
     )
 
 

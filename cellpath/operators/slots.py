@@ -41,8 +41,8 @@ def _slot(minute: str, interval: int) -> Column:
     return F.expr(f"cast({minute} div {interval} as int)")
 
 
-def minute_states(pings: DataFrame, lost_cell: int = LOST_SIGNAL_CELL) -> DataFrame:
-    """One row per user, day and minute: the cell that holds on, and the smallest known cell seen.
+def minute_states(pings: DataFrame, lost_cell: int = LOST_SIGNAL_CELL, *more: Column) -> DataFrame:
+    """One row per user, day and minute: the cell that holds on, the smallest known cell seen, and ``more`` aggregates.
 
     Pings that share a minute with a later one have no dwell, so of them only the
     one that wins a tie at zero can ever matter. The number of partitions is fixed:
@@ -54,6 +54,7 @@ def minute_states(pings: DataFrame, lost_cell: int = LOST_SIGNAL_CELL) -> DataFr
         .agg(
             F.max_by("cell_id", "ord").alias("cell_id"),
             F.min(F.when(competes, F.col("cell_id"))).alias("low_cell"),
+            *more,
         )
         .repartition(shuffle_partitions(pings.sparkSession), *USER_MONTH)
     )
@@ -70,22 +71,23 @@ def dwell_segments(pings: DataFrame) -> DataFrame:
 
 
 def slot_dwell(pings: DataFrame, interval: int = INTERVAL_MINUTES) -> DataFrame:
-    """Minutes per user, day, slot and cell, with the cells that were seen for no time at all."""
-    held = (
-        dwell_segments(pings)
-        .withColumn("slot", F.explode(F.expr(
-            f"sequence(cast(start_minute div {interval} as int), cast(end_minute div {interval} as int))"
-        )))
-        .select(
-            *USER_DAY, "slot", "cell_id",
-            (
-                F.least("end_minute", (F.col("slot") + 1) * interval)
-                - F.greatest("start_minute", F.col("slot") * interval)
-            ).alias("dwell"),
-        )
+    """Minutes per user, day, slot and cell, with the cells that were seen for no time at all.
+
+    A minute row gives the time since the row before, cut into slots, to the cell that held, and no time to every cell seen in the minute.
+    """
+    rows = minute_states(pings, LOST_SIGNAL_CELL, F.collect_set("cell_id").alias("seen")).select(
+        *USER_DAY,
+        F.lag("minute_of_day", 1, 0).over(_by_minute()).alias("start_minute"),
+        F.col("minute_of_day").alias("end_minute"),
+        F.lag("cell_id", 1, UNKNOWN_CELL).over(_by_minute()).alias("held"),
+        "seen",
     )
-    seen = pings.select(*USER_DAY, _slot("minute_of_day", interval).alias("slot"), "cell_id", F.lit(0).alias("dwell"))
-    return held.unionByName(seen).groupBy(*USER_DAY, "slot", "cell_id").agg(F.sum("dwell").alias("dwell"))
+    held = f"""transform(sequence(cast(start_minute div {interval} as int), cast(end_minute div {interval} as int)), s -> named_struct(
+        'slot', s, 'cell_id', held,
+        'dwell', least(end_minute, (s + 1) * {interval}) - greatest(start_minute, s * {interval})))"""
+    seen = f"transform(seen, c -> named_struct('slot', cast(end_minute div {interval} as int), 'cell_id', c, 'dwell', 0))"
+    pieces = rows.selectExpr(*USER_DAY, f"inline(concat({held}, {seen}))")
+    return pieces.groupBy(*USER_DAY, "slot", "cell_id").agg(F.sum("dwell").alias("dwell"))
 
 
 def _longest(lost_cell: int) -> Column:

@@ -199,10 +199,43 @@ def _pings_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepare_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that the prepare job writes, by kind. Sequences are left to ``test_sequences_text``: they follow from the days."""
-    days, _, rejects = _stored_jobs(spark, sf_dir)
-    kinds = [spark.read.text(path).select(F.lit(kind).alias("kind"), "value") for kind, path in (("day", days), ("reject", rejects))]
-    return kinds[0].union(kinds[1])
+    """Lines that the prepare job writes, by kind."""
+    paths = zip(("day", "sequence", "reject"), _stored_jobs(spark, sf_dir))
+    kinds = [spark.read.text(path).select(F.lit(kind).alias("kind"), "value") for kind, path in paths]
+    return kinds[0].union(kinds[1]).union(kinds[2])
+
+
+def _damaged(lines: DataFrame) -> DataFrame:
+    """Lines of days 1 to 6 of a month, damaged in six ways."""
+    day = F.split("value", "[|]")[3]
+    broken = (
+        F.when(day == "1", F.regexp_replace("value", "[|][^|]*$", ""))
+        .when(day == "2", F.regexp_replace("value", "^[^|]*", ""))
+        .when(day == "3", F.regexp_replace("value", "^([^|]*[|])", "$1 "))
+        .when(day == "4", F.concat("value", F.lit("x")))
+        .when(day == "5", F.concat("value", F.lit("|")))
+        .when(day == "6", F.concat("value", F.lit(",7")))
+        .otherwise(F.col("value"))
+    )
+    return lines.select(broken.alias("value"))
+
+
+def _parts(spark: SparkSession, sf_dir: str, lines: DataFrame, good, bad) -> DataFrame:
+    """Damaged lines stored as text and read back: those that parse, as text again, and the rejects."""
+    path = scratch_path(spark, "damaged")
+    text.write_lines(_damaged(lines), path)
+    stored = spark.read.text(path)
+    return good(stored).select("value", F.lit(None).cast("string").alias("reason")).union(bad(stored))
+
+
+def _vector_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.vector_lines(_vectors(spark, sf_dir))
+    return _parts(spark, sf_dir, lines, lambda x: text.vector_lines(text.parse_vectors(x, SLOTS)), lambda x: text.rejected_vectors(x, SLOTS))
+
+
+def _sequence_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.sequence_lines(sampling.sample_sequences(_vectors(spark, sf_dir)))
+    return _parts(spark, sf_dir, lines, lambda x: text.sequence_lines(text.parse_sequences(x)), text.rejected_sequences)
 
 
 def _one_user_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,4 +356,6 @@ def queries() -> dict[str, Query]:
         "pings_from_text": _pings_from_text,
         "prepare_job": _prepare_job,
         "train_job_one_user": _one_user_job,
+        "day_vectors_rejects": _vector_rejects,
+        "test_sequences_rejects": _sequence_rejects,
     }

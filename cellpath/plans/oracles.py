@@ -220,6 +220,22 @@ raw AS (
   FROM pings p JOIN (SELECT event_id, event_type, value FROM events) e ON e.event_id = p.ord)"""
 
 
+def _damaged(payload: str, source: str) -> str:
+    """``damaged(day, value)``: text lines, those of days 1 to 6 damaged."""
+    return f"""
+damaged AS (
+  SELECT day, CASE day
+    WHEN 1 THEN concat_ws('|', user_id, year, month, day)
+    WHEN 2 THEN concat_ws('|', '', year, month, day, payload)
+    WHEN 3 THEN concat_ws('|', user_id, ' ' || year, month, day, payload)
+    WHEN 4 THEN concat_ws('|', user_id, year, month, day, payload) || 'x'
+    WHEN 5 THEN concat_ws('|', user_id, year, month, day, payload) || '|'
+    WHEN 6 THEN concat_ws('|', user_id, year, month, day, payload) || ',7'
+    ELSE concat_ws('|', user_id, year, month, day, payload) END AS value
+  FROM (SELECT {DAY}, {payload} AS payload FROM {source} GROUP BY {DAY}))"""
+
+
+_REJECTS = """SELECT value, CASE WHEN day IN (1, 2, 3, 5) THEN 'malformed' WHEN day = 4 THEN {four} WHEN day = 6 THEN {six} END AS reason FROM damaged"""
 VEC = "string_agg(cell_id::VARCHAR, ',' ORDER BY slot)"
 CENTRES = "SELECT g AS user_id, cluster_id, slot, c AS cell_id FROM {}"
 MODEL = "SELECT user_id, cluster_id, slot, rank, cell_id, freq, prob, interval_minutes FROM model"
@@ -363,10 +379,17 @@ drawn AS (""") + "," + _model("kmeans", K, source="train_days") + "," + _predict
             "SELECT user_id::VARCHAR AS user_id, year, month, day, minute_of_day, cell_id FROM raw WHERE reason IS NULL",
         ),
         "prepare_job": _with(
-            good + "," + _slots() + "," + _filled(),
+            _test_points(good + "," + _slots() + "," + _filled()),
             f"""SELECT 'day' AS kind, concat_ws('|', user_id, year, month, day, {VEC}) AS value FROM filled GROUP BY {DAY}
+UNION ALL SELECT 'sequence', concat_ws('|', user_id, year, month, day, string_agg(minute || ',' || cell_id, '!' ORDER BY minute))
+FROM test_points GROUP BY {DAY}
 UNION ALL SELECT 'reject', bad FROM raw WHERE reason IS NOT NULL""",
         ),
+        "day_vectors_rejects": _with(FILLED + "," + _damaged(VEC, "filled"), _REJECTS.format(six="'wrong number of slots'", four="'malformed cell'")),
+        "test_sequences_rejects": _with(
+            TEST_POINTS + "," + _damaged("string_agg(minute || ',' || cell_id, '!' ORDER BY minute)", "test_points"),
+            _REJECTS.format(six="'malformed point'", four="'malformed point'"),
+        ),
         "train_job_one_user": _with(
             kmeans, f"SELECT user_id::VARCHAR AS user_id, cluster_id, slot, rank, cell_id, freq, prob, interval_minutes FROM model WHERE user_id = {USER}"
         ),

@@ -6,9 +6,13 @@ unique and orders pings that fall into the same minute.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellpath.operators.joins import join_shared
 from cellpath.schema import MINUTES_PER_DAY, USER_DAY
 
 PING_COLUMNS = USER_DAY + ["minute_of_day", "cell_id", "ord"]
@@ -18,13 +22,37 @@ PING_COLUMNS = USER_DAY + ["minute_of_day", "cell_id", "ord"]
 CSV_FIELDS = {"year": 1, "month": 2, "day": 3, "hour": 5, "minute": 6, "cell_id": 8}
 
 
+# Bytes of a file and lines of a scan task: positions are made of a file's rank, a block's start and a line's number.
+_FILE_BITS = 40
+_LINE_BITS = 33
+
+
+# Names of files come with one or three slashes after the scheme.
+_SLASHES = "^([a-z0-9]+):/+"
+
+
 def read_ping_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Raw lines with their input position as ``ord``.
+    """Raw lines with their input position as ``ord``: by file name, then by place in the file.
 
-    Splits of one file keep their order in the scan, so the id grows with the
-    position inside each file.
+    A position is made of the rank of the file, the start of the block that was read, and the line's number among those of
+    the task. Blocks never change places, however the planner cuts files and packs blocks into tasks, so the order is always the same; the numbers differ.
     """
-    return spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    lines = spark.read.text(path)
+    numbered = lines.select(
+        "value",
+        F.regexp_replace("_metadata.file_path", _SLASHES, "$1:/").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().bitwiseAND((1 << _LINE_BITS) - 1).alias("line"),
+    )
+    # The driver holds the list of files already; names come with and without escapes.
+    files = sorted(lines.inputFiles())
+    ranks = {re.sub(_SLASHES, r"\1:/", name): i for i, file in enumerate(files) for name in (file, unquote(file))}
+    ranked = spark.createDataFrame(list(ranks.items()), "file string, file_rank long")
+    found = join_shared(numbered, ranked, ["file"], sum(map(len, ranks)) + 64 * len(ranks), ["file", "start"], "left")
+    rank = "coalesce(file_rank, raise_error(concat('no rank for file ', file)))"
+    ord_ = f"""cast(cast({rank} as decimal(20,0)) * cast({1 << _FILE_BITS} as decimal(13,0)) + start as decimal(38,0))
+        * cast({1 << _LINE_BITS} as decimal(10,0)) + line"""
+    return found.selectExpr("value", f"cast({ord_} as decimal(38,0)) AS ord")
 
 
 def _strict_int(text: Column) -> Column:
@@ -57,12 +85,20 @@ def _reason() -> Column:
 
 def parse_pings(lines: DataFrame) -> DataFrame:
     """Typed pings of the well-formed lines."""
-    return (
-        _typed_lines(lines)
-        .where(_reason().isNull())
-        .withColumn("minute_of_day", minute_of_day(F.col("hour"), F.col("minute")))
-        .select(*PING_COLUMNS)
-    )
+    return _pings_of(_typed_lines(lines).where(_reason().isNull()))
+
+
+def _pings_of(typed: DataFrame) -> DataFrame:
+    return typed.withColumn("minute_of_day", minute_of_day(F.col("hour"), F.col("minute"))).select(*PING_COLUMNS)
+
+
+def sort_out(lines: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Pings and rejected lines of one scan: both are written to ``path``, each kind to a folder, and read from there."""
+    spark = lines.sparkSession
+    judged = _typed_lines(lines).withColumn("reason", _reason()).withColumn("value", F.expr("if(reason IS NULL, null, value)"))
+    judged.withColumn("rejected", F.col("reason").isNotNull()).write.partitionBy("rejected").parquet(path)
+    stored = spark.read.schema(judged.withColumn("rejected", F.lit(True)).schema).parquet(path)
+    return _pings_of(stored.where("NOT rejected")), stored.where("rejected").select("value", "ord", "reason")
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:

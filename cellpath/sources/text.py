@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpath.schema import USER_DAY
+from cellpath.schema import MINUTES_PER_DAY, USER_DAY
 
 
 def _line(payload: Column) -> Column:
@@ -36,27 +36,60 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def _head(fields: Column) -> list[Column]:
-    names = [F.get(fields, F.lit(0)).alias("user_id")]
-    return names + [F.get(fields, F.lit(i)).cast("int").alias(n) for i, n in enumerate(USER_DAY[1:], start=1)]
+def _strict_int(text: str) -> str:
+    # A cast alone would accept padded text such as ' 5 '.
+    return f"if({text} rlike '^[+-]?[0-9]+$', try_cast({text} as int), null)"
 
 
-def parse_vectors(lines: DataFrame) -> DataFrame:
-    """Day vectors from lines."""
-    fields = F.split("value", r"\|")
-    cells = F.split(F.get(fields, F.lit(4)), ",").cast("array<int>")
-    return lines.select(*_head(fields), cells.alias("cells"))
+def _typed(lines: DataFrame, payload: str) -> DataFrame:
+    """Head and payload of lines of five fields, each part null where it does not parse; ``n_fields`` counts them.
+
+    The generator keeps later filters from being pushed below the parsing, which would then be done twice.
+    """
+    head = ["get(fields, 0) AS user_id"] + [f"{_strict_int(f'get(fields, {i})')} AS {n}" for i, n in enumerate(USER_DAY[1:], start=1)]
+    typed = f"inline(array(struct(size(fields) AS n_fields, {', '.join(head)}, {payload})))"
+    return lines.selectExpr("value", "split(value, '[|]') AS fields").selectExpr("value", typed)
+
+
+_HEAD_FAILS = "n_fields <> 5 OR user_id = '' OR year IS NULL OR month IS NULL OR day IS NULL"
+
+
+def _typed_vectors(lines: DataFrame, slots: int | None) -> DataFrame:
+    cells = f"transform(split(get(fields, 4), ','), c -> {_strict_int('c')})"
+    wrong = "false" if slots is None else f"size(cells) <> {slots}"
+    reason = f"""CASE WHEN {_HEAD_FAILS} THEN 'malformed' WHEN exists(cells, c -> c IS NULL) THEN 'malformed cell'
+        WHEN {wrong} THEN 'wrong number of slots' END"""
+    return _typed(lines, f"{cells} AS cells").withColumn("reason", F.expr(reason))
+
+
+def _typed_sequences(lines: DataFrame) -> DataFrame:
+    point = f"""transform(split(get(fields, 4), '!'), p -> if(size(split(p, ',')) = 2, named_struct(
+        'minute', {_strict_int("get(split(p, ','), 0)")}, 'cell_id', {_strict_int("get(split(p, ','), 1)")}),
+        cast(null as struct<minute: int, cell_id: int>)))"""
+    reason = f"""CASE WHEN {_HEAD_FAILS} THEN 'malformed'
+        WHEN exists(points, p -> p IS NULL OR p.minute IS NULL OR p.cell_id IS NULL) THEN 'malformed point'
+        WHEN exists(points, p -> p.minute < 0 OR p.minute >= {MINUTES_PER_DAY}) THEN 'minute out of range' END"""
+    return _typed(lines, f"{point} AS points").withColumn("reason", F.expr(reason))
+
+
+def parse_vectors(lines: DataFrame, slots: int | None = None) -> DataFrame:
+    """Day vectors of the well-formed lines; with ``slots`` those of that length only."""
+    return _typed_vectors(lines, slots).where("reason IS NULL").select(*USER_DAY, "cells")
+
+
+def rejected_vectors(lines: DataFrame, slots: int | None = None) -> DataFrame:
+    """The complement of :func:`parse_vectors`, with the reason."""
+    return _typed_vectors(lines, slots).where("reason IS NOT NULL").select("value", "reason")
 
 
 def parse_sequences(lines: DataFrame) -> DataFrame:
-    """Sequences from lines."""
-    fields = F.split("value", r"\|")
+    """Sequences of the well-formed lines."""
+    return _typed_sequences(lines).where("reason IS NULL").select(*USER_DAY, "points")
 
-    def point(text: Column) -> Column:
-        pair = F.split(text, ",").cast("array<int>")
-        return F.struct(F.get(pair, F.lit(0)).alias("minute"), F.get(pair, F.lit(1)).alias("cell_id"))
 
-    return lines.select(*_head(fields), F.transform(F.split(F.get(fields, F.lit(4)), "!"), point).alias("points"))
+def rejected_sequences(lines: DataFrame) -> DataFrame:
+    """The complement of :func:`parse_sequences`, with the reason."""
+    return _typed_sequences(lines).where("reason IS NOT NULL").select("value", "reason")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
