@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import brute
 import numpy as np
@@ -135,6 +136,57 @@ def test_masking(spark):
     ]
 
 
+def test_secrets_need_context_or_a_known_beginning(spark):
+    key = "24be8f1d9c3a7705e6b2"
+    texts = {
+        f'token = "{key}" x': "secret:9:29",
+        f"API_KEY={key}==": "secret:8:30",
+        f"commit {key}": "",
+        "password aaaaaaaaaaaaaaaaaaaaaaaa1": "",
+        "token thisisonlyalongwordwithoutanydigit": "",
+        "bearer ghp_16C7e42F292c6912E7710c838347Ae178B4a.": "secret:7:47",
+        "x ghp_16C7e42F292c6912E7710c838347Ae178B4a.": "secret:2:42",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.spans for r in pii.digest(pii.with_spans(df)).orderBy("doc_id").collect()]
+    assert found == list(texts.values())
+    assert [r.text for r in pii.masked(df.where("doc_id = 1")).collect()] == ["API_KEY=<SECRET>"]
+
+
+def test_masked_texts_are_those_of_their_spans(spark):
+    """Against joining spans one by one; with blocks of text on both sides of spans, and spans that overlap."""
+    rng = random.Random(9)
+    parts = ["a@b.cd ", "1.2.3.4 ", "+1 663 555 6869 4467920212765298 ", "é" * 300, "😀x ", " ", "4467920212765298", "y" * 511, "+12345678 ", "DE89370400440532013000 "]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.choice([0, 3, 40, 700])))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r.doc_id: sorted((s.start, s.end, s.kind) for s in r.spans) for r in pii.with_spans(df).collect()}
+    overlapped = 0
+    for r in pii.masked(df).collect():
+        text, joined = docs[r.doc_id][1], []
+        for start, end, kind in spans[r.doc_id]:
+            if joined and start < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], end)
+                overlapped += 1
+            else:
+                joined.append([start, end, kind])
+        wanted, at = "", 0
+        for start, end, kind in joined:
+            wanted, at = wanted + text[at:start] + f"<{kind.upper()}>", end
+        assert r.text == wanted + text[at:]
+    assert overlapped > 20
+
+
+def test_time_grows_with_the_matches(spark):
+    """50,000 matches in one row."""
+    text = "1.2.3.4 " * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for work in (lambda: pii.digest(pii.with_spans(df)).first().n_ip, lambda: pii.masked(df).first().text.count("<IP>")):
+        work()
+        start = time.perf_counter()
+        assert work() == 50_000
+        assert time.perf_counter() - start < 20
+
+
 def test_no_python_on_the_path_to_spans(spark, sf_dir):
     plan = queries.op2_pii(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
