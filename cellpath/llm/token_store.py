@@ -49,7 +49,7 @@ def write_store(
 ) -> DataFrame:
     """Encode and write; returns the files: part (in document order), path, n_docs, n_tokens.
 
-    Documents move once, dealt out by ranges of their ids. ``wide`` stores 32-bit ids.
+    Documents move once, dealt out by ranges of their ids. ``wide`` stores 32-bit ids; without, an id beyond 16 bits is an error.
     """
     schema = _WIDE if wide else _SCHEMA
 
@@ -62,6 +62,8 @@ def write_store(
             for batch in batches:
                 for piece in slices(batch, "text"):
                     ids, at = with_end(*encode(piece["text"]), end_id)
+                    if not wide and len(ids) and int(ids.max()) > 0xFFFF:
+                        raise OverflowError(f"token id {int(ids.max())} does not fit 16 bits: write with wide=True")
                     lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(schema.field("ids").type.value_type.to_pandas_dtype())))
                     waiting.append(pa.record_batch([piece["doc_id"], pa.array(np.diff(at)), lists], schema=schema))
                     held, n_docs, n_tokens = held + len(ids), n_docs + piece.num_rows, n_tokens + len(ids)
