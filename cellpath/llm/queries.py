@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellpath.llm import backoff, decontaminate, embeddings, html, packing, pii, quality, runs, setsketch, token_store, urls, warc, whitening
-from cellpath.llm.ship import ship
 from cellpath.llm.url_labels import labelled_urls
 from cellpath.session import scratch_path
+from cellpath.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +56,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     found = warc.read_archives(spark, folder, payloads=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # What was written comes back whole, or the query ends.
+    holds = F.when(F.coalesce("digest_holds", F.lit(True)), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not have its digest")))
+    return found.select("page_id", "payload_bytes", holds.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

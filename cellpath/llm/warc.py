@@ -5,6 +5,11 @@ a candidate only if what it decodes to begins with a complete WARC header; it ow
 the last one to its end, wherever that is. Bytes that look like a member but do not decode to one are
 passed over. So a file of any size is read by as many tasks as it has ranges, with no index.
 
+The reader takes archives as they come: any version and type of record, header names in any case, with or without a blank after the colon
+and folded over lines, line ends with or without carriage return, several records in a member (which is then decoded as a whole). The payload of a response, request
+or revisit is what follows its HTTP header, that of other records their whole block; a payload digest is checked by its label (md5, sha1, sha256,
+sha512, in base 16, 32 or 64). Headers that are missing or not of their form come back null.
+
 Null payloads are empty; null ids and addresses leave their headers out and come back null. Repeated rows get a record each. Among rows
 of equal payloads of ``SMALLEST`` bytes or more those with the smallest id are responses (rows that repeat that id too), the others
 revisits. Payloads may hold anything, line ends and header-like text included. An empty table makes
@@ -13,7 +18,9 @@ no archive. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +41,9 @@ _MAGIC = b"\x1f\x8b\x08"
 
 # Names of the format.
 _VERSION = b"WARC/1.1"
+_BEGIN = b"WARC/"
+_RECORD = re.compile(rb"[\r\n]*(WARC/[0-9.]+[ \t]*\r?\n)")
+_EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,25 +75,72 @@ def encode_record(page: int | None, url: str | None, payload: bytes, size: int,
     return pack.compress(head + block + b"\r\n\r\n") + pack.flush()
 
 
-def decode_record(raw: bytes) -> dict:
-    """Headers and payload of a record; payload is None for revisits."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(headers["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-    if headers["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError(f"record {headers['WARC-Record-ID']}: the payload does not have its length and digest")
-    number = lambda k: int(headers[k]) if k in headers else None
+def _headers(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with a blank goes on with the one before."""
+    lines = re.sub(rb"\r?\n[ \t]+", b" ", head).splitlines()[1:]
+    fields = (line.decode("utf-8", "replace").partition(":") for line in lines if b":" in line)
+    return {name.strip().lower(): value.strip() for name, _, value in fields}
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
+def _parted(block: bytes) -> tuple[bytes, bytes]:
+    """What stands before and after the first empty line."""
+    found = _EMPTY_LINE.search(block)
+    return (block[: found.start()], block[found.end() :]) if found else (block, b"")
+
+
+def _digest_holds(payload: bytes, labelled: str | None) -> bool | None:
+    """Whether a payload has its digest; null if there is none that can be checked."""
+    label, _, value = (labelled or "").partition(":")
+    label = label.strip().lower().replace("-", "")
+    if label not in ("md5", "sha1", "sha256", "sha512") or not value.strip():
+        return None
+    raw = hashlib.new(label, payload).digest()
+    forms = raw.hex(), base64.b32encode(raw).decode(), base64.b64encode(raw).decode()
+    value = value.strip()
+    return value.lower() == forms[0] or value.upper().rstrip("=") == forms[1].rstrip("=") or value.rstrip("=") == forms[2].rstrip("=")
+
+
+def decode_records(raw: bytes) -> Iterator[dict]:
+    """Headers and payloads of the records of a member; the payload of a revisit is None."""
+    at = 0
+    while found := _RECORD.match(raw, at):
+        end_of_head = _EMPTY_LINE.search(raw, found.end() - 1)
+        if end_of_head is None:
+            return
+        headers = _headers(raw[found.start(1) : end_of_head.start()])
+        size = _number(headers.get("content-length"))
+        end = len(raw) if size is None else end_of_head.end() + size
+        yield _decoded(headers, raw[end_of_head.end() : end], end <= len(raw))
+        at = end
+
+
+def _decoded(headers: dict[str, str], block: bytes, whole: bool) -> dict:
+    kind = headers.get("warc-type", "").lower()
+    http = kind in ("response", "request", "revisit") and "http" in headers.get("content-type", "application/http").lower()
+    head, payload = _parted(block) if http else (b"", block)
+    labelled = headers.get("warc-payload-digest")
+    digest = (labelled or "").partition(":")[2].strip() or None
+    holds, size = None, len(payload)
+    if kind == "revisit":
+        payload, size = None, _number(_headers(head).get("content-length"))
+    else:
+        holds = _digest_holds(payload, labelled) if whole else False
+        digest = hashlib.sha256(payload).hexdigest()
     return {
-        "page_id": number("X-Page-ID"),
-        "url": headers.get("WARC-Target-URI"),
-        "record_type": headers["WARC-Type"],
+        "page_id": _number(headers.get("x-page-id")),
+        "url": headers["warc-target-uri"].strip("<>") if "warc-target-uri" in headers else None,
+        "record_type": kind or None,
         "payload_bytes": size,
         "payload_digest": digest,
-        "refers_to": number("X-Refers-To-Page"),
-        "payload": payload if headers["WARC-Type"] == "response" else None,
+        "refers_to": _number(headers.get("x-refers-to-page")),
+        "record_id": headers.get("warc-record-id"),
+        "date": headers.get("warc-date"),
+        "digest_holds": holds,
+        "payload": payload,
     }
 
 
@@ -117,16 +174,16 @@ class _Range:
             except zlib.error:
                 return None
             if not checked:
-                start = b"".join(parts)
-                if not start.startswith(_VERSION[: len(start)]):
+                start = b"".join(parts).lstrip(b"\r\n")
+                if not start.startswith(_BEGIN[: len(start)]):
                     return None
-                checked = len(start) >= len(_VERSION)
+                checked = len(start) >= len(_BEGIN)
         whole = b"".join(parts)
-        return (whole, at + seen - len(unpack.unused_data)) if checked and b"\r\n\r\n" in whole else None
+        return (whole, at + seen - len(unpack.unused_data)) if _RECORD.match(whole) and _EMPTY_LINE.search(whole) else None
 
 
 def range_records(source: pa.NativeFile, start: int, end: int, size: int) -> Iterator[bytes]:
-    """Records that start in ``[start, end)``."""
+    """Members with records that start in ``[start, end)``."""
     part, at = _Range(source, start, min(end, size), size), 0
     while True:
         at = part.data.find(_MAGIC, at)
@@ -181,7 +238,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 _READ_SCHEMA = (
-    "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
+    "record_id string, date string, digest_holds boolean, payload binary"
 )
 
 
@@ -194,25 +252,31 @@ def archives(folder: str) -> list[tuple[str, int]]:
 
 
 def read_archives(spark: SparkSession, folder: str, split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """Records of all archives of a folder, read in byte ranges of ``split``."""
+    """Records of all archives of a folder, read in byte ranges of ``split``.
+
+    ``payload_digest`` is the SHA-256 of the payload, of revisits what their header says; ``digest_holds`` whether the payload has the digest of its header.
+    """
     files = archives(folder)
-    ranges = [(path, at, min(at + split, size), size) for path, size in files for at in range(0, size, split)]
-    table = spark.createDataFrame(ranges, "path string, low long, high long, size long")
-    table = table.coalesce(1).repartition(max(1, len(ranges)))
+    # The driver knows the files; their ranges are made by tasks.
+    ranges = sum(-(-size // split) for _, size in files)
+    table = spark.createDataFrame(files, "path string, size long").where("size > 0")
+    low = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long")))
+    table = table.select("path", "size", low.alias("low")).withColumn("high", F.least(F.col("low") + split, "size"))
+    table = table.coalesce(1).repartition(max(1, ranges))
 
     def read(row: dict) -> Iterator[pa.RecordBatch]:
         store, path = locate(row["path"])
         with store.open_input_file(path) as source:
             waiting, held = [], 0
             for raw in range_records(source, row["low"], row["high"], row["size"]):
-                record = decode_record(raw)
-                if not payloads:
-                    record["payload"] = None
-                waiting.append(record)
-                held += len(record["payload"] or b"") + 200
-                if held > 8 * _READ:
-                    yield _batch(waiting)
-                    waiting, held = [], 0
+                for record in decode_records(raw):
+                    if not payloads:
+                        record["payload"] = None
+                    waiting.append(record)
+                    held += len(record["payload"] or b"") + 300
+                    if held > 8 * _READ:
+                        yield _batch(waiting)
+                        waiting, held = [], 0
             if waiting:
                 yield _batch(waiting)
 
@@ -226,6 +290,9 @@ _ARROW = pa.schema([
     ("payload_bytes", pa.int64()),
     ("payload_digest", pa.string()),
     ("refers_to", pa.int64()),
+    ("record_id", pa.string()),
+    ("date", pa.string()),
+    ("digest_holds", pa.bool_()),
     ("payload", pa.binary()),
 ])
 

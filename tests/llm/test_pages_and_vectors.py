@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import gzip
+import base64
 import hashlib
 import os
 import sys
@@ -67,7 +69,47 @@ def test_reader_passes_over_what_is_no_member(tmp_path):
     path.write_bytes(b"\x1f\x8b\x08junk" + member + b"\x1f\x8b" + b"\x08" * 40 + member)
     with pa.OSFile(str(path)) as source:
         found = list(warc.range_records(source, 0, path.stat().st_size, path.stat().st_size))
-    assert [warc.decode_record(r)["payload"] for r in found] == [b"page", b"page"]
+    assert [d["payload"] for r in found for d in warc.decode_records(r)] == [b"page", b"page"]
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Both versions, every type of record, lenient headers, digests by label, several records in a member, nothing passed over."""
+    sha1 = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\nbody"
+
+    def record(kind, block, *more, version=b"WARC/1.0", end=b"\r\n"):
+        lines = [version, b"WARC-Type: " + kind, b"Content-Length: %d" % len(block), *more]
+        return end.join(lines) + end * 2 + block + end * 2
+
+    members = [
+        [record(b"warcinfo", b"software: x\r\n", b"Content-Type: application/warc-fields")],
+        [record(b"request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b"Content-Type:application/http;msgtype=request", b"WARC-Target-URI:<http://a/>")],
+        [record(b"response", http, b"content-type: application/http", b"warc-target-uri: http://a/", b"WARC-Payload-Digest: sha1:" + sha1.encode())],
+        [record(b"response", http, b"WARC-Payload-Digest: sha1:" + sha1[::-1].encode(), version=b"WARC/1.1")],
+        [record(b"revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n", b"WARC-Payload-Digest: sha1:" + sha1.encode(), b"WARC-Refers-To: <urn:x>")],
+        [record(b"resource", b"raw\r\n\r\nbytes", b"Content-Type: text/plain", end=b"\n")],
+        [record(b"metadata", b"", b"WARC-Record-ID: <urn:m>", b"X-Folded: a", b" b"), record(b"conversion", b"text", b"WARC-Date: 2020-01-01T00:00:00Z")],
+        [record(b"response", b"", b"Content-Type: text/dns", b"WARC-Payload-Digest: md5:" + hashlib.md5(b"").hexdigest().encode())],
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(m)) for m in members) + gzip.compress(b"no record") + b"junk")
+    for split in (64, 1 << 20):
+        found = sorted(warc.read_archives(spark, f"file://{tmp_path}", split).collect(), key=lambda r: (r.record_type, r.payload or b"", r.digest_holds is True))
+        got = [(r.record_type, r.payload_bytes, None if r.payload is None else bytes(r.payload), r.digest_holds) for r in found]
+        assert got == [
+            ("conversion", 4, b"text", None),
+            ("metadata", 0, b"", None),
+            ("request", 0, b"", None),
+            ("resource", 12, b"raw\r\n\r\nbytes", None),
+            ("response", 0, b"", True),
+            ("response", 4, b"body", False),
+            ("response", 4, b"body", True),
+            ("revisit", 4, None, None),
+            ("warcinfo", 13, b"software: x\r\n", None),
+        ]
+        by_type = {r.record_type: r for r in found}
+        assert by_type["request"].url == "http://a/" and by_type["revisit"].payload_digest == sha1
+        assert by_type["metadata"].record_id == "<urn:m>" and by_type["conversion"].date == "2020-01-01T00:00:00Z"
+        assert by_type["warcinfo"].page_id is None and by_type["resource"].url is None
 
 
 def test_articles_of_given_pages(spark, sf_dir):
