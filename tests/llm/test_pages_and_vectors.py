@@ -185,6 +185,51 @@ def test_notices_inside_articles_go(spark):
     assert found == dict(enumerate(own)) | {10 + i: f"{own[0]} end {i}" for i in range(5)}
 
 
+def test_near_copies_of_unmarked_pages_stay_whole(spark):
+    """One text but for a word on each page: no boilerplate, alone on a host or with other pages and their banner."""
+    base = [f"w{k}" for k in range(30)]
+    near = [" ".join([*base[:12], f"x{i}", *base[13:]]) for i in range(3)]
+    banner = "this site uses little things to make your visit a better one"
+    own = [" ".join(f"v{i}x{k}" for k in range(60)) for i in range(5)]
+    pages = [(i, "http://near/x", f"<p>{t}</p>") for i, t in enumerate(near)]
+    pages += [(10 + i, "http://mixed/x", f"<p>{banner}</p><p>{t}</p>") for i, t in enumerate([*near, *own])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.main_texts(df).collect()}
+    assert found == dict(enumerate(near)) | {10 + i: t for i, t in enumerate([*near, *own])}
+
+
+def test_many_copies_change_nothing(spark):
+    """600 pages of four texts: what all share goes from all, however a host is dealt out; a page that comes very often is taken once."""
+    banner = "this site uses little things to make your visit a better one"
+    own = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(4)]
+    pages = [(i, f"http://h/{i}", f"<p>{banner}</p><p>{own[i % 4]}</p>") for i in range(600)]
+    pages += [(7, "http://one/x", "<p>a b</p>")] * 300 + [(None, "http://one/x", "<p>a b</p>")] * 2
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    for group in (html.GROUP, 16):
+        found = html.main_texts(df, group=group).collect()
+        assert len(found) == 902
+        assert sorted((r.page_id, r.text) for r in found if r.url != "http://one/x") == [(i, own[i % 4]) for i in range(600)]
+        assert {r.text for r in found if r.url == "http://one/x"} == {"a b"}
+        assert sum(r.page_id is None for r in found) == 2
+
+
+def test_near_copies_by_hand():
+    def labels(*texts):
+        words = [t.split() for t in texts]
+        ids = {}
+        tokens = np.array([ids.setdefault(w, len(ids)) for t in words for w in t], np.int64)
+        return html.near_copies(tokens, np.repeat(np.arange(len(words)), [len(t) for t in words]), np.arange(len(words))).tolist()
+
+    a = [f"a{k}" for k in range(40)]
+    b = [*a[:20], "b", *a[21:]]
+    c = [*b[:5], "c", *b[6:]]
+    d = [*a[:12], *(f"d{k}" for k in range(28))]
+    join = " ".join
+    assert labels(join(a), join(b), join(c), join(d)) == [0, 0, 0, 1]
+    assert labels("x y", "x y z", "") == [0, 1, 2] and labels("", "") == [0, 1]
+    assert labels() == []
+
+
 def test_shared_runs_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(20):
