@@ -2,7 +2,8 @@
 
 A vector x of length 1 is held as ``scale * codes`` with codes in -127..127, plus the length ``error`` of what
 rounding lost. For two vectors ``|x.y - approx| <= |scale_x codes_x| * error_y + error_x``, so the product of the
-codes decides most pairs: below the threshold for certain, or above it for certain; only those between are computed in double precision.
+codes decides most pairs: below the threshold for certain, or above it for certain; only those between are computed in double precision. Codes are made once
+a tile, and they are what travels to the pairs of tiles; the vectors stay in a file a tile, which a pair with open cases reads.
 
 Equal vectors are one node with a weight. Nodes are put into tiles of about ``TILE`` by their nearest pivot (a bounded sample
 of vectors), and a pair of tiles is skipped where the angles to their pivots prove that no pair
@@ -16,7 +17,8 @@ links. Empty tables give empty results; other columns are ignored, whatever thei
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellpath.llm.components import components
+from cellpath.llm.exchange import read_block, store_block
 from cellpath.llm.staged import keep
+from cellpath.session import scratch_path
 
 THRESHOLD = 0.95
 TILE = 4096
@@ -45,13 +49,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Quantised:
     """Codes of unit vectors and what bounds the error of their products."""
 
-    def __init__(self, unit: np.ndarray):
-        self.scale = np.abs(unit).max(1) / 127
-        codes = np.rint(unit / self.scale[:, None])
-        self.codes = codes.astype(np.int8)
-        held = codes * self.scale[:, None]
-        self.length = np.sqrt((held * held).sum(1))
-        self.error = np.sqrt(((unit - held) ** 2).sum(1)) + SLACK
+    def __init__(self, codes: np.ndarray, scale: np.ndarray, length: np.ndarray, error: np.ndarray):
+        self.codes, self.scale, self.length, self.error = codes, scale, length, error
+
+    @classmethod
+    def of(cls, unit: np.ndarray) -> Quantised:
+        scale = np.abs(unit).max(1) / 127
+        codes = np.rint(unit / scale[:, None])
+        held = codes * scale[:, None]
+        return cls(codes.astype(np.int8), scale, np.sqrt((held * held).sum(1)), np.sqrt(((unit - held) ** 2).sum(1)) + SLACK)
+
+    def pack(self) -> dict[str, bytes]:
+        return {"codes": self.codes.tobytes(), "facts": np.stack([self.scale, self.length, self.error]).tobytes()}
+
+    @classmethod
+    def unpack(cls, codes: bytes, facts: bytes, dims: int) -> Quantised:
+        return cls(np.frombuffer(codes, np.int8).reshape(-1, dims), *np.frombuffer(facts, np.float64).reshape(3, -1))
 
     def approx(self, rows: slice, other: Quantised) -> np.ndarray:
         """Products of the vectors that the codes stand for. Integer sums stay exact: single precision up to
@@ -64,15 +77,15 @@ class Quantised:
         return self.length[rows, None] * other.error[None, :] + self.error[rows, None] + SLACK
 
 
-def linked(x: np.ndarray, y: np.ndarray, q: Quantised, r: Quantised, rows: slice, threshold: float) -> np.ndarray:
-    """Which of ``x[rows]`` and ``y`` (unit vectors) have a cosine of the threshold at least."""
+def linked(x: Callable[[], np.ndarray], y: Callable[[], np.ndarray], q: Quantised, r: Quantised, rows: slice, threshold: float) -> np.ndarray:
+    """Which of ``x()[rows]`` and ``y()`` (unit vectors, asked for only if pairs are open) have a cosine of the threshold at least."""
     approx, bound = q.approx(rows, r), q.bound(rows, r)
     sure = approx - bound >= threshold
     open_ = ~sure & (approx + bound >= threshold)
     i, j = np.nonzero(open_)
     for at in range(0, len(i), 1 << 16):  # full precision for these pairs only
         a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        sure[a, b] = np.einsum("ij,ij->i", x[rows][a], y[b]) >= threshold
+        sure[a, b] = np.einsum("ij,ij->i", x()[rows][a], y()[b]) >= threshold
     return sure
 
 
@@ -96,9 +109,10 @@ def _forest(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple
     return nodes[own], nodes[label[own]]
 
 
-def _compare(threshold: float, dims: int):
-    def vectors(raw: bytes) -> np.ndarray:
-        return _unit(np.frombuffer(raw, np.float64).reshape(-1, dims))
+def _compare(threshold: float, dims: int, folder: str):
+    def vectors(name: int) -> Callable[[], np.ndarray]:
+        """Unit vectors of a tile, read once, when asked for."""
+        return cache(lambda: _unit(read_block(folder, name)["values"].to_numpy().reshape(-1, dims)))
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +120,8 @@ def _compare(threshold: float, dims: int):
                 row = {n: batch[n][k].as_py() for n in batch.schema.names}
                 n_a, n_b = (np.frombuffer(row[c], np.int64) for c in ("nodes_a", "nodes_b"))
                 w_a, w_b = (np.frombuffer(row[c], np.int64) for c in ("weights_a", "weights_b"))
-                x, y = vectors(row["values_a"]), vectors(row["values_b"])
-                q, r, same = Quantised(x), Quantised(y), row["a"] == row["b"]
+                x, y, same = vectors(row["file_a"]), vectors(row["file_b"]), row["a"] == row["b"]
+                q, r = (Quantised.unpack(row[f"codes_{s}"], row[f"facts_{s}"], dims) for s in "ab")
                 sum_a, sum_b, edges = np.zeros(len(n_a), np.int64), np.zeros(len(n_b), np.int64), []
                 for low in range(0, len(n_a), _ROWS):
                     rows = slice(low, min(low + _ROWS, len(n_a)))
@@ -152,19 +166,30 @@ def _tiles(nodes: DataFrame, pivots: np.ndarray, count: int, tile: int) -> DataF
     )
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """One row per tile: nodes, weights and vectors as bytes, and the widest angle to the pivot."""
-    flat = table["embedding"].combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    values = flat.flatten().to_numpy(zero_copy_only=False)
-    return pa.table({
-        "tile": table["tile"][:1],
-        "cell": table["cell"][:1],
-        "radius": pa.array([float(np.max(table["angle"].to_numpy()))]),
-        "nodes": pa.array([table["node"].to_numpy().tobytes()], pa.binary()),
-        "weights": pa.array([table["weight"].to_numpy().tobytes()], pa.binary()),
-        "values": pa.array([np.ascontiguousarray(values, np.float64).tobytes()], pa.binary()),
-    })
+_TILE = "tile long, cell long, radius double, nodes binary, weights binary, codes binary, facts binary, file long"
+
+
+def _gather(folder: str, dims: int):
+    """One row per tile: nodes and weights, codes and what bounds their errors, the file of its vectors, and the widest angle to the pivot."""
+
+    def act(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["node"].to_numpy(), kind="stable")
+        flat = table["embedding"].combine_chunks()
+        values = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)[order]
+        name = store_block(folder, (table["tile"][0].as_py(), 0), {"values": pa.array(values.ravel())})
+        packed = Quantised.of(_unit(values)).pack()
+        return pa.table({
+            "tile": table["tile"][:1],
+            "cell": table["cell"][:1],
+            "radius": pa.array([float(np.max(table["angle"].to_numpy()))]),
+            "nodes": pa.array([table["node"].to_numpy()[order].tobytes()], pa.binary()),
+            "weights": pa.array([table["weight"].to_numpy()[order].tobytes()], pa.binary()),
+            "codes": pa.array([packed["codes"]], pa.binary()),
+            "facts": pa.array([packed["facts"]], pa.binary()),
+            "file": pa.array([name], pa.int64()),
+        })
+
+    return act
 
 
 def _of_one_length(nodes: DataFrame, dims: int, threshold: float, tile: int) -> DataFrame:
@@ -175,6 +200,7 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, tile: int) ->
     k = max(1, min(MOST_PIVOTS, n // (4 * tile)))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(k).select("embedding").collect()  # MOST_PIVOTS rows at most
     pivots = _unit(np.array([r[0] for r in sample], np.float64))
+    folder = scratch_path(spark, "tiles")
     placed = keep(_tiles(nodes, pivots, n, tile))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("size"))
     dealt = placed.join(sizes, "cell").withColumn("parts", F.ceil(F.col("size") / tile))
@@ -182,7 +208,7 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, tile: int) ->
     tiles = keep(
         dealt.select("tile", "cell", "angle", "node", "weight", "embedding")
         .groupBy("tile")
-        .applyInArrow(_gather, "tile long, cell long, radius double, nodes binary, weights binary, values binary")
+        .applyInArrow(_gather(folder, dims), _TILE)
     )
     outline = tiles.select("tile", "cell", "radius").toArrow()  # MOST_TILES rows at most
     number, cell, radius = (outline[c].to_numpy() for c in ("tile", "cell", "radius"))
@@ -199,10 +225,10 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, tile: int) ->
 
     pairs = keep(tiles.select("tile", "cell", "radius").mapInArrow(near, "a long, b long"))
     side = lambda s: tiles.select(
-        F.col("tile").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "weights", "values"))
+        F.col("tile").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "weights", "codes", "facts", "file"))
     )
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(_compare(threshold, dims), "node long, links long, other long, edge boolean")
+    return both.mapInArrow(_compare(threshold, dims, folder), "node long, links long, other long, edge boolean")
 
 
 def near_vectors(

@@ -269,6 +269,6 @@ def test_links_across_tiles(spark, rows):
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(0)
     unit = embeddings._unit(rng.normal(size=(200, 64)) ** 3)
-    q = embeddings.Quantised(unit)
+    q = embeddings.Quantised.of(unit)
     every = slice(0, 200)
     assert (np.abs(unit @ unit.T - q.approx(every, q)) <= q.bound(every, q)).all()
