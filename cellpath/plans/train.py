@@ -10,7 +10,7 @@ from cellpath.functions.distance import Distance, squared
 from cellpath.operators.clustering import PER_USER, POOLED, assign, initial_centres, iterate, lay_out, slot_counts
 from cellpath.operators.model import model_from_counts
 from cellpath.schema import INTERVAL_MINUTES, ITERATIONS, KMEANS_K, KMODES_K, SEED, TOP_K, slots_per_day
-from cellpath.session import checkpoint
+from cellpath.session import checkpoint, shuffle_partitions
 
 
 def cluster_days(
@@ -35,7 +35,8 @@ def cluster_days(
     rounds = iterations if method == "kmeans" else iterations - 1
     centres = initial_centres(points, k, by, seed)
     if tuple(by) != POOLED:
-        return assign(points, centres, k, slots, by, distance, rounds, method)
+        # Dealt out by group once more, since the planner does not know how a grouped function leaves its rows: all that follows stays in place.
+        return assign(points, centres, k, slots, by, distance, rounds, method).repartition(shuffle_partitions(points.sparkSession), *by)
     centres = iterate(points, checkpoint(centres), k, slots, rounds, by, method, distance)
     return assign(points, centres, k, slots, by, distance)
 

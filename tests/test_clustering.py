@@ -220,17 +220,27 @@ def test_points_are_not_shuffled_in_a_round(spark):
     for method in ("kmeans", "kmodes"):
         df = C.step(points, start, 3, 24, method=method)
         plan = df._jdf.queryExecution().executedPlan().toString()
-        # Only centres move, and only from their checkpoint.
+        # Only centres move, from their checkpoint, and partial sums.
         for line_no, line in enumerate(plan.splitlines()):
             if "Exchange" in line:
                 below = plan.splitlines()[line_no + 1:line_no + 3]
-                assert any("Scan ExistingRDD" in x for x in below), line
+                assert any("Scan ExistingRDD" in x or "partial_" in x for x in below), line
         assert "Broadcast" not in plan
         # Every distance is computed in the point's own row.
         assigned = C.assign(points, start, 3, 24)._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in assigned and "Aggregate" not in assigned
 
 
+def test_assigned_days_move_once_for_a_model(spark):
+    """The result of a grouped function has no known order: it is dealt out by user once, and counts and ranks follow in place."""
+    data = _random_days(1, "ABCD", 9, 24)
+    points = C.lay_out(vectors(spark, [(u, d, c) for u, days in data.items() for d, c in enumerate(days)]))
+    plan = model_of_points(points, "kmeans", 3, 2)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    above = next(i for i, line in enumerate(lines) if "FlatMapCoGroupsInArrow" in line)
+    assert sum("Exchange" in line for line in lines[:above]) == 1
+
+
 def test_hot_user_does_not_change_results(spark):
     """One user with a third of all days."""
     rng = random.Random(2)
