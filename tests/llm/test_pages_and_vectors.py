@@ -213,6 +213,32 @@ def test_many_copies_change_nothing(spark):
         assert sum(r.page_id is None for r in found) == 2
 
 
+def test_size_of_groups_decides_nothing(spark):
+    """Runs and near copies of a host are counted over all its pages, however many groups they are dealt to."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    notes = [" ".join(f"n{j}x{k}" for k in range(12)) for j in range(3)]
+    pages = []
+    for i in range(90):
+        own = [f"w{i % 75}x{k}" for k in range(40)]
+        own[20] = f"y{i}"
+        # shares of pages near the bound of 30 %: 28, 31 and 34 %
+        extra = "".join(f"<p>{n}</p>" for n, share in zip(notes, (0.28, 0.31, 0.34)) if rng.random() < share)
+        page = f"<div>{extra}<p>{' '.join(own)}</p></div>"
+        pages.append((i, "http://open/x", page))
+        pages.append((100 + i, "http://marked/x", f"<article>{page}</article>"))
+    pages.append((300, "http://marked/x", None))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    expected = {}
+    for host in ("open", "marked"):
+        some = [p for p in pages if host in p[1]]
+        table = pa.table({"page_id": [p[0] for p in some], "url": [p[1] for p in some], "html": pa.array([p[2] for p in some], pa.string())})
+        expected |= dict(zip(table["page_id"].to_pylist(), html._extract(table)["text"].to_pylist()))
+    for group in (16, html.GROUP):
+        assert {r.page_id: r.text for r in html.main_texts(df, group=group).collect()} == expected
+
+
 def test_near_copies_by_hand():
     def labels(*texts):
         words = [t.split() for t in texts]
