@@ -120,6 +120,17 @@ def _centre_arrays(centres: list[dict], slots: int) -> tuple[np.ndarray, np.ndar
     return np.array([i for i, _ in found], np.int64), np.array([c for _, c in found], np.int64).reshape(-1, slots)
 
 
+def _given_centres(column: pa.ChunkedArray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_centre_arrays` of the first row of an Arrow column."""
+    if not len(column) or not column[0].is_valid:
+        return _centre_arrays([], slots)
+    first = column[0].values
+    ids, centres = first.field("cluster_id").to_numpy().astype(np.int64), _matrix(first.field("cells"), slots)
+    if len(ids) > 1 and not (ids[1:] > ids[:-1]).all():
+        return _centre_arrays(first.to_pylist(), slots)
+    return ids, centres
+
+
 _CENTRES = "centres array<struct<cluster_id: int, cells: array<int>>>"
 
 
@@ -132,8 +143,7 @@ def _meet(points: DataFrame, centres: DataFrame, by: Sequence[str], work: Callab
     ship(points.sparkSession)
 
     def act(left: pa.Table, right: pa.Table) -> pa.Table:
-        given = right["centres"].to_pylist()
-        ids, start = _centre_arrays(given[0] if given else [], slots)
+        ids, start = _given_centres(right["centres"], slots)
         return work(left if len(ids) else left.slice(0, 0), ids, start)
 
     return points.groupBy(*by).cogroup(centres.select(*by, "centres").groupBy(*by)).applyInArrow(act, schema)

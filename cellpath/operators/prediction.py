@@ -7,24 +7,29 @@ go to the lowest cluster id. Every input row is a sequence of its own, even wher
 equal another's. Slots have the length that the model was built with (``interval_minutes``); another
 ``interval`` is an error.
 
-The model of a group travels as one row, indexed by slot: cells with the clusters that hold them, and clusters
-with their ranked cells. It meets a sequence once, and everything else happens in the sequence's row: scores, the best
-cluster, its cells for the next slot. A pool's row is stored and broadcast while it is small; a larger one is joined cell by cell.
+The model of a group travels as one row of flat lists. It meets a sequence once, and a batch of sequences is scored at a time: the models
+of its groups are sorted by slot and cell, and by slot and cluster, and asked by binary search. A pool's row is stored and known to all tasks
+while it is small; a larger one is joined cell by cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cellpath.operators.clustering import PER_USER, POOLED
 from cellpath.operators import joins
 from cellpath.operators.joins import join_shared
 from cellpath.schema import INTERVAL_MINUTES
 from cellpath.session import checkpoint
+from cellpath.ship import ship
 
 # Sums of probabilities are compared after rounding, so that the order in which
 # they were added cannot decide a tie.
@@ -41,81 +46,206 @@ def _model_bytes(k: int, interval: int, top_k: int) -> int:
 _ROW = "_sequence_row"
 
 
-_ENTRIES = "array<struct<cluster_id: int, prob: double>>"
+# Columns of a model's entries, each a list of a group's index.
+_ENTRY = ["slot", "cell_id", "cluster_id", "rank", "prob"]
+_INDEX = [*(f"_{c}" for c in _ENTRY), "_lowest_id", "_minutes"]
+# An entry of an index, in both its orders.
+_ENTRY_BYTES = 64
 
 
 def model_index(model: DataFrame, by: Sequence[str] = PER_USER, interval: int | None = None) -> DataFrame:
-    """One row per group: ``interval_minutes``, ``lowest_id`` and, by slot, ``by_cell`` (cell to its clusters and
-    probabilities) and ``ranked`` (cluster to its cells by rank).
+    """One row per group: lists of the columns of its entries (``_slot`` and so on), ``_lowest_id`` and ``_minutes`` of a slot.
 
     Rows of a group that differ in their interval, or in that asked for, are an error when the index is computed. Everything
     is grouped within the group's own partition: one exchange.
     """
-    entry = "struct(rank, cell_id, cluster_id, prob) AS e"
-    both = f"inline(array(struct(true AS is_cell, cell_id AS key, {entry}), struct(false AS is_cell, cluster_id AS key, {entry})))"
-    rows = model.repartition(*by).selectExpr(*by, "slot", "cluster_id AS id", "interval_minutes AS minutes", both)
-    lists = rows.groupBy(*by, "slot", "is_cell", "key").agg(
-        F.sort_array(F.collect_list("e")).alias("list"), F.min("id").alias("id"), F.min("minutes").alias("low"), F.max("minutes").alias("high")
-    )
-    clusters = "named_struct('key', key, 'value', transform(list, e -> named_struct('cluster_id', e.cluster_id, 'prob', e.prob)))"
-    ranked = "named_struct('key', key, 'value', transform(list, e -> named_struct('rank', e.rank, 'cell_id', e.cell_id, 'prob', e.prob)))"
-    slots = lists.groupBy(*by, "slot").agg(
-        F.expr(f"map_from_entries(collect_list(if(is_cell, {clusters}, null))) AS by_cell"),
-        F.expr(f"map_from_entries(collect_list(if(is_cell, null, {ranked}))) AS ranked"),
-        F.min("id").alias("id"), F.min("low").alias("low"), F.max("high").alias("high"),
+    lists = model.repartition(*by).groupBy(*by).agg(
+        F.collect_list(F.struct(*_ENTRY)).alias("entries"),
+        F.min("cluster_id").alias("_lowest_id"), F.min("interval_minutes").alias("low"), F.max("interval_minutes").alias("high"),
     )
     wanted = "low" if interval is None else str(interval)
     checked = f"""CASE WHEN low <> high THEN raise_error(concat('the model mixes intervals from ', low, ' to ', high, ' minutes'))
         WHEN low <> {wanted} THEN raise_error(concat('the model has slots of ', low, ' minutes, not {wanted}')) ELSE low END"""
-    return (
-        slots.groupBy(*by)
-        .agg(
-            F.expr("map_from_entries(collect_list(struct(slot, struct(by_cell, ranked)))) AS slots"),
-            F.min("id").alias("lowest_id"), F.min("low").alias("low"), F.max("high").alias("high"),
-        )
-        .selectExpr(*by, "slots", "lowest_id", f"{checked} AS interval_minutes")
-    )
-
-
-# Columns of an index.
-_INDEX = ["slots", "lowest_id", "interval_minutes"]
-# An entry of an index: a cell and cluster of a slot, in both its lists.
-_ENTRY_BYTES = 64
-
-
-def _slot(minute: str) -> str:
-    return f"try_element_at(slots, cast({minute} div interval_minutes as int))"
-
-
-def _hits() -> Column:
-    """Clusters and probabilities that the past points of a sequence meet, by cluster."""
-    found = f"coalesce(try_element_at({_slot('p.minute')}.by_cell, p.cell_id), cast(array() as {_ENTRIES}))"
-    return F.expr(f"sort_array(flatten(transform(coalesce(past, array()), p -> {found})))")
+    return lists.selectExpr(*by, *[f"entries.{c} AS _{c}" for c in _ENTRY], "_lowest_id", f"{checked} AS _minutes")
+
+
+def _numbers(column: pa.Array, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column, 0 for nulls, and which are there."""
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(kind), pc.is_valid(column).to_numpy(zero_copy_only=False)
+
+
+def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+class _Sorted:
+    """Entries of models by group, slot and one more number, for binary search."""
+
+    def __init__(self, group: np.ndarray, slot: np.ndarray, value: np.ndarray, rank: np.ndarray):
+        self.slots, slot = np.unique(slot, return_inverse=True)
+        self.values, value = np.unique(value, return_inverse=True)
+        keys = (group * len(self.slots) + slot) * len(self.values) + value
+        self.order = np.lexsort((rank, keys))
+        self.keys = keys[self.order]
+
+    def find(self, group: np.ndarray, slot: np.ndarray, value: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of an asking row and an entry that fits it."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place, other = (np.minimum(np.searchsorted(known, asked), len(known) - 1) for known, asked in ((self.slots, slot), (self.values, value)))
+        valid = valid & (group >= 0) & (self.slots[place] == slot) & (self.values[other] == value)
+        keys = np.where(valid, (group * len(self.slots) + place) * len(self.values) + other, -1)
+        low, high = (np.searchsorted(self.keys, keys, side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(keys)), n), self.order[at]
+
+
+class _Models:
+    """Models of some groups, a row of an index each."""
+
+    def __init__(self, rows: pa.Table | pa.RecordBatch):
+        lists = [_one(rows[f"_{c}"]) for c in _ENTRY]
+        self.group = np.repeat(np.arange(rows.num_rows), _numbers(pc.list_value_length(lists[0]))[0])
+        slot, self.cell, self.cluster, self.rank = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists[:4])
+        self.prob = lists[4].flatten().to_numpy(zero_copy_only=False)
+        self.lowest, self.known = _numbers(_one(rows["_lowest_id"]))
+        self.minutes = np.maximum(_numbers(_one(rows["_minutes"]))[0], 1)
+        self.by_cell = _Sorted(self.group, slot, self.cell, self.rank)
+        self.by_cluster = _Sorted(self.group, slot, self.cluster, self.rank)
+
+    def slot(self, minute: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Slots of minutes, truncated towards zero."""
+        if not len(self.minutes):
+            return minute
+        return np.sign(minute) * (np.abs(minute) // self.minutes[group])
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """As SQL rounds: halves of the decimal number up."""
+    scaled = scores * 10.0**SCORE_DIGITS
+    out = np.rint(scaled) / 10.0**SCORE_DIGITS
+    near_half = np.abs(scaled - np.floor(scaled) - 0.5) < 0.01 + scaled * 1e-15
+    for i in np.flatnonzero(near_half):
+        out[i] = float(Decimal(repr(float(scores[i]))).quantize(Decimal(1).scaleb(-SCORE_DIGITS), ROUND_HALF_UP))
+    return out
+
+
+def _scored(models: _Models, group: np.ndarray, past: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences (by place), clusters and scores, in this order, wherever a past point meets a cell of a cluster."""
+    row = np.repeat(np.arange(len(past)), _numbers(pc.list_value_length(past))[0])
+    points = past.flatten()
+    fields = dict(zip((f.name for f in points.type), points.flatten()))
+    (minute, with_minute), (cell, with_cell) = _numbers(fields["minute"]), _numbers(fields["cell_id"])
+    of = group[row]
+    which, entry = models.by_cell.find(of, models.slot(minute, of), cell, with_minute & with_cell)
+    row, cluster, prob = row[which], models.cluster[entry], models.prob[entry]
+    order = np.lexsort((prob, cluster, row))
+    row, cluster, prob = row[order], cluster[order], prob[order]
+    new = np.ones(len(row), np.bool_)
+    new[1:] = (row[1:] != row[:-1]) | (cluster[1:] != cluster[:-1])
+    return row[new], cluster[new], _rounded(np.bincount(np.cumsum(new) - 1, prob, minlength=0)) if len(row) else prob
+
+
+def _best(models: _Models, group: np.ndarray, past: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Best cluster and its score of every sequence of a group with a model: the lowest id wins ties, also where no cluster scores."""
+    row, cluster, score = _scored(models, group, past)
+    order = np.lexsort((cluster, -score, row))
+    row, cluster, score = row[order], cluster[order], score[order]
+    first = np.ones(len(row), np.bool_)
+    first[1:] = row[1:] != row[:-1]
+    best, top = np.where(group >= 0, models.lowest[group] if len(models.lowest) else 0, 0), np.zeros(len(group))
+    best[row[first]], top[row[first]] = cluster[first], np.maximum(score[first], 0)
+    return best, top
+
+
+# What a batch gives: places of its rows, and columns.
+_Answer = Callable[[_Models, np.ndarray, pa.RecordBatch], tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray | None]]]]
+
+
+def _all_scores(models: _Models, group: np.ndarray, batch: pa.RecordBatch):
+    row, cluster, score = _scored(models, group, batch["past"])
+    return row, [(cluster, None), (score, None)]
+
+
+def _best_scores(models: _Models, group: np.ndarray, batch: pa.RecordBatch):
+    best, score = _best(models, group, batch["past"])
+    row = np.flatnonzero(group >= 0)
+    return row, [(best[row], None), (score[row], None)]
+
+
+def _ranked(keep_unpredicted: bool) -> _Answer:
+    def answer(models: _Models, group: np.ndarray, batch: pa.RecordBatch):
+        best, score = _best(models, group, batch["past"])
+        minute, valid = _numbers(batch["next_minute"])
+        row, entry = models.by_cluster.find(group, models.slot(minute, group), best, valid)
+        columns = [best[row], score[row], models.rank[entry], models.cell[entry], models.prob[entry]]
+        if not keep_unpredicted:
+            return row, [(c, None) for c in columns]
+        rest = np.setdiff1d(np.arange(len(group)), row)
+        none = np.concatenate([np.zeros(len(row), np.bool_), np.ones(len(rest), np.bool_)])
+        columns = [np.concatenate([c, score[rest] if i == 1 else np.zeros(len(rest), c.dtype)]) for i, c in enumerate(columns)]
+        return np.concatenate([row, rest]), [(c, None if i == 1 else none) for i, c in enumerate(columns)]
+
+    return answer
+
+
+def _groups_of(batch: pa.RecordBatch, by: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The group of every row of a batch as a number, and the first row of each."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for column in by:
+        found = batch[column].dictionary_encode(null_encoding="encode")
+        codes = np.unique(codes * (len(found.dictionary) + 1) + found.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return codes, np.unique(codes, return_index=True)[1]
+
+
+def _asked(
+    sequences: DataFrame, model: DataFrame, by: Sequence[str], interval: int | None, size: int | None, keep: bool, answer: _Answer, more: Sequence[str]
+) -> DataFrame | None:
+    """Keys of sequences with the columns ``more`` of the answers of their group's model; nothing where a pool's index is too large to send around.
+
+    With ``keep`` sequences of a group without a model are asked about too.
+    """
+    spark, sequences, index = sequences.sparkSession, _grouped(sequences, by), model_index(model, by, interval)
+    keys = [c for c in sequences.columns if c != "past"]
+    types = {c: sequences.schema[c].dataType for c in keys} | {c: model.schema["prob" if c == "score" else c].dataType for c in more}
+    arrow = [to_arrow_type(types[c]) for c in more]
+    schema = ", ".join(f"`{c}` {types[c].simpleString()}" for c in [*keys, *more])
 
+    def answers(models: _Models, group: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, columns = answer(models, group, batch)
+        kept = batch.select(keys).take(pa.array(row))
+        return pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t, mask=none) for (c, none), t in zip(columns, arrow))], names=[*keys, *more])
 
-def _best() -> Column:
-    """Best cluster and its score: sums of probabilities by cluster, in order of clusters, so that the lowest id wins ties."""
-    total = "if(a.cluster <=> h.cluster_id, a.total + h.prob, h.prob)"
-    better = f"round({total}, {SCORE_DIGITS}) > a.score"
-    return F.expr(f"""aggregate(hits,
-        named_struct('cluster', cast(null as int), 'total', 0D, 'score', -1D, 'best', cast(null as int)),
-        (a, h) -> named_struct('cluster', h.cluster_id, 'total', {total},
-            'score', if({better}, round({total}, {SCORE_DIGITS}), a.score), 'best', if({better}, h.cluster_id, a.best)))""")
+    if tuple(by) != POOLED:
 
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                group, first = _groups_of(batch, by)
+                models = _Models(batch.select(_INDEX).take(pa.array(first)))
+                yield answers(models, np.where(models.known[group], group, -1), batch)
 
-def _indexed(sequences: DataFrame, model: DataFrame, by: Sequence[str], interval: int | None, size: int | None, how: str) -> DataFrame | None:
-    """Sequences with the index of their group; nothing where a pool's index is too large to send around."""
-    sequences, index = _grouped(sequences, by), model_index(model, by, interval)
-    if tuple(by) != POOLED:
-        return sequences.join(index, list(by), how)
+        ship(spark)
+        return sequences.join(index, list(by), "left" if keep else "inner").mapInArrow(each, schema)
     if (size or 0) > joins.BROADCAST_BYTES:
         return None
     # Stored, so that a model that is still to be computed is computed once.
     index = checkpoint(index)
-    entries = index.selectExpr("aggregate(map_values(slots), 0L, (n, s) -> n + aggregate(map_values(s.by_cell), 0L, (m, c) -> m + size(c))) AS n").first()
-    if 2 * _ENTRY_BYTES * (entries.n if entries else 0) > joins.BROADCAST_BYTES:
+    entries = index.agg(F.sum(F.size("_slot"))).first()[0] or 0
+    if 2 * _ENTRY_BYTES * entries > joins.BROADCAST_BYTES:
         return None
-    return sequences.join(F.broadcast(index), list(by), how)
+    known = index.toArrow()
+
+    def each_of_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, pools = _Models(known), _one(known["pool"])
+        for batch in batches:
+            group = pc.fill_null(pc.index_in(batch["pool"], value_set=pools, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not keep:
+                batch, group = batch.filter(pa.array(group >= 0)), group[group >= 0]
+            yield answers(models, group, batch)
+
+    ship(spark)
+    return sequences.mapInArrow(each_of_pool, schema)
 
 
 def model_interval(model: DataFrame, interval: int | None = None) -> int:
@@ -162,13 +292,10 @@ def model_scores(
     size: int | None = None,
 ) -> DataFrame:
     """Score of every cluster that explains at least one past point of a sequence."""
-    keys = [c for c in _grouped(sequences, by).columns if c != "past"]
-    found = _indexed(sequences, model, by, interval, size, "inner")
+    found = _asked(sequences, model, by, interval, size, False, _all_scores, ["cluster_id", "score"])
     if found is None:
         return _scores(sequences, model, model_interval(model, interval), by).where("cluster_id IS NOT NULL").drop(_ROW)
-    score = f"round(aggregate(filter(hits, h -> h.cluster_id = c), 0D, (t, h) -> t + h.prob), {SCORE_DIGITS})"
-    each = f"inline(transform(array_distinct(transform(hits, h -> h.cluster_id)), c -> named_struct('cluster_id', c, 'score', {score})))"
-    return found.select(*keys, _hits().alias("hits")).selectExpr(*keys, each)
+    return found
 
 
 def _best_match(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str]) -> DataFrame:
@@ -189,11 +316,9 @@ def best_model(
     size: int | None = None,
 ) -> DataFrame:
     """Best cluster and its score per sequence, for every sequence of a group with a model."""
-    keys = [c for c in _grouped(sequences, by).columns if c != "past"]
-    found = _indexed(sequences, model, by, interval, size, "inner")
+    found = _asked(sequences, model, by, interval, size, False, _best_scores, ["cluster_id", "score"])
     if found is not None:
-        best = found.select(*keys, "lowest_id", _hits().alias("hits")).select(*keys, "lowest_id", _best().alias("b"))
-        return best.selectExpr(*keys, "coalesce(b.best, lowest_id) AS cluster_id", "greatest(b.score, 0D) AS score")
+        return found
     best = _best_match(sequences, model, model_interval(model, interval), by)
     keys = [c for c in best.columns if c not in ("cluster_id", "score")]
     lowest = model.groupBy(*by).agg(F.min("cluster_id").alias("lowest_id"))
@@ -217,18 +342,10 @@ def predict(
     Sequences of a group without a model give no row, or with ``keep_unpredicted``
     one row without a prediction.
     """
-    keys = [c for c in _grouped(sequences, by).columns if c != "past"]
-    found = _indexed(sequences, model, by, interval, size, "left" if keep_unpredicted else "inner")
+    found = _asked(sequences, model, by, interval, size, keep_unpredicted, _ranked(keep_unpredicted), ["cluster_id", "score", "rank", "cell_id", "prob"])
     if found is None:
         return _predict_by_joins(sequences, model, model_interval(model, interval), by, keep_unpredicted)
-    best = found.select(*keys, *_INDEX, _hits().alias("hits")).select(*keys, *_INDEX, _best().alias("b"))
-    ranked = f"try_element_at({_slot('next_minute')}.ranked, coalesce(b.best, lowest_id))"
-    rows = best.selectExpr(*keys, "coalesce(b.best, lowest_id) AS cluster", "greatest(b.score, 0D) AS score", f"{ranked} AS ranked")
-    # Without "outer" the planner would add a filter on the list to the join, and compute the scores there once more.
-    each = rows.selectExpr(*keys, "cluster", "score", "inline_outer(ranked) AS (rank, cell_id, prob)")
-    if not keep_unpredicted:
-        each = each.where("rank IS NOT NULL")
-    return each.selectExpr(*keys, "if(rank IS NULL, null, cluster) AS cluster_id", "score", "rank", "cell_id", "prob")
+    return found
 
 
 def _predict_by_joins(sequences: DataFrame, model: DataFrame, interval: int, by: Sequence[str], keep_unpredicted: bool) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from cellpath.functions.distance import CHUNK, Distance
+from cellpath.functions.distance import CHUNK, PRODUCT_CHUNK, Distance
 
 _MARGIN = 1e-9
 
@@ -21,15 +21,25 @@ def nearest(cells: np.ndarray, centres: np.ndarray, distance: Distance) -> tuple
     distance.check(cells, centres)
     n, k = len(cells), len(centres)
     at, best, other = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    rows = max(1, CHUNK // max(k, 1))
+    kind = distance.exact(cells, centres)
+    rows = max(1, (PRODUCT_CHUNK if kind else CHUNK) // max(k, 1))
+    if kind:
+        right = centres.astype(kind)
+        right_size = (right * right).sum(axis=1)
     for start in range(0, n, rows):
         part = slice(start, start + rows)
-        table = distance.table(cells[part], centres)
+        if kind:
+            left = cells[part].astype(kind)
+            table = left @ (-2 * right.T)
+            table += right_size
+            table += (left * left).sum(axis=1)[:, None]
+        else:
+            table = distance.table(cells[part], centres)
         line = np.arange(len(table))
         at[part] = table.argmin(axis=1)
         best[part] = table[line, at[part]]
         if k > 1:
-            table[line, at[part]] = np.iinfo(np.int64).max
+            table[line, at[part]] = np.inf if kind else np.iinfo(np.int64).max
             other[part] = table.min(axis=1)
     return at, best, other
 
@@ -68,7 +78,8 @@ def assign_again(cells: np.ndarray, centres: np.ndarray, moves: np.ndarray, befo
     open_ = np.flatnonzero(_crossed(upper, lower))
     upper[open_] = distance.metric(distance.pairs(cells[open_], centres[at[open_]]))
     open_ = open_[_crossed(upper[open_], lower[open_])]
-    if len(centres) < len(open_) and len(centres) ** 2 <= CHUNK:
+    # Near centres only where distances are dear: a product of all is quicker than many small tables.
+    if len(centres) < len(open_) and len(centres) ** 2 <= CHUNK and distance.exact(cells, centres) is None:
         between = distance.metric(distance.table(centres, centres))
         for place in np.unique(at[open_]):
             mine = open_[at[open_] == place]
@@ -125,6 +136,25 @@ class Outcome:
     rounds: int
 
 
+def _small_sums(cells: np.ndarray) -> bool:
+    """Whether sums over all points are exact in floating point, and quotients by numbers of points truncate as integers do."""
+    return len(cells) * max(abs(int(cells.max())), abs(int(cells.min()))) < 1 << 51
+
+
+def _run_means(cells: np.ndarray, ids: np.ndarray, centres: np.ndarray, rounds: int) -> Outcome:
+    """Rounds of k-means over a few points: products of small matrices, all exact, without bounds."""
+    points, known, places = cells.astype(np.float64), centres.astype(np.float64), np.arange(len(ids))
+    for done in range(1, rounds + 1):
+        at = ((known * known).sum(axis=1) - 2 * (points @ known.T)).argmin(axis=1)
+        held = (at[:, None] == places).astype(np.float64)
+        sizes = held.sum(axis=0)[:, None]
+        moved = np.where(sizes > 0, np.trunc((held.T @ points) / np.maximum(sizes, 1)), known)
+        if np.array_equal(moved, known):
+            return Outcome(ids, centres if done == 1 else known.astype(np.int64), done)
+        known = moved
+    return Outcome(ids, known.astype(np.int64), rounds)
+
+
 def run(cells: np.ndarray, ids: np.ndarray, centres: np.ndarray, rounds: int, method: str, distance: Distance) -> Outcome:
     """Up to ``rounds`` rounds over all points of one group; stops when a round changes no centre.
 
@@ -133,6 +163,8 @@ def run(cells: np.ndarray, ids: np.ndarray, centres: np.ndarray, rounds: int, me
     """
     if not len(cells) or not len(ids):
         return Outcome(ids, centres, 0)
+    if method == "kmeans" and len(cells) * len(ids) <= PRODUCT_CHUNK and distance.exact(cells, centres) and _small_sums(cells):
+        return _run_means(cells, ids, centres, rounds)
     state = None
     for done in range(1, rounds + 1):
         if state is None:

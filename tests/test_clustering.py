@@ -255,6 +255,24 @@ def test_hot_user_does_not_change_results(spark):
     assert got == dict(enumerate(labels))
 
 
+@pytest.mark.parametrize("most", [9, 400, 10**6, 2**31 - 1])
+def test_squared_distances_by_products(most):
+    """Products where they are exact, slot by slot beyond: the same numbers, ties and rounds."""
+    rng = np.random.default_rng(most)
+    cells, centres = rng.integers(-min(most, 10**6), most, (300, 24)), rng.integers(0, most, (60, 24))
+    centres[7] = centres[3]
+    kind = squared.exact(cells, centres)
+    assert kind is {9: np.float32, 400: np.float64, 10**6: np.float64, 2**31 - 1: None}[most]
+    assert squared.exact(np.zeros((2, 24), np.int64), np.full((2, 24), 9)) is np.float32 and hamming.exact(cells, centres) is None
+    wanted = squared.table(cells, centres)
+    at, best, other = R.nearest(cells, centres, squared)
+    assert (at == wanted.argmin(axis=1)).all() and (best == wanted.min(axis=1)).all() and (other == np.sort(wanted, axis=1)[:, 1]).all()
+    plain = Distance("plain", squared.term, squared.largest)
+    for method in ("kmeans", "kmodes"):
+        found, slow = (R.run(cells, np.arange(60) * 2, centres, 9, method, d) for d in (squared, plain))
+        assert found.rounds == slow.rounds and found.ids.tolist() == slow.ids.tolist() and (found.centres == slow.centres).all()
+
+
 def test_unknown_method(spark):
     points = vectors(spark, [("A", 1, [1])])
     with pytest.raises(ValueError):

@@ -159,6 +159,28 @@ def test_prediction_is_one_pass(spark):
     assert plan.index("SortMergeJoin") < plan.index("Exchange")
 
 
+def test_prediction_takes_batches(spark):
+    """Scores come from batches, not from functions over lists in every sequence's row; many users, some without a model, in one batch."""
+    rng = random.Random(5)
+    rows = [(f"u{u % 40}", c, s, 1 + r, 3 * r + u % 2, 1, p, 60) for u in range(30) for c in (2, 4) for s in range(24) for r, p in enumerate((0.7, 0.3))]
+    model = spark.createDataFrame(rows, "user_id string, cluster_id int, slot int, rank int, cell_id int, freq bigint, prob double, interval_minutes int")
+    points = [[(60 * s + 5, rng.randrange(5)) for s in sorted(rng.sample(range(24), 4))] for _ in range(120)]
+    sequences = _sequences(spark, [(f"u{i % 40}", i, p) for i, p in enumerate(points)])
+    predicted = predict(sequences, model, keep_unpredicted=True)
+    plan = predicted._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
+    got = {}
+    for r in predicted.collect():
+        got.setdefault(r.day, []).append((r.cluster_id, r.score, r["rank"], r.cell_id, r.prob))
+    for i, past in enumerate(points):
+        u = i % 40
+        score = sum({u % 2: 0.7, 3 + u % 2: 0.3}.get(c, 0.0) for _, c in past[:-1])
+        if u >= 30:
+            assert got[i] == [(None, 0.0, None, None, None)]
+        else:
+            assert sorted(got[i]) == [(2, pytest.approx(score), 1, u % 2, 0.7), (2, pytest.approx(score), 2, 3 + u % 2, 0.3)]
+
+
 def test_odd_sequences(spark):
     """No past, past without a model's slot, minutes and cells that are null, a slot without cells for the best cluster."""
     model = _model(spark, [(3, 0, [(5, 0.5), (6, 0.5)]), (4, 0, [(5, 1.0)]), (3, 1, [(7, 1.0)])])
