@@ -8,7 +8,7 @@ days of a user share a bucket, which the calendar bounds: one vector per day,
 however many pings it came from. So the days of a user and the user's centres meet in one task, which runs the
 rounds until nothing changes: one pass over the points instead of one a round.
 
-Pooled points are spread by day. A round is one pass over them that carries each point's cluster and distance
+Pooled points are spread by day and packed, a row for a batch of them. A round is one pass over these rows that carries each point's cluster and distance
 bounds (:mod:`cellpath.operators.rounds`); sums, or counts of cells, change by the points that changed cluster; centres, ``k`` times the slots, are known
 to the driver. Rounds end early when no point moves or no centre changes: all further rounds would give the same.
 """
@@ -268,33 +268,72 @@ def step(
     raise ValueError(f"unknown method {method!r}")
 
 
-def _advance(state: DataFrame, ids: np.ndarray, centres: np.ndarray, moves: np.ndarray | None, slots: int, distance: Distance) -> DataFrame:
-    """A pool's points with their clusters (``at``) and bounds after a round's moves; ``was`` is the cluster before."""
-    keys = [*USER_DAY, "cells"]
-    names = [*keys, "was", "at", "upper", "lower"]
+_STATE = "cells binary, was binary, at binary, upper binary, lower binary, moved long"
+
+
+def _packed(points: DataFrame, slots: int) -> DataFrame:
+    """Cells of a pool's points, a row for a batch of points: rounds need nothing else of them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = _matrix(batch["cells"], slots)
-            if moves is None:
-                was, found = pa.nulls(len(cells), pa.int32()), R.assign_all(cells, centres, distance)
-            else:
-                was = batch["at"]
-                before = R.State(
-                    np.searchsorted(ids, was.to_numpy()),
-                    *(batch[c].to_numpy(zero_copy_only=False).copy() for c in ("upper", "lower")),
-                )
-                found = R.assign_again(cells, centres, moves, before, distance)
-            columns = [*(batch[c] for c in keys), was, pa.array(ids[found.at], pa.int32()), pa.array(found.upper), pa.array(found.lower)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            packed = cells.astype(np.int32)
+            if not np.array_equal(packed, cells):
+                raise OverflowError("day vector with cells that are no integers of 32 bits")
+            if len(packed):
+                yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], names=["cells"])
+
+    return _checked(points, POOLED, slots).select("cells").mapInArrow(each, "cells binary")
+
 
-    return state.mapInArrow(each, f"{_schema(state, keys)}, was int, at int, upper double, lower double")
+def _advance(state: DataFrame, ids: np.ndarray, centres: np.ndarray, moves: np.ndarray | None, slots: int, distance: Distance) -> DataFrame:
+    """A pool's packed points with their clusters (``at``) and bounds after a round's moves; ``was`` is the cluster before, none in the first round."""
+    names = [c.split()[0] for c in _STATE.split(", ")]
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.to_pylist():
+                cells = np.frombuffer(block["cells"], np.int32).reshape(-1, slots).astype(np.int64)
+                if moves is None:
+                    was, found = None, R.assign_all(cells, centres, distance)
+                else:
+                    was = block["at"]
+                    bounds = (np.frombuffer(block[c]).copy() for c in ("upper", "lower"))
+                    found = R.assign_again(cells, centres, moves, R.State(np.searchsorted(ids, np.frombuffer(was, np.int64)), *bounds), distance)
+                at = ids[found.at].astype(np.int64)
+                moved = len(at) if was is None else int(np.count_nonzero(at != np.frombuffer(was, np.int64)))
+                row = [block["cells"], was, at.tobytes(), found.upper.astype(np.float64).tobytes(), found.lower.astype(np.float64).tobytes()]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in row), pa.array([moved], pa.int64())], names=names)
+
+    return state.mapInArrow(each, _STATE)
+
+
+def _changes(state: DataFrame, slots: int) -> DataFrame:
+    """By how much the number of points with a cell changes in the slots of clusters that points joined or left: sums of a block of points."""
+    names = ["cluster_id", "slot", "cell_id", "change"]
 
-def _joined_and_left(state: DataFrame) -> DataFrame:
-    """Points that changed cluster: once with 1 for the cluster joined, once with -1 for the one left."""
-    both = "inline(array(struct(at AS cluster_id, 1L AS sign), struct(was AS cluster_id, -1L AS sign)))"
-    return state.where("was IS NULL OR was <> at").selectExpr("cells", both).where("cluster_id IS NOT NULL")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.to_pylist():
+                cells, at = np.frombuffer(block["cells"], np.int32).reshape(-1, slots), np.frombuffer(block["at"], np.int64)
+                if block["was"] is None:
+                    cluster, sign = at, np.ones(len(at))
+                else:
+                    was = np.frombuffer(block["was"], np.int64)
+                    gone = np.flatnonzero(was != at)
+                    cluster, sign = np.concatenate([at[gone], was[gone]]), np.repeat([1.0, -1.0], len(gone))
+                    cells = np.concatenate([cells[gone], cells[gone]])
+                known, place = np.unique(cells, return_inverse=True)
+                if not len(known):
+                    continue
+                keys = (cluster[:, None] * slots + np.arange(slots)) * len(known) + place.reshape(cells.shape)
+                keys, which = np.unique(keys, return_inverse=True)
+                change = np.bincount(which.ravel(), np.repeat(sign, slots)).astype(np.int64)
+                keys, change = keys[change != 0], change[change != 0]
+                columns = [keys // len(known) // slots, keys // len(known) % slots, known[keys % len(known)]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(change)], names=names)
+
+    return state.mapInArrow(each, "cluster_id int, slot int, cell_id int, change long")
 
 
 class _MeanKeeper:
@@ -304,8 +343,8 @@ class _MeanKeeper:
         self.slots, self.sums, self.sizes = slots, {}, {}
 
     def centres(self, state: DataFrame, ids: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        changes = _joined_and_left(state).selectExpr("cluster_id", "sign", "posexplode(cells) AS (slot, cell_id)")
-        for r in changes.groupBy("cluster_id", "slot").agg(F.expr("sum(sign * cell_id) AS total"), F.expr("sum(sign) AS n")).collect():
+        changes = _changes(state, self.slots).groupBy("cluster_id", "slot")
+        for r in changes.agg(F.expr("sum(change * cell_id) AS total"), F.expr("sum(change) AS n")).collect():
             self.sums.setdefault(r.cluster_id, [0] * self.slots)[r.slot] += r.total
             if r.slot == 0:
                 self.sizes[r.cluster_id] = self.sizes.get(r.cluster_id, 0) + r.n
@@ -325,8 +364,7 @@ class _ModeKeeper:
         self.slots, self.counts = slots, None
 
     def centres(self, state: DataFrame, ids: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        changes = _joined_and_left(state).selectExpr("cluster_id", "sign", "posexplode(cells) AS (slot, cell_id)")
-        changes = changes.groupBy(*self._KEYS).agg(F.expr("sum(sign) AS change"))
+        changes = _changes(state, self.slots).groupBy(*self._KEYS).agg(F.sum("change").alias("change"))
         if self.counts is None:
             counts = changes.withColumnRenamed("change", "freq")
         else:
@@ -345,14 +383,13 @@ class _ModeKeeper:
 def _pooled_rounds(points: DataFrame, centres: DataFrame, slots: int, iterations: int, method: str, distance: Distance) -> R.Outcome:
     ship(points.sparkSession)
     ids, known = _pool(centres, slots)
-    state, moves = _checked(points, POOLED, slots), None
+    state, moves = _packed(points, slots), None
     keeper = _ModeKeeper(slots) if method == "kmodes" else _MeanKeeper(slots)
     for done in range(1, iterations + 1):
         if not len(ids):
             return R.Outcome(ids, known, done - 1)
         count = Observation()
-        moved = F.expr("count_if(was IS NULL OR was <> at) AS moved")
-        state = checkpoint(_advance(state, ids, known, moves, slots, distance).observe(count, moved))
+        state = checkpoint(_advance(state, ids, known, moves, slots, distance).observe(count, F.sum("moved").alias("moved")))
         if not count.get["moved"]:
             return R.Outcome(ids, known, done)
         new_ids, new = keeper.centres(state, ids, known)

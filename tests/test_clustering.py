@@ -255,14 +255,14 @@ def test_hot_user_does_not_change_results(spark):
     assert got == dict(enumerate(labels))
 
 
-@pytest.mark.parametrize("most", [9, 400, 10**6, 2**31 - 1])
+@pytest.mark.parametrize("most", [9, 500, 10**6, 2**29])
 def test_squared_distances_by_products(most):
     """Products where they are exact, slot by slot beyond: the same numbers, ties and rounds."""
     rng = np.random.default_rng(most)
-    cells, centres = rng.integers(-min(most, 10**6), most, (300, 24)), rng.integers(0, most, (60, 24))
+    cells, centres = rng.integers(-most if most < 2**28 else 0, most, (300, 24)), rng.integers(0, most, (60, 24))
     centres[7] = centres[3]
     kind = squared.exact(cells, centres)
-    assert kind is {9: np.float32, 400: np.float64, 10**6: np.float64, 2**31 - 1: None}[most]
+    assert kind is {9: np.float32, 500: np.float64, 10**6: np.float64, 2**29: None}[most]
     assert squared.exact(np.zeros((2, 24), np.int64), np.full((2, 24), 9)) is np.float32 and hamming.exact(cells, centres) is None
     wanted = squared.table(cells, centres)
     at, best, other = R.nearest(cells, centres, squared)
@@ -273,6 +273,32 @@ def test_squared_distances_by_products(most):
         assert found.rounds == slow.rounds and found.ids.tolist() == slow.ids.tolist() and (found.centres == slow.centres).all()
 
 
+def test_pooled_state_is_packed(spark):
+    """A round moves blocks of points, not a row a point, and adds up who changed cluster in the block."""
+    rng = np.random.default_rng(3)
+    cells = rng.integers(0, 6, (500, 24))
+    points = C.lay_out(vectors(spark, [(f"u{i % 9}", i // 9, c.tolist()) for i, c in enumerate(cells)]), C.POOLED)
+    ids, centres = np.arange(8) * 2, cells[:8]
+    state = C.checkpoint(C._advance(C._packed(points, 24), ids, centres, None, 24, squared))
+    assert state.count() <= points.rdd.getNumPartitions() < 500 and state.agg(F.sum("moved")).first()[0] == 500
+    first = {(r.cluster_id, r.slot, r.cell_id): r.change for r in C._changes(state, 24).groupBy("cluster_id", "slot", "cell_id").agg(F.sum("change").alias("change")).collect()}
+    at = ids[squared.table(cells, centres).argmin(axis=1)]
+    wanted = {}
+    for cluster, day in zip(at.tolist(), cells.tolist()):
+        for slot, cell in enumerate(day):
+            wanted[cluster, slot, cell] = wanted.get((cluster, slot, cell), 0) + 1
+    assert first == wanted
+    moved = centres[::-1].copy()
+    again = C._advance(state, ids, moved, R.moves_of(centres, moved, squared), 24, squared)
+    for r in C._changes(again, 24).groupBy("cluster_id", "slot", "cell_id").agg(F.sum("change").alias("change")).collect():
+        wanted[r.cluster_id, r.slot, r.cell_id] = wanted.get((r.cluster_id, r.slot, r.cell_id), 0) + r.change
+    after = {}
+    for cluster, day in zip(ids[squared.table(cells, moved).argmin(axis=1)].tolist(), cells.tolist()):
+        for slot, cell in enumerate(day):
+            after[cluster, slot, cell] = after.get((cluster, slot, cell), 0) + 1
+    assert {k: n for k, n in wanted.items() if n} == after
+
+
 def test_unknown_method(spark):
     points = vectors(spark, [("A", 1, [1])])
     with pytest.raises(ValueError):
