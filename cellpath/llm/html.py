@@ -23,6 +23,7 @@ give empty results; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from cellpath.llm.components import components
 from cellpath.llm.staged import keep, stage
 from cellpath.llm.words import grams, mix
+from cellpath.session import bucketed_table
 
 RUN = 8
 GROUP = 128
@@ -354,14 +356,23 @@ def _extract(table: pa.Table) -> pa.Table:
     })
 
 
+def _pack(body: str) -> bytes:
+    """A body as it moves and is stored; equal ones give equal bytes."""
+    return zlib.compress(body.encode(), 1) if body else b""
+
+
+def _bodies(table: pa.Table | pa.RecordBatch) -> list[str]:
+    return [zlib.decompress(x).decode() if x else "" for x in table["body"].to_pylist()]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages as their blocks, a line each, and zones, a digit each."""
+    """Pages as their blocks, a line each, packed, and zones, a digit each."""
     for batch in batches:
         found = [blocks(x or "") for x in batch["html"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 batch["page_id"], batch["url"], batch["host"],
-                pa.array(["\n".join(text for text, _ in page) for page in found], pa.string()),
+                pa.array([_pack("\n".join(text for text, _ in page)) for page in found], pa.binary()),
                 pa.array(["".join(str(zone) for _, zone in page) for page in found], pa.string()),
                 pa.array([_unmarked(page) for page in found], pa.bool_()),
             ],
@@ -393,7 +404,8 @@ def _group_runs(bodies: list[str], texts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _own_texts(table: pa.Table) -> list[str]:
     """The different texts that a group has as its own."""
-    return list({key: body for key, body, own in zip(*(table[c].to_pylist() for c in ("key", "body", "own"))) if own}.values())
+    own = table.filter(table["own"])
+    return list(dict(zip(own["key"].to_pylist(), _bodies(own))).values())
 
 
 def _counted(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
@@ -429,7 +441,7 @@ def _count_candidates(table: pa.Table, candidates: pa.Table) -> pa.Table:
 
 def _labelled_runs(table: pa.Table) -> pa.Table:
     """Runs of a group of different texts, with each label that has them."""
-    runs, labels, _, new_text = _group_runs(table["body"].to_pylist(), table["label"].to_numpy())
+    runs, labels, _, new_text = _group_runs(_bodies(table), table["label"].to_numpy())
     return _runs_table(table, run=runs[new_text], label=labels[new_text])
 
 
@@ -437,7 +449,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Different shingles of each text."""
     for batch in batches:
         known: dict[str, int] = {}
-        found = [np.unique(grams(_hashes(_words(body), known), SHINGLE)).view(np.int64) for body in batch["body"].to_pylist()]
+        found = [np.unique(grams(_hashes(_words(body), known), SHINGLE)).view(np.int64) for body in _bodies(batch)]
         yield pa.RecordBatch.from_arrays([batch["host"], batch["key"], pa.array(found, pa.list_(pa.int64()))], names=["host", "key", "shingles"])
 
 
@@ -467,7 +479,7 @@ def _copy_labels(texts: DataFrame) -> DataFrame:
 def _settle(pages: pa.Table, runs: pa.Table) -> pa.Table:
     """Main texts of pages of one host, whose shared runs are given."""
     shared, known, out = runs["run"].to_numpy().view(np.uint64), {}, []
-    for body, zones in zip(pages["body"].to_pylist(), pages["zones"].to_pylist()):
+    for body, zones in zip(_bodies(pages), pages["zones"].to_pylist()):
         page = list(zip(body.split("\n"), map(int, zones))) if zones else []
         stream = _stream(page)
         covered = np.zeros(len(stream), np.bool_)
@@ -481,7 +493,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Per page row: page_id, url, text. ``group`` says how much a task takes at a time, nothing else."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    parsed = rows.withColumn("host", host).mapInArrow(_parse, "page_id long, url string, host string, body string, zones string, unmarked boolean")
+    parsed = rows.withColumn("host", host).mapInArrow(_parse, "page_id long, url string, host string, body binary, zones string, unmarked boolean")
     parsed = parsed.withColumn("key", F.xxhash64(F.lit(7), "host", "body")).withColumn("pick", F.xxhash64("page_id", "url"))
     keys = parsed.groupBy("host", "key").agg(F.count("*").alias("rows"), F.min("pick").alias("first"), F.max("unmarked").alias("unmarked"))
     keys = keep(keys)
@@ -504,8 +516,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     all_often = often.hint("merge") if often.count() > MOST_BROADCAST else F.broadcast(often)
     marked = of_host(parsed.join(all_often, F.col("key") == F.col("again"), "left"), hosts).withColumn("own", F.expr("again IS NULL OR pick = first"))
     part = F.expr("if(own, pmod(xxhash64(key, 1), parts), parts + pmod(pick, greatest(more, 1L)))")
-    # Read three times: for candidates, for their numbers and for the texts.
-    dealt = marked.select("page_id", "url", "host", "body", "zones", "key", "own", "n", "labelled", part.alias("part")).repartition("host", "part")
+    # Read three times: for candidates, for their numbers and for the texts. So it moves once, and lies in files by group.
+    dealt = marked.select("page_id", "url", "host", "body", "zones", "key", "own", "n", "labelled", part.alias("part"))
+    dealt = bucketed_table(dealt, ["host", "part"], "pages", "zstd")
     groups = dealt.groupBy("host", "part")
     least = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.lit(SHARE) * F.col("n")))
     candidates = groups.applyInArrow(_candidates, "host string, run long").distinct()

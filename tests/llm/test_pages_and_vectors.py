@@ -162,6 +162,17 @@ def test_class_names_around_articles(page, text):
     assert html._extract(table)["text"].to_pylist() == [text]
 
 
+
+def test_texts_of_pages_move_once(spark):
+    """They are packed and lie in files by group, where all three passes read them without an exchange."""
+    rows = [(i, f"https://h{i % 3}.net/{i}", f"<p>menu one two three four five six</p><article>page {i} \u00e9\u4e2d text</article>") for i in range(12)]
+    df = html.main_texts(spark.createDataFrame([*rows, (12, None, None)], "page_id long, url string, html string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet spark_catalog.default.cellpath_pages_" in plan
+    assert {r.page_id: r.text for r in df.collect()} == {i: f"page {i} \u00e9\u4e2d text" for i in range(12)} | {12: ""}
+    assert html._bodies({"body": html.pa.array([html._pack("a\n\u4e2d"), html._pack("")], html.pa.binary())}) == ["a\n\u4e2d", ""]
+
+
 def test_runs_that_pages_share_go_and_copies_stay(spark):
     banner = "this site uses little things to make your visit a better one"
     own = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)]
